@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamline.llm import minhash_dedup
+from loamline.llm import chat_collapse, decontamination, license_scan, line_dedup, minhash_dedup, mixing, quality_crf, quartile_digest, url_filters, warc_bundles
 from loamline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,134 @@ e AS MATERIALIZED (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, g.c AS component_id, d.doc_id = g.c AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) g ON g.x = d.doc_id
 """
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page, by the rules or else by path templates."""
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation as ChatML."""
+    return chat_collapse.maximal_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op4_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS p,
+    '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS r,
+    {'role': role, 'text': text} AS c
+  FROM conversations
+), u AS (
+  SELECT conv_id, p, list(c) OVER (PARTITION BY conv_id ORDER BY p) AS pre FROM t
+), w AS (SELECT conv_id, count(*) AS n_turns, string_agg(r, '' ORDER BY p) AS chat, list(c ORDER BY p) AS whole FROM t GROUP BY conv_id),
+i AS (SELECT DISTINCT u.pre FROM u JOIN w USING (conv_id) WHERE u.p < w.n_turns)
+SELECT min(conv_id) AS conv_id, max(n_turns)::BIGINT AS n_turns, count(*) AS n_copies, min(chat) AS chat
+FROM w WHERE whole NOT IN (SELECT pre FROM i) GROUP BY whole
+"""
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in every document."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+ORACLES["op5_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), k AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS win FROM b WHERE len(w) > 0
+), ns AS (SELECT DISTINCT n FROM k),
+g AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM d, ns WHERE len(w) >= n
+), h AS (SELECT g.doc_id, g.s, g.n, k.item FROM g JOIN k ON g.win = k.win AND g.n = k.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all sources at weights 5, 2, 1 in turn."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), cap=3, seed=42)
+
+
+ORACLES["op10_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents
+), s0 AS (
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * ln(1 + size)) AS weighted,
+    [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source
+), s1 AS (
+  SELECT *, source_size * 3.0::DOUBLE AS cap FROM s0
+), s2 AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+  FROM s1 WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s3 AS (
+  SELECT *, least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER () * w, cap)) AS target FROM s2
+), s4 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size + 1e-9), 3) ELSE 0 END::BIGINT AS copies FROM s3
+), s5 AS (SELECT *, greatest(target - copies * source_size, 0) AS rest FROM s4),
+p AS (
+  SELECT d.*, source_size, target, copies, rest,
+    least(CASE WHEN source_size > 0 THEN rest / source_size ELSE 0 END * ln(1 + size) / greatest(weighted / greatest(source_size, 1), 1e-9), 0.999999) AS p
+  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source
+), q AS (SELECT *, CASE WHEN rest > 0 AND size > 0 AND copies < 3 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM p),
+r AS (SELECT *, coalesce(sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT doc_id, size, source_size, target,
+  (size * (copies + CASE WHEN q IS NOT NULL AND before + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+"""
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a model trained on labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.score_documents(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of repeated line runs of 50 words or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_runs(docs, min_words=50).select("doc_id", "text", "_runs.n_lines", "_runs.n_removed", "_runs.runs")
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to seekable WARC bundles and read back."""
+    return warc_bundles.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=100)
+
+
+ORACLES["op6_warc"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS f FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN f.f <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.f <> page_id THEN f.f END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartile digests of every text and of its edited text."""
+    return quartile_digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit(license_scan.sample_lines(docs, 2000)))
