@@ -8,15 +8,18 @@ similarity of exactly 0.8 a chunk has at most one error with probability 0.655;
 all of 12 chunks fail together for 3 pairs in a million.
 
 Equal shingle sets fall into one class before anything is paired. Within an index
-bucket members are first compared with one centre only; buckets that still hold
-several components are then resolved by pairing the members outside the bucket's
-largest component with the rest. A bucket of n copies costs n comparisons, and no
-link between different texts is lost: every pair that shares a bucket is either
-inside one component already or compared on its full shingle sets.
+bucket members are first compared with one centre only, the member that shares
+most buckets. Where a bucket still holds several components, the members outside its
+largest are then compared with all members of that component and with each other,
+by 20-bit prints of their whole sets: a join condition that never judges a common
+part too small, so only pairs that may link leave the join. No link between different
+texts is lost: every pair that shares a bucket is inside one component already,
+ruled out by its prints, or compared on its full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,6 +155,21 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _printed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, folded, prints = [], [], []
+            for text in batch.column("text"):
+                shingles = shingle_set(text.as_py(), size)
+                short = np.unique((shingles >> np.uint64(44)).astype(np.int32))
+                counts.append(len(shingles))
+                folded.append(len(shingles) - len(short))
+                prints.append(short)
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(counts, pa.int32()), pa.array(folded, pa.int32()), pa.array(prints, pa.list_(pa.int32()))], names=["cls", "n", "folded", "prints"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components (node, comp) of the edges (a, b) by contraction.
 
@@ -214,18 +232,30 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
         whole = texts.select("cls", "text")
         return pairs.join(whole.toDF("b", "text_b"), "b").join(whole.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle_words, percent), "a binary, b binary")
 
-    centres = members.groupBy("key").agg(F.min("cls").alias("a"))
+    # the member that shares most, over all its buckets, is the centre: copies with few edits come first
+    shares = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("cls").agg(F.sum("n").alias("shares"))
+    centres = members.join(shares, "cls").groupBy("key").agg(F.max(F.struct("shares", "cls")).alias("c")).select("key", F.col("c.cls").alias("a"))
     tried = staged(members.join(centres, "key").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "tried")
     links = staged(confirmed(tried), "links")
     grouped = components(links)
 
-    # buckets that still hold several components
+    # buckets that still hold several components: who is outside the largest, and of which
     placed = members.join(grouped.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     placed = staged(placed.join(open_keys, "key"), "open")
     largest = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    outside = placed.join(largest, "key").filter("comp <> main").select("key", F.col("cls").alias("x"), F.col("comp").alias("cx"))
-    pairs = outside.join(placed, "key").filter("cx <> comp").select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    outside = staged(placed.join(largest, "key").filter("comp <> main").select("main", "cls", "comp").distinct(), "outside")
+    mains = outside.select("main").distinct()
+    inside = grouped.toDF("cls", "comp").join(mains.withColumnRenamed("main", "comp"), "comp").select(F.col("comp").alias("main"), "cls", "comp")
+    inside = inside.union(mains.select("main", F.col("main").alias("cls"), F.col("main").alias("comp"))).distinct()
+    ends = outside.withColumn("is_out", F.lit(True)).union(inside.withColumn("is_out", F.lit(False)))
+    prints = staged(texts.join(ends.select("cls").distinct(), "cls").select("cls", "text").mapInArrow(_printed(shingle_words), "cls binary, n int, folded int, prints array<int>"), "prints")
+    # sets as similar as that differ in size by a factor of 100 / percent at most: bands of sizes and their neighbours
+    ends = ends.join(prints, "cls").withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9))
+    x = ends.filter("is_out").select(F.col("main").alias("xm"), F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("folded").alias("fx"), F.col("prints").alias("px"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("xb"))
+    most = F.size(F.array_intersect("px", "prints")) + F.least("fx", "folded")  # of the common shingles, never too few
+    near = (F.col("xm") == F.col("main")) & (F.col("xb") == F.col("band")) & (F.col("cx") != F.col("comp")) & (~F.col("is_out") | (F.col("x") < F.col("cls"))) & (100 * most >= percent * (F.col("nx") + F.col("n") - most))
+    pairs = x.join(ends, near).select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = staged(confirmed(staged(pairs, "pairs")), "links")
     if not more.isEmpty():
         grouped = components(links.union(more))
