@@ -1,0 +1 @@
+"""Corpus curation and evaluation as Spark DataFrame jobs."""
