@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loamline import schemas
 from loamline.operators.curves import live_verdicts, wide
+from loamline.operators.dedup import first_wins
 from loamline.sources.files import read_table
 
 
@@ -26,15 +27,16 @@ def latest_metrics(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run", "etape", "nom").agg(F.max_by("valeur", "horodatage").alias("valeur"), F.max("horodatage").alias("horodatage"))
 
 
-def follow_metrics(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table of the latest metrics, in complete mode, over what there is."""
-    out = latest_metrics(metric_stream(spark, folder)).writeStream.outputMode("complete").format("memory").queryName(table)
+def follow_metrics(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a Parquet table of the latest metrics, in complete mode, over what there is."""
+    out = latest_metrics(metric_stream(spark, folder)).writeStream.outputMode("complete")
+    out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
     return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live(spark: SparkSession, table: str, names: list[str]) -> DataFrame:
+def live(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Verdicts of all runs in a table of latest metrics; a last step that is not whole is left out."""
-    return live_verdicts(wide(spark.table(table).withColumn("ord", F.col("horodatage")), names))
+    return live_verdicts(wide(spark.read.parquet(path).withColumn("ord", F.col("horodatage")), names))
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -47,6 +49,6 @@ def resume(stream: DataFrame, path: str, schema, work: Callable[[DataFrame], Dat
 
     def one(batch: DataFrame, _: int) -> None:
         done = read_table(batch.sparkSession, path, schema, required=False).select(key)
-        work(batch.dropDuplicates([key]).join(done, key, "left_anti")).write.mode("append").json(path)
+        work(first_wins(batch.join(done, key, "left_anti"), key, key)[0]).write.mode("append").json(path)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -271,8 +271,8 @@ def test_streams(spark, tmp_path):
     log.mkdir()
     points = [("r", s, n, v) for s, t in enumerate((2.0, 1.5, 1.0)) for n, v in (("perte_train", t), ("norme_gradient", 1.0))]
     (log / "a.json").write_text("".join(f'{{"run": "{r}", "etape": {s}, "nom": "{n}", "valeur": {v}, "horodatage": {s}}}\n' for r, s, n, v in points))
-    logs.follow_metrics(spark, str(log), "latest", f"{tmp_path}/cp").awaitTermination()
-    (row,) = logs.live(spark, "latest", [curves.TRAIN, curves.VALID, curves.GRAD]).collect()
+    logs.follow_metrics(spark, str(log), f"{tmp_path}/latest", f"{tmp_path}/cp").awaitTermination()
+    (row,) = logs.live(spark, f"{tmp_path}/latest", [curves.TRAIN, curves.VALID, curves.GRAD]).collect()
     assert (row.verdict, row.message) == ("saine", "sans perte de validation")
     source = tmp_path / "in"
     source.mkdir()
