@@ -42,7 +42,11 @@ MASK = "<INFO_MASQUEE>"
 SPAN = "array<struct<kind:string,start:int,end:int,found:string>>"
 
 
-def content_id(namespace: Column, key: Column, prefix: str = "chsa") -> Column:
+#: Before every id; callers with ids of their own pass theirs.
+ID_PREFIX = "corpus"
+
+
+def content_id(namespace: Column, key: Column, prefix: str = ID_PREFIX) -> Column:
     """prefix-namespace-hash: the first 16 hex digits of sha256(namespace:key); the namespace is lower-cased outside the hash only."""
     return F.concat(F.lit(prefix + "-"), F.lower(namespace), F.lit("-"), F.substring(F.sha2(F.concat(namespace, F.lit(":"), key), 256), 1, 16))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamline.functions.text import content_id, first_truthy, strip
+from loamline.functions.text import ID_PREFIX, content_id, first_truthy, strip
 from loamline.schemas import MESSAGES, PIVOT
 
 LETTERS = "abcde"
@@ -34,14 +34,14 @@ def _id_text(df: DataFrame) -> Column:
     return F.coalesce(column(df, "id"), F.lit("None"))
 
 
-def open_questions(df: DataFrame, namespace: str = "mediqal_oeq", source: str = "MediQAl", lang: str = "fr") -> DataFrame:
+def open_questions(df: DataFrame, namespace: str = "mediqal_oeq", source: str = "MediQAl", lang: str = "fr", prefix: str = ID_PREFIX) -> DataFrame:
     question, answer = first_truthy(column(df, "question"), column(df, "query")), first_truthy(column(df, "answer"), column(df, "reponse"))
     key = _id_text(df)
     rows = df.filter(question.isNotNull() & answer.isNotNull())
-    return _pivot(rows, identifiant=content_id(F.lit(namespace), key), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), symptomes=question, prompt=message("user", question), completion=message("assistant", answer))
+    return _pivot(rows, identifiant=content_id(F.lit(namespace), key, prefix), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), symptomes=question, prompt=message("user", question), completion=message("assistant", answer))
 
 
-def multiple_choice(df: DataFrame, source: str = "MediQAl", lang: str = "fr") -> DataFrame:
+def multiple_choice(df: DataFrame, source: str = "MediQAl", lang: str = "fr", prefix: str = ID_PREFIX) -> DataFrame:
     """Answers named by letters, joined with a space; a case goes before the question."""
     question, case = first_truthy(column(df, "question")), first_truthy(column(df, "clinical_case"))
     asked = F.when(case.isNotNull(), F.concat(case, F.lit("\n\n"), question)).otherwise(question)
@@ -52,10 +52,10 @@ def multiple_choice(df: DataFrame, source: str = "MediQAl", lang: str = "fr") ->
     namespace = F.when(column(df, "task") == "QCU", "mediqal_mcqu").otherwise("mediqal_mcqm")
     key = _id_text(df)
     rows = df.filter(question.isNotNull() & (F.size(chosen) > 0))
-    return _pivot(rows, identifiant=content_id(namespace, key), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), symptomes=F.coalesce(case, question), prompt=message("user", asked), completion=message("assistant", answer), niveau_confiance=F.lit("haute"))
+    return _pivot(rows, identifiant=content_id(namespace, key, prefix), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), symptomes=F.coalesce(case, question), prompt=message("user", asked), completion=message("assistant", answer), niveau_confiance=F.lit("haute"))
 
 
-def indexed_choice(df: DataFrame, namespace: str = "frenchmedmcqa", source: str = "FrenchMedMCQA", lang: str = "fr") -> DataFrame:
+def indexed_choice(df: DataFrame, namespace: str = "frenchmedmcqa", source: str = "FrenchMedMCQA", lang: str = "fr", prefix: str = ID_PREFIX) -> DataFrame:
     """The answer is the option of a 0-based index; text counts only as a whole number, numbers are truncated."""
     question = first_truthy(column(df, "question"))
     raw = F.col("correct_answers") if "correct_answers" in df.columns else F.lit(None).cast("string")
@@ -65,15 +65,15 @@ def indexed_choice(df: DataFrame, namespace: str = "frenchmedmcqa", source: str
     answer = F.nullif(F.when((index >= 0) & (index < len(LETTERS)), F.try_element_at(options, index + 1)), F.lit(""))
     key = _id_text(df)
     rows = df.filter(question.isNotNull() & answer.isNotNull())
-    return _pivot(rows, identifiant=content_id(F.lit(namespace), key), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), prompt=message("user", question), completion=message("assistant", answer), niveau_confiance=F.lit("haute"))
+    return _pivot(rows, identifiant=content_id(F.lit(namespace), key, prefix), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), prompt=message("user", question), completion=message("assistant", answer), niveau_confiance=F.lit("haute"))
 
 
-def question_answer(df: DataFrame, namespace: str = "medquad", source: str = "MedQuAD", lang: str = "en") -> DataFrame:
+def question_answer(df: DataFrame, namespace: str = "medquad", source: str = "MedQuAD", lang: str = "en", prefix: str = ID_PREFIX) -> DataFrame:
     """Rows without an id: the hash of question||answer stands for it."""
     question, answer = first_truthy(column(df, "Question"), column(df, "question")), first_truthy(column(df, "Answer"), column(df, "answer"))
     key = F.sha2(F.concat(question, F.lit("||"), answer), 256)
     rows = df.filter(question.isNotNull() & answer.isNotNull())
-    return _pivot(rows, identifiant=content_id(F.lit(namespace), key), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), symptomes=question, prompt=message("user", question), completion=message("assistant", answer))
+    return _pivot(rows, identifiant=content_id(F.lit(namespace), key, prefix), identifiant_source_brute=key, source=F.lit(source), type_exemple=F.lit("sft"), langue=F.lit(lang), symptomes=question, prompt=message("user", question), completion=message("assistant", answer))
 
 
 def last_message(df: DataFrame, name: str) -> Column:
@@ -83,12 +83,12 @@ def last_message(df: DataFrame, name: str) -> Column:
     return column(df, name)
 
 
-def preferences(df: DataFrame, namespace: str = "ultramedical", source: str = "UltraMedical-Preference", lang: str = "en") -> DataFrame:
+def preferences(df: DataFrame, namespace: str = "ultramedical", source: str = "UltraMedical-Preference", lang: str = "en", prefix: str = ID_PREFIX) -> DataFrame:
     prompt = first_truthy(column(df, "prompt"), column(df, "instruction"))
     chosen, rejected = first_truthy(last_message(df, "chosen")), first_truthy(last_message(df, "rejected"))
     key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (column(df, "prompt_id"), column(df, "label_type"), chosen, rejected)])
     rows = df.filter(prompt.isNotNull() & chosen.isNotNull() & rejected.isNotNull())
-    return _pivot(rows, identifiant=content_id(F.lit(namespace), key), identifiant_source_brute=column(df, "prompt_id"), source=F.lit(source), type_exemple=F.lit("dpo"), langue=F.lit(lang), prompt=message("user", prompt), chosen=message("assistant", chosen), rejected=message("assistant", rejected))
+    return _pivot(rows, identifiant=content_id(F.lit(namespace), key, prefix), identifiant_source_brute=column(df, "prompt_id"), source=F.lit(source), type_exemple=F.lit("dpo"), langue=F.lit(lang), prompt=message("user", prompt), chosen=message("assistant", chosen), rejected=message("assistant", rejected))
 
 
 #: By corpus name; any function of a DataFrame can be added.
@@ -103,10 +103,11 @@ MAPPERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def mapped(df: DataFrame, corpus: str) -> DataFrame:
+def mapped(df: DataFrame, corpus: str, **options: str) -> DataFrame:
+    """Rows of a corpus by its name; options (source, lang, prefix of ids) go to its mapper."""
     if corpus not in MAPPERS:
         raise ValueError(f"unknown corpus: {corpus}")
-    return MAPPERS[corpus](df)
+    return MAPPERS[corpus](df, **options)
 
 
 def text_pairs(original: DataFrame, masked: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def _flat(p: DataFrame) -> DataFrame:
 def _flat_sql(ns: str, key: str, raw: str, **c: str) -> str:
     """The columns of _flat: ns and key are SQL."""
     plain = {"source": "''", "type_exemple": "'sft'", "langue": "'fr'", "symptomes": "''", "niveau_confiance": "'moyenne'", "prompt": "''", "completion": "''", "chosen": "''", "rejected": "''"} | c
-    return f"'chsa-' || lower({ns}) || '-' || substr(sha256({ns} || ':' || {key}), 1, 16) AS identifiant, {raw} AS identifiant_source_brute, " + ", ".join(f"{v} AS {k}" for k, v in plain.items())
+    return f"'corpus-' || lower({ns}) || '-' || substr(sha256({ns} || ':' || {key}), 1, 16) AS identifiant, {raw} AS identifiant_source_brute, " + ", ".join(f"{v} AS {k}" for k, v in plain.items())
 
 
 @query(f"WITH {_TURNS} SELECT {_flat_sql(chr(39) + 'mediqal_oeq' + chr(39), 'id', 'id', source=chr(39) + 'MediQAl' + chr(39), symptomes='question', prompt=chr(39) + 'user=' + chr(39) + ' || question', completion=chr(39) + 'assistant=' + chr(39) + ' || answer')} FROM t WHERE question <> '' AND answer <> ''")
@@ -199,7 +199,7 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verdict_counts(_judged(spark, sf_dir))
 
 
-@query("""SELECT 'chsa-ultramedical-' || substr(sha256('ultramedical:' || q.conv_id || ':' || q.turn || '|length|' || a.text || '|' || reverse(q.text)), 1, 16) AS identifiant,
+@query("""SELECT 'corpus-ultramedical-' || substr(sha256('ultramedical:' || q.conv_id || ':' || q.turn || '|length|' || a.text || '|' || reverse(q.text)), 1, 16) AS identifiant,
   '<|im_start|>user' || chr(10) || q.text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt,
   '<|im_start|>assistant' || chr(10) || CASE WHEN q.conv_id % 4 = 0 THEN upper(a.text) ELSE a.text END || '<|im_end|>' || chr(10) AS chosen,
   '<|im_start|>assistant' || chr(10) || reverse(q.text) || '<|im_end|>' || chr(10) AS rejected

@@ -22,7 +22,7 @@ def test_open_questions(spark):
     raw = spark.createDataFrame([("1", "Q", "A", None), (None, "Q", "A", None), ("2", "", "A", None), ("3", None, None, "R")], "id string, question string, answer string, reponse string")
     rows = mapping.open_questions(raw).collect()
     assert len(rows) == 2 and {r.identifiant_source_brute for r in rows} == {"1", "None"}
-    assert all(r.identifiant.startswith("chsa-mediqal_oeq-") and r.prompt[0].contenu == "Q" for r in rows)
+    assert all(r.identifiant.startswith("corpus-mediqal_oeq-") and r.prompt[0].contenu == "Q" for r in rows)
 
 
 def test_multiple_choice(spark):
