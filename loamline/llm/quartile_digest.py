@@ -132,10 +132,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sorted_docs = docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
     result = _RESULT.format(kind=kind)
     dealt = staged(sorted_docs.mapInArrow(_in_order, result + ", part int, first boolean, last boolean, text string, last_text string"), "fingerprints")
-    # a row for each range, in order: what follows its last document
-    heads = dealt.filter("first").select("part", "text")
+    # which range comes after each; the last is followed by the first
+    heads = dealt.filter("first").select(F.col("part").alias("next"), F.col("text").alias("next_text"))
     by_part = Window.orderBy("part")
     whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select("part", F.coalesce(F.lead(F.struct("text")).over(by_part), F.first(F.struct("text")).over(whole))["text"].alias("next_text"))
+    after = dealt.filter("first").select("part").select("part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(whole)).alias("next")).join(heads, "next").drop("next")
     ends = dealt.filter("last").select("doc_id", "last_text", "part").join(after, "part").mapInArrow(_at_ends, result)
     return dealt.filter("not last").select(*_NAMES).unionByName(ends)

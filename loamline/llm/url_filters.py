@@ -49,19 +49,19 @@ def segments_of(path: Column, depth: int) -> Column:
 
 
 def grow_templates(urls: DataFrame, depth: int, z: float) -> DataFrame:
-    """urls (host, segs, n_block, n_label) with their template (node)."""
+    """urls (tree, segs, n_block, n_label) with their template (node); trees grow side by side."""
     urls = urls.withColumn("node", F.lit(""))
     for level in range(1, depth + 1):
         urls = urls.withColumn("seg", F.try_element_at("segs", F.lit(level)))
-        child = urls.filter("seg is not null").groupBy("host", "node", "seg").agg(F.sum("n_block").alias("b"), F.sum("n_label").alias("n"))
-        parent = child.groupBy("host", "node").agg(F.sum("b").alias("pb"), F.sum("n").alias("pn"))
-        pooled = child.filter((F.col("seg") != ANY) & (F.col("n") > 0)).join(parent, ["host", "node"])
+        child = urls.filter("seg is not null").groupBy("tree", "node", "seg").agg(F.sum("n_block").alias("b"), F.sum("n_label").alias("n"))
+        parent = child.groupBy("tree", "node").agg(F.sum("b").alias("pb"), F.sum("n").alias("pn"))
+        pooled = child.filter((F.col("seg") != ANY) & (F.col("n") > 0)).join(parent, ["tree", "node"])
         rest = F.col("pn") - F.col("n")
         p, q, both = F.col("b") / F.col("n"), (F.col("pb") - F.col("b")) / F.greatest(rest, F.lit(1)), F.col("pb") / F.col("pn")
         error = F.sqrt(both * (1 - both) * (1 / F.col("n") + 1 / F.greatest(rest, F.lit(1))))
         differs = (rest > 0) & (F.abs(p - q) > z * error)
-        own = staged(pooled.filter(differs).select("host", "node", "seg", F.lit(True).alias("own")), "branches")
-        urls = urls.join(own, ["host", "node", "seg"], "left")
+        own = staged(pooled.filter(differs).select("tree", "node", "seg", F.lit(True).alias("own")), "branches")
+        urls = urls.join(own, ["tree", "node", "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("own"), F.concat(F.lit("/"), "seg")).otherwise("/" + ANY)
         urls = urls.withColumn("node", F.concat("node", step)).drop("seg", "own")
     return urls
@@ -84,15 +84,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, depth: in
     urls = staged(p.groupBy("host", "segs").agg(F.sum(F.coalesce(blocked, F.lit(0))).alias("n_block"), F.count("hit").alias("n_label")), "urls")
 
     overall = urls.agg((F.sum("n_block") / F.greatest(F.sum("n_label"), F.lit(1))).alias("rate")).first()["rate"] or 0.0
-    everywhere = urls.groupBy("segs").agg(F.sum("n_block").alias("n_block"), F.sum("n_label").alias("n_label")).withColumn("host", F.lit(ANY))
-    wide = grow_templates(everywhere, depth + 1, z)
-    wide_rate = wide.groupBy("node").agg(F.sum("n_block").alias("b"), F.sum("n_label").alias("n"))
-    wide_rate = wide_rate.select(F.col("node").alias("wide_node"), ((F.col("b") + smoothing * overall) / (F.col("n") + smoothing)).alias("wide_score"))
-    wide = wide.select("segs", F.col("node").alias("wide_node")).join(wide_rate, "wide_node").select("segs", "wide_score")
-
-    tall = grow_templates(urls, depth + 1, z)
-    tall_sum = tall.groupBy("host", "node").agg(F.sum("n_block").alias("b"), F.sum("n_label").alias("n"))
-    scored = tall.select("host", "segs", "node").join(tall_sum, ["host", "node"]).join(wide, "segs")
+    # a tree for each host, and one over all hosts
+    everywhere = urls.groupBy("segs").agg(F.sum("n_block").alias("n_block"), F.sum("n_label").alias("n_label")).select(F.lit(ANY).alias("tree"), "segs", "n_block", "n_label")
+    trees = urls.select(F.concat(F.lit("="), "host").alias("tree"), "segs", "n_block", "n_label").unionByName(everywhere)
+    grown = staged(grow_templates(trees, depth + 1, z), "trees")
+    sums = grown.groupBy("tree", "node").agg(F.sum("n_block").alias("b"), F.sum("n_label").alias("n"))
+    grown = grown.join(sums, ["tree", "node"])
+    wide = grown.filter(F.col("tree") == ANY).select("segs", ((F.col("b") + smoothing * overall) / (F.col("n") + smoothing)).alias("wide_score"))
+    scored = grown.filter(F.col("tree") != ANY).select(F.substring("tree", 2, 1 << 30).alias("host"), "segs", "node", "b", "n").join(wide, "segs")
     score = (F.col("b") + smoothing * F.col("wide_score")) / (F.col("n") + smoothing)
     scored = staged(scored.select("host", "segs", F.col("node").alias("template"), score.alias("score")), "templates")
     out = p.join(scored, ["host", "segs"])
