@@ -72,3 +72,18 @@ def replayed(lines: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
     long = timed.select("run", "etape", "ord", (F.col("t0") + F.col("ecoule")).alias("horodatage"), F.explode("m").alias("key", "valeur"))
     return long.withColumn("nom", F.try_element_at(names, F.col("key"))).filter("nom is not null").select("run", "etape", "nom", "valeur", "horodatage", "ord")
+
+
+def commits(lines: DataFrame) -> DataFrame:
+    """run and sha, the first installed commit that the log names."""
+    named = lines.withColumn("sha", F.regexp_extract("line", COMMIT, 1)).filter("sha <> ''")
+    return named.groupBy("run").agg(F.min_by("sha", "ord").alias("sha"))
+
+
+def counters(lines: DataFrame, names: list[str]) -> DataFrame:
+    """run, nom and valeur of 'name: number' or 'name=number' lines, the last of each name."""
+    found = [lines.select("run", "ord", F.lit(n).alias("nom"), F.regexp_extract("line", rf"\Q{n}\E\s*[:=]\s*([0-9]+)", 1).alias("v")) for n in names]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.filter("v <> ''").groupBy("run", "nom").agg(F.max_by(F.col("v").cast("long"), "ord").alias("valeur"))

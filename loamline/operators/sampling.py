@@ -126,3 +126,10 @@ def waves(source: DataFrame, done: DataFrame, limit: int | None, strata: list[st
     """What the next wave works on: rows not done yet, at most ``limit`` of them in proportion to their strata."""
     rows = source.join(done.select(key).distinct(), key, "left_anti")
     return rows if limit is None or rows.count() <= limit else stratified_sample(rows, limit, strata, key, order)
+
+
+def as_text(table: DataFrame, strata: list[str], width: int = 24) -> DataFrame:
+    """A crosstab as lines of fixed width, one a stratum, percentages to one decimal."""
+    name = F.rpad(F.concat_ws(" / ", *strata), width, " ")
+    cells = [F.format_string("%8d (%5.1f %%)", F.col(s), F.col(f"pct_{s}")) for s in ("train", "val", "test")]
+    return table.select(*strata, F.concat_ws(" ", name, *cells, F.lpad(F.col("total").cast("string"), 8, " ")).alias("ligne"))

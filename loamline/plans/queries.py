@@ -569,3 +569,37 @@ def next_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.collect_list(F.struct("turn", "role", F.lit(None).cast("string").alias("contenu"))).alias("t"))
     return g.select("conv_id", "n", js.history(F.col("t")).alias("roles"))
+
+
+def _capitalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates of ASCII documents, and entities: a person over all, a label of no interest, or none."""
+    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    pairs = d.select(F.col("doc_id").cast("string").alias("identifiant"), "source", F.lit("en").alias("langue"), F.lit(0).alias("champ_ord"), F.lit("texte").alias("champ"), F.lit("").alias("original"), F.col("text").alias("masque"))
+    label = F.when(F.col("doc_id") % 3 == 0, "PERSON").when(F.col("doc_id") % 3 == 1, "MISC")
+    spans = F.array(F.struct(label.alias("label"), F.lit(0).alias("start"), F.length("text").alias("end")))
+    e = d.filter(label.isNotNull()).select(F.col("doc_id").cast("string").alias("identifiant"), F.lit("texte").alias("champ"), spans.alias("entities"))
+    return pairs, e
+
+
+@query(r"""WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b')) AS f FROM d)
+SELECT CASE doc_id % 3 WHEN 0 THEN 'confirme' WHEN 1 THEN 'revision_humaine' ELSE 'faux_positif_regex' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
+def candidate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, entities = _capitalised(spark, sf_dir)
+    c = audit.candidates(pairs, entities).filter("type_motif = 'bigramme_capitalise'")
+    return c.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_JUDGED} SELECT doc_id, verdict FROM j WHERE verdict IN ('confirme', 'revision_humaine') AND doc_id % 3 = 2")
+def undecided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = _judged(spark, sf_dir)
+    key = {"liste": F.lit("residuel"), "identifiant": F.col("doc_id").cast("string"), "champ": F.lit("texte"), "type_motif": F.lit("email"), "debut": F.lit(0), "fin": F.lit(1)}
+    rows = lab.select(*[v.alias(k) for k, v in key.items()], "doc_id", "verdict")
+    done = lab.filter("decision <> 'en attente'").select(*[v.alias(k) for k, v in key.items()], "decision")
+    return audit.undecided(rows, done).filter(F.col("verdict").isin(audit.CONFIRMED, audit.HUMAN)).select("doc_id", "verdict")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id % 2 = 0 UNION ALL SELECT -count(*) AS doc_id FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 1 AND doc_id % 2 = 0")
+def publication_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even ids that may be published, and how many were left out as a negative number."""
+    d, out = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 2 = 0"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    return d.join(out, "doc_id", "left_anti").union(d.join(out, "doc_id", "left_semi").agg(-F.count("*")))

@@ -169,3 +169,8 @@ def write_splits(df: DataFrame, path: str) -> dict[str, int]:
 
 def export_exclusions(df: DataFrame, path: str) -> None:
     df.orderBy("identifiant").coalesce(1).write.mode("overwrite").json(path)
+
+
+def run_parameters(found: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Runs with the parameters that were written for them, null where there are none."""
+    return found.join(parameters, "run", "left")

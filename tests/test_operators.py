@@ -281,3 +281,14 @@ def test_streams(spark, tmp_path):
         stream = spark.readStream.schema("identifiant string").json(str(source))
         logs.resume(stream, f"{tmp_path}/out", "identifiant string", lambda d: d, f"{tmp_path}/cp{n}").awaitTermination()
     assert ids(spark.read.json(f"{tmp_path}/out")) == ["a", "b"]
+
+
+def test_log_details_and_text_tables(spark):
+    lines = spark.createDataFrame([("r", 0, "pkg @ git+https://host.example/x/y@" + "a" * 40), ("r", 1, "rows: 12"), ("r", 2, "rows=15")], "run string, ord int, line string")
+    assert log_replay.commits(lines).first().sha == "a" * 40
+    assert log_replay.counters(lines, ["rows", "other"]).first().asDict() == {"run": "r", "nom": "rows", "valeur": 15}
+    t = spark.createDataFrame([("s", "train"), ("s", "train"), ("s", "test")], "source string, split string")
+    line = sampling.as_text(sampling.crosstab(t, ["source"]), ["source"], 6).first().ligne
+    assert line == "s             2 ( 66.7 %)        0 (  0.0 %)        1 ( 33.3 %)        3"
+    runs = spark.createDataFrame([("r",), ("q",)], "run string")
+    assert {r.run: r.beta for r in files.run_parameters(runs, spark.createDataFrame([("r", 0.1)], "run string, beta double")).collect()} == {"r": 0.1, "q": None}
