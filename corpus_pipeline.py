@@ -14,16 +14,16 @@ from loamline.llm import decontamination, line_dedup, minhash_dedup, mixing, qua
 from loamline.llm.common import staged, table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null included) is in ids."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null included) is not in ids. These are few, and a table of their own tells Spark how few."""
+    ids = staged(ids.select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the line CRF scores 0.3 or more; trained on labelled rows that are not held out."""
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, quality_crf.score_documents(docs, model).filter("predicted = 1"))
+    return quality_crf.only_good(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return _only(docs, minhash_dedup.near_duplicates(docs).filter("kept"))
+    return _without(docs, minhash_dedup.near_duplicates(docs).filter("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without any ten-word window of a benchmark item."""
-    return _only(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).filter("not contaminated"))
+    return _without(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).filter("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,16 @@ def score_documents(docs: DataFrame, model: LineCrf, *, threshold: float = 0.3)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def only_good(docs: DataFrame, model: LineCrf, *, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py()) >= threshold for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_held_out(doc_id: int) -> bool:
     """The same rule in Python."""
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
