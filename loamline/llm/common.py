@@ -43,3 +43,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
+
+
+def least_hashes(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The ``n`` rows with the least hashes of the columns ``by`` (then by these columns): a bounded sample that reruns repeat.
+
+    Hashes above what is needed are filtered out first, so tasks send about ``n`` rows in
+    all, however many there are.
+    """
+    total = df.count()
+    share = (n + 8 * n**0.5 + 32) / max(total, 1)
+    h = F.xxhash64(*by)
+    few = df if share >= 1 else df.filter(h < int(share * 2**64) - 2**63)
+    return few.orderBy(h, *by).limit(n)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.common import least_hashes
 from loamline.llm.minhash_dedup import _mix, word_hashes
 
 BITS = 14
@@ -150,8 +151,8 @@ def template_match(family: str, line: str) -> float:
 
 def sample_lines(docs: DataFrame, n: int) -> list[str]:
     """At most ``n`` lines of the corpus: the first line of the ``n`` documents with the least hashes, cut to 400 code points."""
-    rows = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.substring(F.substring_index("text", "\n", 1), 1, 400).alias("line"))
-    return sorted(r.line for r in rows.orderBy("h", "line").limit(n).collect())
+    rows = docs.filter("text is not null").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 400).alias("line"))
+    return sorted(r.line for r in least_hashes(rows, n, "doc_id", "line").collect())
 
 
 def _scan(model: LicenceModel, threshold: float, match: float):

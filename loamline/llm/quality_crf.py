@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.common import least_hashes, staged
 from loamline.llm.minhash_dedup import word_hashes
 
 #: Classes of bytes whose shares are features: upper case, lower case, digits,
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_bytes
     """
     ids = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~held_out(F.col("doc_id")))
     ids = ids.join(docs.filter(F.octet_length("text") <= max_bytes).select("doc_id"), "doc_id", "left_semi")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    ids = least_hashes(staged(ids, "labelled"), max_docs, "doc_id")
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(ids, "doc_id").select("text", F.col("quality").cast("int"))
     got = rows.mapInPandas(_featured, "x binary, y int").toPandas()
     got = got.sort_values(["y", "x"], ignore_index=True)
