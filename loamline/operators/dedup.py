@@ -12,10 +12,15 @@ def first_wins(df: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFram
     return ranked.filter("_rn = 1").drop("_rn"), ranked.filter("_rn > 1").drop("_rn")
 
 
-def duplicate_rate(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier one in all columns, as a share of all rows (0 for none)."""
+def duplicate_counts(df: DataFrame) -> DataFrame:
+    """One row: lignes and duplicate_rate, the share of rows that repeat an earlier one in all columns (0 for none)."""
     counts = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).groupBy("row").count()
-    return counts.agg(F.sum("count").alias("n"), F.count("*").alias("d")).select(F.coalesce(F.try_divide(F.col("n") - F.col("d"), F.col("n")), F.lit(0.0)).alias("duplicate_rate"))
+    n, d = F.coalesce(F.sum("count"), F.lit(0)), F.count("*")
+    return counts.agg(n.alias("lignes"), F.coalesce(F.try_divide(n - d, n), F.lit(0.0)).alias("duplicate_rate"))
+
+
+def duplicate_rate(df: DataFrame) -> DataFrame:
+    return duplicate_counts(df).select("duplicate_rate")
 
 
 def not_yet_tried(grid: DataFrame, tried: DataFrame, on: list[str]) -> DataFrame:

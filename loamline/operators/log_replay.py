@@ -57,7 +57,7 @@ def replayed(lines: DataFrame) -> DataFrame:
     steps = elapsed(lines)
     total = steps.select("run", "total").distinct()
     first = F.regexp_extract("line", BAR, 2)
-    rows = lines.join(F.broadcast(total), "run").withColumn("is_bar", first == F.col("total").cast("string"))
+    rows = lines.join(total, "run").withColumn("is_bar", first == F.col("total").cast("string"))
     by_ord = Window.partitionBy("run").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("seen", F.coalesce(F.last(F.when(F.col("is_bar"), F.regexp_extract("line", BAR, 1).try_cast("int")), ignorenulls=True).over(by_ord), F.lit(0)))
     rows = rows.filter("not is_bar").withColumn("m", python_dict(F.col("line"))).filter("m is not null")
@@ -68,7 +68,7 @@ def replayed(lines: DataFrame) -> DataFrame:
     step = F.when(F.map_contains_key("m", "eval_loss"), F.rint(F.try_element_at("m", F.lit("epoch")) * each).cast("int")).otherwise(F.col("seen"))
     metrics = rows.select("run", step.alias("etape"), "ord", "m")
     near = nearest_steps(metrics.select("run", "etape", "ord", "m"), steps.select("run", "etape", "place"), "run", tie="place")
-    timed = near.join(steps.select("run", F.col("etape").alias("etape_train"), "ecoule"), ["run", "etape_train"]).join(F.broadcast(anchors(lines)), "run")
+    timed = near.join(steps.select("run", F.col("etape").alias("etape_train"), "ecoule"), ["run", "etape_train"]).join(anchors(lines), "run")
     names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
     long = timed.select("run", "etape", "ord", (F.col("t0") + F.col("ecoule")).alias("horodatage"), F.explode("m").alias("key", "valeur"))
     return long.withColumn("nom", F.try_element_at(names, F.col("key"))).filter("nom is not null").select("run", "etape", "nom", "valeur", "horodatage", "ord")

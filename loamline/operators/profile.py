@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamline.operators.dedup import duplicate_rate
+from loamline.operators.dedup import duplicate_counts
 
 
 def columns(df: DataFrame) -> DataFrame:
@@ -30,5 +30,5 @@ def by_block(df: DataFrame, order: str, rows: int) -> DataFrame:
 
 def tables(named: dict[str, DataFrame]) -> DataFrame:
     """table, lignes and duplicate_rate of several tables."""
-    parts = [duplicate_rate(d).join(d.agg(F.count("*").alias("lignes"))).select(F.lit(n).alias("table"), "lignes", "duplicate_rate") for n, d in named.items()]
+    parts = [duplicate_counts(d).select(F.lit(n).alias("table"), "lignes", "duplicate_rate") for n, d in named.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -603,3 +603,8 @@ def publication_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even ids that may be published, and how many were left out as a negative number."""
     d, out = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 2 = 0"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     return d.join(out, "doc_id", "left_anti").union(d.join(out, "doc_id", "left_semi").agg(-F.count("*")))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS lignes, ((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})))::DOUBLE / (SELECT count(*) FROM {t}) AS duplicate_rate" for t in ("labels", "benchmark", "conversations", "nation")))
+def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.tables({t: table(spark, sf_dir, t) for t in ("labels", "benchmark", "conversations", "nation")})
