@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 W = r"\p{L}\p{N}_"
-S = r"\t-\r\x1C-\x20\x85   -     　"
+S = r"\t-\r\x1C-\x20\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 EDGE_L, EDGE_R = rf"(?<![{W}])", rf"(?![{W}])"
 
 #: Month names, and the patterns of personal data that may be left in a text.
