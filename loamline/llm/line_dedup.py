@@ -6,10 +6,12 @@ on). Equal ranks after k rounds are the intervals of the suffix array whose long
 common prefix is 2^k lines or more. Suffixes alone in their interval are unique from
 there on and leave the sort, so rounds work on repeated lines only.
 
-A run is worth deleting from ``min_words`` words on. For each suffix the shortest
-such prefix is looked up in the two ranks that cover it; its interval holds all
-copies of that run. All but the first are deleted. A longer repeated run is the union of such
-runs, so overlapping ones add up to the maximal repeated runs.
+A run is worth deleting from ``min_words`` words on. For each line the shortest such
+runs that start and that end there are looked up in the two ranks that cover them;
+their intervals hold all copies. All but the first are deleted. A line of a longer
+repeated run has ``min_words`` words up to the run's end, and then the run that starts
+at the line is inside it, or the shortest run that ends at that end reaches back to the
+line: together they add up to the maximal repeated runs.
 """
 
 from __future__ import annotations
@@ -29,15 +31,23 @@ def _ranked(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _shortest_runs(active: DataFrame, min_words: int) -> DataFrame:
-    """Adds len: lines of the shortest run of repeated lines from here that has ``min_words`` words, or null."""
+    """Adds len and back: lines of the shortest runs of repeated lines with ``min_words`` words that start and that end here, or null.
+
+    back is null too where the run is also the shortest from its first line.
+    """
     by_pos = Window.partitionBy(*DOC).orderBy("pos")
     island = Window.partitionBy(*DOC, "island")
     before = island.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     out = active.withColumn("island", F.col("pos") - F.row_number().over(by_pos)).withColumn("base", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    out = out.withColumn("total", F.sum("w").over(island)).withColumn("end", F.max("pos").over(island) + 1)
+    out = out.withColumn("total", F.sum("w").over(island)).withColumn("start", F.min("pos").over(island)).withColumn("end", F.max("pos").over(island) + 1)
+    out = out.withColumn("through", F.col("base") + F.col("w"))
     beyond = F.min("pos").over(island.orderBy("base").rangeBetween(min_words, Window.unboundedFollowing))
     stop = F.coalesce(beyond, F.when(F.col("total") - F.col("base") >= min_words, F.col("end")))
-    return out.withColumn("len", stop - F.col("pos")).select(*DOC, "pos", "rank", "end", "len")
+    # lines that can go and leave min_words words up to here, and their words
+    spare = island.orderBy("through").rangeBetween(Window.unboundedPreceding, -min_words)
+    first, ahead = F.coalesce(F.max("pos").over(spare) + 1, F.col("start")), F.coalesce(F.max("through").over(spare), F.lit(0))
+    back = F.when(F.col("base") - ahead >= min_words, F.col("pos") - first + 1)
+    return out.withColumn("len", stop - F.col("pos")).withColumn("back", back).select(*DOC, "pos", "rank", "end", "len", "back")
 
 
 def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
@@ -46,16 +56,22 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     lines = staged(lines.select(*DOC, "pos", F.unhex(F.md5("line")).alias("id"), F.regexp_count("line", F.lit(_WORD)).alias("w")).distinct(), "lines")
     ranks = _ranked(lines.groupBy("id").agg(F.count("*").alias("n")), ["id"])
     active = staged(_shortest_runs(lines.join(ranks, "id").select(*DOC, "pos", "w", "rank"), min_words), "active")
-    longest = active.agg(F.max("len")).first()[0] or 0
+    longest = active.agg(F.max(F.greatest("len", "back"))).first()[0] or 0
+    backward = active.filter("back is not null").select(F.col("doc_id").alias("bd"), F.col("text_key").alias("bt"), (F.col("pos") - F.col("back") + 1).alias("bp"), F.col("back").alias("b_len"))
 
-    level, runs = active, None
+    level, runs = active.drop("back"), None
     k = 0
     while longest >= 1 << k:
         # suffixes whose run has 2^k lines or more, but fewer than 2^(k+1)
         ahead = Window.partitionBy(*DOC).orderBy("pos")
         due = F.col("len").between(1 << k, (2 << k) - 1)
+        here = level.filter(due).select(*DOC, "pos", "len", "rank")
+        if k:  # runs of one line start and end there alike
+            ends = backward.filter(F.col("b_len").between(1 << k, (2 << k) - 1))
+            ends = ends.join(level, level["doc_id"].eqNullSafe(ends["bd"]) & (level["text_key"] == ends["bt"]) & (level["pos"] == ends["bp"]))
+            here = here.union(ends.select(*DOC, "pos", F.col("b_len").alias("len"), "rank"))
         # the second half of the cover starts len - 2^k lines on
-        here = level.filter(due).select(*DOC, "pos", "len", "rank", (F.col("pos") + F.col("len") - (1 << k)).alias("pos2"))
+        here = here.withColumn("pos2", F.col("pos") + F.col("len") - (1 << k))
         there = level.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
         cover = here.join(there, here["doc_id"].eqNullSafe(there["d"]) & (here["text_key"] == there["t"]) & (here["pos2"] == there["pos2"])).select(*DOC, "pos", "len", "rank", "rank2")
         name = ["rank", "rank2", "len"]

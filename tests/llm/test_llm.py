@@ -134,6 +134,49 @@ def test_line_dedup(spark, seed):
     assert line_dedup.drop_repeated_runs(docs.limit(0), min_words=10).count() == 0
 
 
+def brute_runs(rows, least):
+    """Every line inside any run, of whatever length, of at least ``least`` words that occurs at an earlier place."""
+    docs = sorted({(i is None, i, t) for i, t in rows if t is not None}, key=lambda d: (d[0], d[1] or 0, hash_key(d[2])))
+    out, seen = {}, set()
+    for _, i, t in docs:
+        lines = t.split("\n")
+        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        dead = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) >= least:
+                    if tuple(lines[a:b]) in seen:
+                        dead |= set(range(a, b))
+                    seen.add(tuple(lines[a:b]))
+        out[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in dead)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_line_dedup_deletes_whole_runs(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(words_of(rng, rng.choice([0, 0, 1, 2, 3, 5, 8, 12, 40]))) for _ in range(14)]
+    rows = [(n, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {n} {rng.random()}" for _ in range(rng.randrange(1, 20)))) for n in range(40)]
+    rows += [(n + 50, rows[n][1] + "\nnew") for n in range(12)] + [(70, rows[3][1]), (71, None), (72, ""), (None, rows[5][1]), (3, rows[3][1]), (73, "a b\n" * 30)]
+    docs = frame(spark, rows)
+    _KEYS.update({r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()})
+    for least in (10, 25):
+        want = brute_runs(rows, least)
+        got = line_dedup.drop_repeated_runs(docs, min_words=least).withColumn("h", F.lit(1)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.text == (None if r.text is None else want[r.doc_id, next(t for i, t in rows if i == r.doc_id)])
+
+
+def test_line_dedup_keeps_no_tail(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join(words_of(rng, n, 10**6))
+    planted, long, short = (["\n".join(line(n) for n in sizes) for sizes in ((60, 10), (153, 27, 29, 33, 3), (7, 25, 25, 3, 4))])
+    rows = [(n, t) for n, t in enumerate([planted, long, short] * 2)] + [(6, f"own line\n{planted}\nlast line")]
+    got = {r.doc_id: (r.text, r._runs.n_removed) for r in line_dedup.drop_repeated_runs(frame(spark, rows)).collect()}
+    assert got == {0: (planted, 0), 1: (long, 0), 2: (short, 0), 3: ("", 2), 4: ("", 5), 5: ("", 5), 6: ("own line\nlast line", 2)}
+
+
 # decontamination
 
 
