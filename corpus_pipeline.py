@@ -1,8 +1,8 @@
 """A training corpus in five stages, each written as Parquet and read by the next.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``docs``. Stages that join on doc_id read it as the key of
-``documents``.
+return the columns of ``docs``. Rows are dropped by doc_id (null included) and text, so
+rows that share a doc_id are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from loamline.llm import decontamination, line_dedup, minhash_dedup, mixing, qua
 from loamline.llm.common import staged, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null included) is not in ids. These are few, and a table of their own tells Spark how few."""
-    ids = staged(ids.select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+def _matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose doc_id (null included) and text are (left_semi) or aren't (left_anti) in rows, a table of its own: then Spark knows how few they are."""
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_key"]), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +33,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return _without(docs, minhash_dedup.near_duplicates(docs).filter("not kept"))
+    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8): that with the least doc_id (nulls last), then the least hash of the text, then of the row."""
+    members = minhash_dedup.group_members(docs)
+    dropped = staged(members.filter("not first or n > 1").select("doc_id", "text_key"), "dropped")
+    repeated = staged(members.filter("first and n > 1").select("doc_id", "text_key"), "repeated")
+    out = _matched(docs, dropped, "left_anti")
+    if repeated.isEmpty():
+        return out
+    # of rows equal in doc_id and text, one; the minimum is taken before rows are moved
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    return out.union(_matched(docs, repeated, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_key")).agg(row).select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without any ten-word window of a benchmark item."""
-    return _without(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).filter("contaminated"))
+    """Keeps rows whose text is without any ten-word window of a benchmark item."""
+    judged = decontamination.judged_texts(docs, table(spark, sf_dir, "benchmark"), window=10)
+    return _matched(docs, staged(judged.filter("contaminated").select("doc_id", "text_key").distinct(), "dropped"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,19 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
     return names if names is not None else edges.sparkSession.createDataFrame([], "node binary, comp binary")
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
-
-    ``docs`` needs doc_id and text; other columns are ignored. Returns doc_id,
-    n_shingles, component_id (least doc_id that can be reached over links, the
-    document's own included) and kept (doc_id = component_id), one row per input row.
-
-    A null, empty or blank text has an empty set and links with nothing. Texts of
-    fewer than ``shingle_words`` words are one shingle. Equal sets share a component,
-    repeated rows with one doc_id too. Null doc_ids take part, but are no
-    component_id unless a component has no other; they are kept only then. Texts
-    are read whole; an empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with the class of its shingle set (doc_id, text_key, n_shingles, cls; null if empty), and the classes with their components (cls, first_id, comp)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = staged(docs.mapInArrow(_signed(shingle_words), f"doc_id {kind}, text_key bigint, n_shingles bigint, cls binary, signature array<int>, keys array<bigint>"), "signatures")
@@ -260,9 +249,40 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     if not more.isEmpty():
         grouped = components(links.union(more))
 
-    named = classes.select("cls", "first_id").join(grouped.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return signed.select("doc_id", "text_key", "n_shingles", "cls"), classes.select("cls", "first_id").join(grouped.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
+
+    ``docs`` needs doc_id and text; other columns are ignored. Returns doc_id,
+    n_shingles, component_id (least doc_id that can be reached over links, the
+    document's own included) and kept (doc_id = component_id), one row per input row.
+
+    A null, empty or blank text has an empty set and links with nothing. Texts of
+    fewer than ``shingle_words`` words are one shingle. Equal sets share a component,
+    repeated rows with one doc_id too. Null doc_ids take part, but are no
+    component_id unless a component has no other; they are kept only then. Texts
+    are read whole; an empty table gives an empty result.
+    """
+    signed, named = _grouped(docs, shingle_words, percent)
     heads = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(heads, "comp").select("cls", "component_id")
     out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def group_members(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The members of the groups of two rows or more, so that one row of each can be chosen.
+
+    Returns doc_id, text_key (xxhash64 of the text), n (rows with both) and first:
+    true for one member of each group, that with the least doc_id (nulls last), then
+    the least text_key. Groups and arguments are those of ``near_duplicates``.
+    """
+    signed, named = _grouped(docs, shingle_words, percent)
+    placed = signed.filter("cls is not null").join(named.select("cls", "comp"), "cls").groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    placed = staged(placed, "placed")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    heads = placed.groupBy("comp").agg(F.min(own).alias("head"), F.sum("n").alias("rows")).filter("rows > 1")
+    return placed.join(heads, "comp").select("doc_id", "text_key", "n", own.eqNullSafe(F.col("head")).alias("first"))

@@ -452,3 +452,24 @@ def test_pipeline(spark, tmp_path):
     assert 505 not in seen["decontamination"] and 506 in seen["decontamination"]
     assert set(seen["mixing"]) <= set(seen["decontamination"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["mixing"])
+
+
+def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda: " ".join(words_of(rng, 60, 5000))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    item = " ".join(words_of(rng, 15, 5000))
+    near = a.replace(a.split()[30], "changed", 1)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    groups = [(3, a), (5, near), (5, b), (None, a), (None, c), (None, c), (None, d), (9, e), (9, e), (9, e + " more"), (None, None), (None, ""), (11, "")]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, [*groups, (9, e, "other")]), str(tmp_path))
+    assert got.columns == frame(spark, []).columns
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    of_e = [r for r in rows if r[1] in (e, e + " more")]
+    assert len(of_e) == 1 and of_e[0][0] == 9
+    assert sorted((r for r in rows if r not in of_e), key=str) == sorted([(3, a), (5, b), (None, c), (None, d), (None, None), (None, ""), (11, "")], key=str)
+
+    dirty = [(None, f"{d} {item}"), (None, e), (None, None), (7, f"{item} {f}"), (7, f), (7, f), (8, item)]
+    got = corpus_pipeline.decontaminated(spark, frame(spark, dirty), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, e), (None, None), (7, f), (7, f)], key=str)
