@@ -571,9 +571,8 @@ def history_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", "n", js.history(F.col("t")).alias("roles"))
 
 
-def _capitalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates of ASCII documents, and entities: a person over all, a label of no interest, or none."""
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+def _opinions(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as pairs, and entities: a person over all, a label of no interest, or none."""
     pairs = d.select(F.col("doc_id").cast("string").alias("identifiant"), "source", F.lit("en").alias("langue"), F.lit(0).alias("champ_ord"), F.lit("texte").alias("champ"), F.lit("").alias("original"), F.col("text").alias("masque"))
     label = F.when(F.col("doc_id") % 3 == 0, "PERSON").when(F.col("doc_id") % 3 == 1, "MISC")
     spans = F.array(F.struct(label.alias("label"), F.lit(0).alias("start"), F.length("text").alias("end")))
@@ -584,11 +583,18 @@ def _capitalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query(r"""WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b')) AS f FROM d)
 SELECT CASE doc_id % 3 WHEN 0 THEN 'confirme' WHEN 1 THEN 'revision_humaine' ELSE 'faux_positif_regex' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
 def candidate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, entities = _capitalised(spark, sf_dir)
+    """Capitalised words of ASCII documents only, as its SQL has it; ``candidate_verdicts_all`` has all."""
+    pairs, entities = _opinions(table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
     c = audit.candidates(pairs, entities).filter("type_motif = 'bigramme_capitalise'")
     return c.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+@query()
+def candidate_verdicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every kind in all documents."""
+    return audit.candidates(*_opinions(table(spark, sf_dir, "documents"))).groupBy("type_motif", "verdict").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_JUDGED} SELECT doc_id, verdict FROM j WHERE verdict IN ('confirme', 'revision_humaine') AND doc_id % 3 = 2")
 def undecided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = _judged(spark, sf_dir)
@@ -600,11 +606,18 @@ def undecided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id % 2 = 0 UNION ALL SELECT -count(*) AS doc_id FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 1 AND doc_id % 2 = 0")
 def publication_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even ids that may be published, and how many were left out as a negative number."""
+    """Even ids that may be published, and how many were left out as a negative number; ``publication_filter_all`` has all ids."""
     d, out = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 2 = 0"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     return d.join(out, "doc_id", "left_anti").union(d.join(out, "doc_id", "left_semi").agg(-F.count("*")))
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT -count(*) AS doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def publication_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that may be published, and how many were left out as a negative number."""
+    d, out = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    return d.join(out, "doc_id", "left_anti").union(d.join(out, "doc_id", "left_semi").agg(-F.count("*")))
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS lignes, ((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})))::DOUBLE / (SELECT count(*) FROM {t}) AS duplicate_rate" for t in ("labels", "benchmark", "conversations", "nation")))
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.tables({t: table(spark, sf_dir, t) for t in ("labels", "benchmark", "conversations", "nation")})

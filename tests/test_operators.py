@@ -1,5 +1,7 @@
 import difflib
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from loamline import schemas
 from loamline.functions import text as tx
 from loamline.operators import anonymise, audit, chat, curves, dedup, evaluate, log_replay, mapping, profile, sampling
+from loamline.plans import queries as plans
 from loamline.sources import files
 from loamline.streaming import logs
 
@@ -292,3 +295,17 @@ def test_log_details_and_text_tables(spark):
     assert line == "s             2 ( 66.7 %)        0 (  0.0 %)        1 ( 33.3 %)        3"
     runs = spark.createDataFrame([("r",), ("q",)], "run string")
     assert {r.run: r.beta for r in files.run_parameters(runs, spark.createDataFrame([("r", 0.1)], "run string, beta double")).collect()} == {"r": 0.1, "q": None}
+
+
+def test_registered_queries_run_over_all_documents(spark, tmp_path):
+    texts = ["Jean Dupont a vu Émile Zola", "été à Paris Sud\nécrire à zoé@b.fr", "Anna Lee, a@b.fr", None, "Ève Ménard et Luc", "xAnna Lee ÉAnna Lee", "Marie Curie\nLe Havre 1.2"]
+    spark.createDataFrame([(n, t, "s") for n, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (5, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    by_id = {0: audit.CONFIRMED, 1: audit.HUMAN, 2: audit.REGEX_FALSE}
+    want = Counter()
+    for n, t in enumerate(texts):
+        want[("bigramme_capitalise", by_id[n % 3])] += len(re.findall(r"\b[A-ZÀ-Ý][a-zà-ÿ]+(?:\s+[A-ZÀ-Ý][a-zà-ÿ]+)+\b", t or ""))
+        want[("email", audit.CONFIRMED)] += len(re.findall(r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}", t or ""))
+    got = plans.candidate_verdicts_all(spark, str(tmp_path)).collect()
+    assert {(r.type_motif, r.verdict): r.n for r in got} == dict(+want)
+    assert sorted(r.doc_id for r in plans.publication_filter_all(spark, str(tmp_path)).collect()) == [-2, 0, 3, 4, 5, 6]
