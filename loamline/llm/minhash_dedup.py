@@ -10,16 +10,15 @@ all of 12 chunks fail together for 3 pairs in a million.
 Equal shingle sets fall into one class before anything is paired. Within an index
 bucket members are first compared with one centre only, the member that shares
 most buckets. Where a bucket still holds several components, the members outside its
-largest are then compared with all members of that component and with each other,
-by 20-bit prints of their whole sets: a join condition that never judges a common
-part too small, so only pairs that may link leave the join. No link between different
-texts is lost: every pair that shares a bucket is inside one component already,
-ruled out by its prints, or compared on its full shingle sets.
+largest meet those of that component, and each other, by the rarest prints of their
+whole sets (prefix filter); a bound of the common part from the prints, which is never
+too small, leaves only pairs that may link. No link between different texts is lost:
+every pair that shares a bucket is inside one component already, ruled out by its
+prints, or compared on its full shingle sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import staged
+from loamline.llm.common import discard, staged
 
 CHUNKS, WIDTH, BITS = 12, 6, 16
-#: Signatures of sets as similar as 0.8 differ in 14.4 of 72 positions on average
-#: (deviation 3.4); beyond this distance, 7 deviations more, pairs are not confirmed.
-MAX_DISTANCE = 38
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -130,8 +126,8 @@ def _signed(size: int):
                     signatures.append(_signature(shingles))
                 rows = np.array(signatures, dtype=np.int32).reshape(-1, CHUNKS * WIDTH)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), _lists(rows, pa.int32()), _lists(_index_keys(rows), pa.int64())],
-                    names=["doc_id", "text_key", "n_shingles", "cls", "signature", "keys"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), _lists(_index_keys(rows), pa.int64())],
+                    names=["doc_id", "text_key", "n_shingles", "cls", "keys"],
                 )
 
     return run
@@ -161,7 +157,7 @@ def _printed(size: int):
             counts, folded, prints = [], [], []
             for text in batch.column("text"):
                 shingles = shingle_set(text.as_py(), size)
-                short = np.unique((shingles >> np.uint64(44)).astype(np.int32))
+                short = np.unique((shingles >> np.uint64(33)).astype(np.int32))
                 counts.append(len(shingles))
                 folded.append(len(shingles) - len(short))
                 prints.append(short)
@@ -175,49 +171,73 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node at its least neighbour, follows the pointers once
     more and contracts. Nodes are named by hashes, so chains of pointers stay short
-    and the rounds grow with the logarithm of the nodes.
+    and the rounds grow with the logarithm of the nodes. The pointers to a hub have
+    one unique row on the other side of each join, so adaptive execution can split them.
     """
-    left = staged(edges.select("a", "b").distinct(), "edges")
-    names = None
+    left, names = staged(edges.select("a", "b").distinct(), "edges"), None
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        least = staged(least, "pointers")
+        least = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "pointers")
         jump = staged(least.join(least.select(F.col("a").alias("to"), F.col("to").alias("to2")), "to").select("a", F.col("to2").alias("to")), "pointers")
         if names is None:
-            names = jump.select(F.col("a").alias("node"), F.col("to").alias("comp"))
+            moved = jump.select(F.col("a").alias("node"), F.col("to").alias("comp"))
         else:
-            names = names.join(jump.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        names = staged(names, "components")
+            moved = names.join(jump.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        moved = staged(moved, "components")
         ends = left.join(jump, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(jump, "a").select(F.col("x").alias("a"), F.col("to").alias("b"))
-        left = staged(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        fewer = staged(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(least, jump, left, *([] if names is None else [names]))
+        left, names = fewer, moved
+    discard(left)
     return names if names is not None else edges.sparkSession.createDataFrame([], "node binary, comp binary")
 
 
+def _sharing_rare_prints(ends: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``ends`` (main, cls, comp, is_out), one of them outside the main component, that may be similar enough.
+
+    Two sets that agree in ``percent`` share a print among the rarest n - ceil(n *
+    percent / 100) + 1 of each (prefix filter), and from the first one that they share
+    on there must be enough prints left. So members meet by what is rare in both.
+    """
+    often = prints.select(F.explode("prints").alias("p")).groupBy("p").agg(F.count("*").alias("f"))
+    ordered = prints.select("cls", "n", "folded", F.explode("prints").alias("p")).join(often, "p").groupBy("cls", "n", "folded").agg(F.sort_array(F.collect_list(F.struct("f", "p"))).alias("r"))
+    rare = F.slice(F.transform("r", lambda s: s["p"]), F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    ordered = staged(ordered.select("cls", "n", "folded", rare.alias("rare")), "rare")
+    each = ends.join(ordered.select("cls", "n", "folded", F.posexplode("rare").alias("at", "p")), "cls")
+    x, y = (each.select("main", "p", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "comp", "n", "folded", "at", "is_out")]) for side in "xy")
+    x = x.filter("is_out_x")
+    needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9) - F.least("folded_x", "folded_y")
+    left = F.least(F.col("n_x") - F.col("folded_x") - F.col("at_x"), F.col("n_y") - F.col("folded_y") - F.col("at_y"))
+    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    met = x.join(y, ["main", "p"]).filter((F.col("comp_x") != F.col("comp_y")) & (~F.col("is_out_y") | (F.col("cls_x") < F.col("cls_y"))) & sized & (left >= needed))
+    out = staged(met.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct(), "sharing")
+    discard(ordered)
+    return out
+
+
 def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every row with the class of its shingle set (doc_id, text_key, n_shingles, cls; null if empty), and the classes with their components (cls, first_id, comp)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = staged(docs.mapInArrow(_signed(shingle_words), f"doc_id {kind}, text_key bigint, n_shingles bigint, cls binary, signature array<int>, keys array<bigint>"), "signatures")
+    signed = staged(docs.mapInArrow(_signed(shingle_words), f"doc_id {kind}, text_key bigint, n_shingles bigint, cls binary, keys array<bigint>"), "signatures")
 
     # one row per class: the least (doc_id, text) stands for it
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = staged(classes, "classes")
     indexed = classes.select("cls", F.explode("keys").alias("key"))
     shared = indexed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = staged(indexed.join(shared, "key"), "members")
 
     # texts of the classes that share a bucket with another
-    wanted = members.select("cls").distinct().join(classes.select("cls", "rep", "signature", "n"), "cls")
-    wanted = wanted.select("cls", "signature", "n", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("id"))
-    texts = docs.join(wanted, (docs.text_key == wanted.text_key) & docs.doc_id.eqNullSafe(wanted.id)).select("cls", "signature", "n", "text").dropDuplicates(["cls"])
+    wanted = members.select("cls").distinct().join(classes.select("cls", "rep", "n"), "cls")
+    wanted = wanted.select("cls", "n", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("id"))
+    texts = docs.join(wanted, (docs.text_key == wanted.text_key) & docs.doc_id.eqNullSafe(wanted.id)).select("cls", "n", "text").dropDuplicates(["cls"])
     texts = staged(texts, "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        short = texts.select("cls", "signature", "n")
-        pairs = pairs.join(short.toDF("a", "sa", "na"), "a").join(short.toDF("b", "sb", "nb"), "b")
-        distance = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x != y), lambda d: d))
-        pairs = pairs.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (distance <= MAX_DISTANCE)).select("a", "b")
+        sizes = texts.select("cls", "n")
+        pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+        pairs = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
         whole = texts.select("cls", "text")
         return pairs.join(whole.toDF("b", "text_b"), "b").join(whole.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle_words, percent), "a binary, b binary")
 
@@ -237,17 +257,16 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFra
     mains = outside.select("main").distinct()
     inside = grouped.toDF("cls", "comp").join(mains.withColumnRenamed("main", "comp"), "comp").select(F.col("comp").alias("main"), "cls", "comp")
     inside = inside.union(mains.select("main", F.col("main").alias("cls"), F.col("main").alias("comp"))).distinct()
-    ends = outside.withColumn("is_out", F.lit(True)).union(inside.withColumn("is_out", F.lit(False)))
+    ends = staged(outside.withColumn("is_out", F.lit(True)).union(inside.withColumn("is_out", F.lit(False))), "ends")
     prints = staged(texts.join(ends.select("cls").distinct(), "cls").select("cls", "text").mapInArrow(_printed(shingle_words), "cls binary, n int, folded int, prints array<int>"), "prints")
-    # sets as similar as that differ in size by a factor of 100 / percent at most: bands of sizes and their neighbours
-    ends = ends.join(prints, "cls").withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9))
-    x = ends.filter("is_out").select(F.col("main").alias("xm"), F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("folded").alias("fx"), F.col("prints").alias("px"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("xb"))
-    most = F.size(F.array_intersect("px", "prints")) + F.least("fx", "folded")  # of the common shingles, never too few
-    near = (F.col("xm") == F.col("main")) & (F.col("xb") == F.col("band")) & (F.col("cx") != F.col("comp")) & (~F.col("is_out") | (F.col("x") < F.col("cls"))) & (100 * most >= percent * (F.col("nx") + F.col("n") - most))
-    pairs = x.join(ends, near).select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(confirmed(staged(pairs, "pairs")), "links")
+    met = staged(_sharing_rare_prints(ends, prints, percent).join(tried, ["a", "b"], "left_anti"), "met")
+    x, y = (prints.select(*[F.col(c).alias(f"{c}_{side}") for c in prints.columns]).withColumnRenamed(f"cls_{side}", side) for side in ("a", "b"))
+    most = F.size(F.array_intersect("prints_a", "prints_b")) + F.least("folded_a", "folded_b")  # of the common shingles, never too few
+    pairs = met.join(x, "a").join(y, "b").filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+    more = staged(confirmed(pairs), "links")
     if not more.isEmpty():
         grouped = components(links.union(more))
+    discard(members, texts, tried, links, placed, outside, ends, prints, met, more)
 
     return signed.select("doc_id", "text_key", "n_shingles", "cls"), classes.select("cls", "first_id").join(grouped.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
