@@ -1,9 +1,10 @@
 """The training-data operators against brute force, on small tables with nulls, ties, copies and odd columns."""
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -218,6 +219,51 @@ def test_proximity(spark):
     assert got == {1: 0, 2: 2}
 
 
+def near_windows(rows, items, missing, slack, window=10):
+    """{(doc place, window): least summed shift at the start with most words} by trying every start."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wins = set()
+    for _, text in items:
+        q = split(text)
+        if len(q) >= window:
+            wins |= {tuple(q[a : a + window]) for a in [*range(0, len(q) - window + 1, window), len(q) - window]}
+    out = {}
+    for n, (_, t) in enumerate(rows):
+        w = split(t)
+        for q in wins:
+            for s in range(-window - slack, len(w) + slack):
+                offs = []
+                for i, term in enumerate(q):
+                    at = [abs(d) for d in range(-slack, slack + 1) if 0 <= s + i + d < len(w) and w[s + i + d] == term]
+                    offs += [min(at)] if at else []
+                if len(offs) >= window - missing:
+                    out[n, q] = min(out.get((n, q), (0, 10**6)), (-len(offs), sum(offs)))
+    return out
+
+
+@pytest.mark.parametrize(("missing", "slack"), [(1, 3), (2, 2), (0, 1)])
+def test_proximity_by_brute_force(spark, missing, slack):
+    rng = random.Random(missing + 7)
+    items = [(n, " ".join(words_of(rng, rng.choice([9, 10, 14, 25]), 60))) for n in range(10)] + [(20, None), (21, "w1 w1 w1 w2 w2 w3 w1 w1 w2 w9"), (22, "zebra w1 w2 w3 w4 w5 w6 w7 w8 quokka")]
+    rows = []
+    for n in range(60):
+        w = words_of(rng, rng.randrange(0, 40), 60)
+        part = items[n % 10][1].split()[rng.randrange(2) :]
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(part))
+            part[k : k + rng.randrange(2)] = rng.choice([["new"], ["W5", "other"], []])
+        rows.append((n, " ".join(w[:9] + part + w[9:])))
+    rows += [(80, None), (81, ""), (82, "w1 " * 40), (83, "zebra x x x x x x x x quokka"), (84, "zebra w1 w2 w3 w4 none w6 w7 w8 quokka"), (85, "w1 w2 w3 w4 w5 w6 w7 w8 quokka"), (3, rows[4][1]), (3, rows[4][1])]
+    want = near_windows(rows, items, missing, slack)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(frame(spark, rows), bench, near=(missing, slack)).collect()
+    counts = Counter(n for n, _ in want)
+    assert len(want) > 15 and sorted(((r.doc_id, r.n_near) for r in got), key=str) == sorted(((rows[n][0], counts[n]) for n in range(len(rows))), key=str)
+    listed = decontamination.proximity(frame(spark, rows[:-2]), bench, slack=slack, missing=missing).collect()
+    assert sorted((r.doc_id, r["shift"]) for r in listed) == sorted((rows[n][0], v[1]) for (n, _), v in want.items() if n < len(rows) - 2)
+
+
 # mixing
 
 
@@ -284,6 +330,97 @@ def test_templates_learn_from_rules(spark):
     assert {r.verdict for r in got} == {"block"} and all(r.template.startswith("/spam") for r in got)
 
 
+def brute_templates(urls, z=2.58, least=5.0):
+    """{segs: template} of one tree, urls {segs: (blocked, labelled)}; node by node in Python."""
+    out, nodes, level = {}, {"": list(urls)}, 0
+    while nodes:
+        following = defaultdict(list)
+        for node, paths in nodes.items():
+            b, n = (sum(urls[p][k] for p in paths) for k in (0, 1))
+            if min(b, n - b) < 2 * least or all(len(p) <= level for p in paths):
+                out |= {p: node + "/**" for p in paths}
+                continue
+            child = defaultdict(lambda: [0, 0])
+            for p in paths:
+                if len(p) > level:
+                    child[p[level]][0] += urls[p][0]
+                    child[p[level]][1] += urls[p][1]
+            branch, moved = {s: "" for s, c in child.items() if c[1]}, True
+            while moved:
+                totals, new = defaultdict(lambda: [0, 0]), {}
+                for s, k in branch.items():
+                    totals[k][0] += child[s][0]
+                    totals[k][1] += child[s][1]
+                for s, k in branch.items():
+                    (cb, cn), (pb, pn) = child[s], totals[k]
+                    rest = pn - cn
+                    if rest and min(cn, rest) * min(pb, pn - pb) >= least * pn:
+                        gap = cb / cn - (pb - cb) / rest
+                        error = math.sqrt(pb / pn * (1 - pb / pn) * (1 / cn + 1 / rest))
+                        if abs(gap) > z * error:
+                            new[s] = k + ("+" if gap > 0 else "-")
+                moved, branch = bool(new), branch | new
+            shared = Counter(branch.values())
+            for p in paths:
+                if len(p) <= level:
+                    out[p] = node or "/"
+                else:
+                    k = branch.get(p[level], "")
+                    following[node + "/" + ("*" if not k else p[level] if shared[k] == 1 else "*" + k)].append(p)
+        nodes, level = following, level + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["spam", "ads", "news", "blog", "*", "shop"]
+    urls = []
+    for _ in range(1500):
+        host = rng.choice(["a.net", "b.net", "c.net"])
+        segs = ["x"] * rng.randrange(2) + rng.choices(words, k=rng.randrange(3)) + [str(rng.randrange(40))] * rng.randrange(2)
+        urls.append(f"http://{host}/" + "/".join(segs))
+    rules = [("a.net", "/spam", "block"), ("a.net", "/ads", "block"), ("a.net", "/x/shop", "block"), ("a.net", "/", "allow"), ("b.net", "/x/*", "block"), ("b.net", "/x/spam", "block"), ("b.net", "/x", "allow")]
+    got = url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    counts = {h: defaultdict(lambda: [0, 0]) for h in ("a.net", "b.net", "c.net", "all")}
+    parsed = []
+    for u in urls:
+        host, _, path = u[7:].partition("/")
+        segs = tuple(s.replace("*", "%2A") for s in path.split("/") if s)
+        fits = [(h + p, v) for h, p, v in rules if host == h and ("/" + path).startswith(p)]
+        verdict = max(fits, key=lambda f: len(f[0]), default=(None, None))[1]
+        for tree in (host, "all"):
+            counts[tree][segs][0] += verdict == "block"
+            counts[tree][segs][1] += verdict is not None
+        parsed.append((host, segs, verdict))
+    trees = {tree: brute_templates(c) for tree, c in counts.items()}
+    sums = {tree: defaultdict(lambda: [0, 0]) for tree in trees}
+    for tree, named in trees.items():
+        for segs, template in named.items():
+            for k in (0, 1):
+                sums[tree][template][k] += counts[tree][segs][k]
+    overall = sum(c[0] for c in counts["all"].values()) / sum(c[1] for c in counts["all"].values())
+    assert len(set(trees["a.net"].values())) > 4 and any("*+" in x or "*-" in x for x in {*trees["a.net"].values(), *trees["all"].values()})
+    for r in got:
+        host, segs, verdict = parsed[r.page_id]
+        b, n = sums["all"][trees["all"][segs]]
+        wide = (b + 8 * overall) / (n + 8)
+        b, n = sums[host][trees[host][segs]]
+        assert r.template == trees[host][segs] and math.isclose(r.score, (b + 8 * wide) / (n + 8))
+        assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+
+
+def test_deep_paths_and_ties(spark):
+    deep = [(n, f"http://x.net/a/b/c/d/{'spam' if n % 2 else 'news'}/{n}") for n in range(200)] + [(1000 + n, f"http://y.net/a/b/c/d/{'spam' if n % 2 else 'news'}/{n}") for n in range(10)]
+    long = [(2000, "http://x.net/" + "s/" * 20_000), (2000, "http://x.net/" + "s/" * 20_000)]
+    rules = [("x.net", "/a/b/c/d/spam", "block"), ("x.net", "/a/b/c/d/news", "allow")]
+    rows = url_filters.judge_urls(spark.createDataFrame(deep + long, "page_id long, url string"), rules).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == 212 and all(got[1000 + n].verdict == ("block" if n % 2 else "allow") for n in range(10))
+    tie = url_filters.judge_urls(spark.createDataFrame([(1, "http://t.net/b"), (2, "http://t.net/a"), (3, "http://t.net/c")], "page_id long, url string"), [("t.net", "/b", "block"), ("t.net", "/a", "allow")])
+    assert {r.page_id: (r.verdict, r.score) for r in tie.collect()}[3] == ("block", 0.5)
+
+
 # conversations
 
 
