@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loamline.functions.text import strip
+from loamline.functions.text import bound, strip
 
 
 def strict(text: Column) -> Column:
@@ -13,9 +13,8 @@ def strict(text: Column) -> Column:
 
     Duplicate keys and NaN are no JSON here.
     """
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.try_variant_get(whole, "$[1]", "variant").isNull() & (F.size(F.try_variant_get(whole, "$", "array<variant>")) == 1)
-    return F.when(one, F.try_variant_get(whole, "$[0]", "variant"))
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return bound(items, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
 
 
 def is_object(v: Column) -> Column:
@@ -23,21 +22,43 @@ def is_object(v: Column) -> Column:
 
 
 def lenient_object(text: Column) -> Column:
-    """The text as a JSON object, or else the block from its first { to its last }; null if neither is one."""
-    block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    whole, part = strict(text), strict(F.nullif(block, F.lit("")))
-    return F.when(is_object(whole), whole).when(is_object(part), part)
+    """The text as a JSON object, or else the block from its first { to its last }; null if neither is one. Each is parsed once, the block only if it is needed."""
+    block = strict(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
+    part = bound(block, lambda p: F.when(is_object(p), p))
+    return bound(strict(text), lambda w: F.when(is_object(w), w).otherwise(part))
+
+
+def python_float(c: Column) -> Column:
+    """A double as Python prints it."""
+    plain, exponent = c.cast("string"), F.regexp_extract(c.cast("string"), r"E(-?[0-9]+)$", 1).try_cast("int")
+    whole = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    digits = F.regexp_replace(F.regexp_extract(plain, r"^(.*)E", 1), r"\.0$", "")
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
+    named = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+    return F.coalesce(named, F.when(exponent.isNull(), plain).when(exponent.between(-4, 15), whole).otherwise(F.concat(digits, F.lit("e"), power)))
+
+
+def _spelled(v: Column, nested: bool = False) -> Column:
+    """A JSON scalar as Python prints it; in a list, texts are quoted."""
+    kind, plain = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    text = F.when(plain.contains("'") & ~plain.contains('"'), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))) if nested else plain
+    number = (kind.startswith("DECIMAL") & ~kind.endswith(",0)")) | kind.isin("DOUBLE", "FLOAT")
+    out = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(plain)).when(number, python_float(F.try_variant_get(v, "$", "double")))
+    return out.when(kind == "STRING", text).otherwise(plain)
 
 
 def level(text: Column, field: str = "niveau") -> Column:
-    """The field of the lenient object as trimmed text; null if absent. Literals are spelled None, True and False."""
-    obj = lenient_object(text)
-    value = F.try_variant_get(obj, f"$.{field}", "variant")
-    kind = F.schema_of_variant(value)
-    there = F.array_contains(F.json_object_keys(obj.cast("string")), field)
-    plain = F.try_variant_get(obj, f"$.{field}", "string")
-    spelled = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
-    return F.when(there, strip(F.coalesce(spelled, F.lit("None"))))
+    """The field of the lenient object as Python prints it, trimmed; null if absent.
+
+    Literals are spelled None, True and False, 3.0 keeps its point, lists of plain
+    values have a space after each comma. Objects are given as JSON.
+    """
+
+    def spelled(v: Column) -> Column:
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: bound(x, lambda y: F.coalesce(_spelled(y, True), F.lit("None"))))
+        return strip(F.when(F.schema_of_variant(v).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))).otherwise(_spelled(v)))
+
+    return bound(F.try_variant_get(lenient_object(text), f"$.{field}", "variant"), lambda v: F.when(v.isNotNull(), spelled(v)))
 
 
 def _thought(text: Column, i: int) -> Column:
@@ -76,10 +97,13 @@ def has_diagnosis_form(text: Column) -> Column:
 
 
 def python_dict(text: Column) -> Column:
-    """A printed dict of numbers as map<string,double>, or null. Only lines of train and eval losses are read."""
+    """A printed dict as map<string,double>, or null; values that are no numbers are null. Only lines of train and eval losses are read."""
     line = strip(text)
-    parsed = F.from_json(line, "map<string,double>", {"allowSingleQuotes": "true", "allowNonNumericNumbers": "true"})
-    return F.when(line.startswith("{'loss'") | line.startswith("{'eval_loss'"), parsed)
+    json = F.regexp_replace(line, r":\s*(None|True|False)\s*(?=[,}])", ": null")
+    json = F.regexp_replace(F.regexp_replace(json, r":\s*nan\s*(?=[,}])", ": 'NaN'"), r":\s*(-?)inf\s*(?=[,}])", ": '$1Infinity'")
+    parsed = F.from_json(json, "map<string,string>", {"allowSingleQuotes": "true"})
+    numbers = F.transform_values(parsed, lambda _, v: v.try_cast("double"))
+    return F.when(line.startswith("{'loss'") | line.startswith("{'eval_loss'"), numbers)
 
 
 def split_glued(text: Column) -> Column:

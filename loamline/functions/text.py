@@ -7,6 +7,8 @@ Offsets count code points, from 0, half-open.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,20 +76,24 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, rf"[{S}]+"), lambda t: t != "")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once a row, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def spans(text: Column, kind: str, pattern: str) -> Column:
     """All matches, left to right, as (kind, start, end, found)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.length(F.get(gaps, i))
-        m = F.get(found, i)
-        e = s + F.length(m)
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), m.alias("found")))).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["gap"])
+        e = s + F.length(x["found"])
+        here = F.array(F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), x["found"].alias("found")))
+        return F.when(x["found"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], here).alias("out")))
 
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda acc: acc["out"])
+    # matches and what is between them, side by side: each is computed once
+    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def pii_spans(text: Column, kinds: tuple[str, ...] = tuple(PII)) -> Column:
@@ -171,13 +177,14 @@ def merged(found: Column) -> Column:
 def with_spans_masked(text: Column, found: Column, strategy: str = "replace", token: str = MASK) -> Column:
     """The text with each group of overlapping spans masked once."""
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), masked(piece, s["kind"], strategy, token))
-        return F.struct(s["end"].alias("at"), out.alias("out"))
+    def masked_text(x: Column) -> Column:
+        whole, groups = x["text"], x["groups"]
+        ends = F.concat(F.array(F.lit(0)), F.transform(groups, lambda s: s["end"]))
+        # what stands before each group, and its mask; the last end has no group
+        piece = lambda s, at: F.when(s.isNull(), F.substring(whole, at + 1, F.length(whole))).otherwise(F.concat(F.substring(whole, at + 1, s["start"] - at), masked(F.substring(whole, s["start"] + 1, s["end"] - s["start"]), s["kind"], strategy, token)))
+        return F.array_join(F.zip_with(groups, ends, piece), "")
 
-    rest = F.aggregate(merged(found), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(rest["out"], F.substring(text, rest["at"] + 1, F.length(text)))
+    return bound(F.struct(text.alias("text"), merged(found).alias("groups")), masked_text)
 
 
 def cut_at_sentence(text: Column, limit: int = 1500) -> Column:

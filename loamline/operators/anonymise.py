@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 
 from loamline.functions import text as tx
 
-#: A masker takes (text, language) and returns (masked text, spans); any other one, say of a model, can be passed in.
-Masker = Callable[[Column, Column], tuple[Column, Column]]
+#: A masker takes (text, language) and returns struct(masked, spans); any other one, say of a model, can be passed in.
+Masker = Callable[[Column, Column], Column]
+
+
+def masking(text: Column, found: Callable[[Column], Column], strategy: str = "replace", token: str = tx.MASK) -> Column:
+    """struct(masked, spans) of a text by the spans that ``found`` sees in it; both are computed once. A null text stays null."""
+    result = lambda t, spans: F.struct(F.when(text.isNotNull(), tx.with_spans_masked(t, spans, strategy, token)).alias("masked"), spans.alias("spans"))
+    return tx.bound(text, lambda t: tx.bound(found(F.coalesce(t, F.lit(""))), lambda spans: result(t, spans)))
 
 
 def rules(strategy: str = "replace", token: str = tx.MASK) -> Masker:
     """Ages become brackets first; then national ids with right check digits, e-mails, urls, phone numbers and dates are masked."""
 
-    def apply(text: Column, lang: Column) -> tuple[Column, Column]:
-        plain = tx.age_brackets(F.coalesce(text, F.lit("")), lang)
-        ids = F.filter(tx.spans(plain, "nir", tx.NIR), lambda s: tx.valid_nir(s["found"]))
-        found = F.concat(F.when(lang == "fr", ids).otherwise(F.slice(ids, 1, 0)), tx.pii_spans(plain, ("email", "url", "telephone", "date")))
-        return F.when(text.isNotNull(), tx.with_spans_masked(plain, found, strategy, token)), found
+    def apply(text: Column, lang: Column) -> Column:
+        def found(plain: Column) -> Column:
+            ids = F.when(lang == "fr", F.filter(tx.spans(plain, "nir", tx.NIR), lambda s: tx.valid_nir(s["found"]))).otherwise(F.array().cast(tx.SPAN))
+            return F.concat(ids, tx.pii_spans(plain, ("email", "url", "telephone", "date")))
+
+        return masking(tx.age_brackets(text, lang), found, strategy, token)
 
     return apply
 
@@ -31,17 +38,14 @@ def _kinds(spans: Column) -> Column:
 
 def anonymised(df: DataFrame, masker: Masker | None = None) -> DataFrame:
     """Pivot rows with all free-text fields masked, anonymise = true, and kinds (array of the kinds of all spans)."""
-    mask = masker or rules()
-    lang, found = F.col("langue"), []
-    out = {}
-    for c in ("symptomes", "antecedents"):
-        masked, spans = mask(F.col(c), lang)
-        out[c] = masked
-        found.append(F.coalesce(_kinds(spans), F.array().cast("array<string>")))
-    for c in ("prompt", "completion", "chosen", "rejected"):
-        out[c] = F.transform(c, lambda m: F.struct(m["role"].alias("role"), mask(m["contenu"], lang)[0].alias("contenu")))
-        found.append(F.coalesce(F.flatten(F.transform(c, lambda m: _kinds(mask(m["contenu"], lang)[1]))), F.array().cast("array<string>")))
-    return df.withColumn("_kinds", F.concat(*found)).withColumns(out).withColumn("anonymise", F.lit(True)).withColumnRenamed("_kinds", "kinds")
+    mask, lang = masker or rules(), F.col("langue")
+    texts, lists = ("symptomes", "antecedents"), ("prompt", "completion", "chosen", "rejected")
+    # one mask a text, in columns of their own; what follows only takes them apart
+    done = {f"_{c}": mask(F.col(c), lang) for c in texts} | {f"_{c}": F.transform(c, lambda m: F.struct(m["role"].alias("role"), mask(m["contenu"], lang).alias("x"))) for c in lists}
+    out = {c: F.col(f"_{c}.masked") for c in texts} | {c: F.transform(f"_{c}", lambda m: F.struct(m["role"].alias("role"), m["x"]["masked"].alias("contenu"))) for c in lists}
+    none = F.array().cast("array<string>")
+    kinds = [F.coalesce(_kinds(F.col(f"_{c}.spans")), none) for c in texts] + [F.coalesce(F.flatten(F.transform(f"_{c}", lambda m: _kinds(m["x"]["spans"]))), none) for c in lists]
+    return df.withColumns(done).withColumns(out | {"anonymise": F.lit(True), "kinds": F.concat(*kinds)}).drop(*done)
 
 
 def to_do(source: DataFrame, done: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def replayed(lines: DataFrame) -> DataFrame:
     timed = near.join(steps.select("run", F.col("etape").alias("etape_train"), "ecoule"), ["run", "etape_train"]).join(anchors(lines), "run")
     names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
     long = timed.select("run", "etape", "ord", (F.col("t0") + F.col("ecoule")).alias("horodatage"), F.explode("m").alias("key", "valeur"))
-    return long.withColumn("nom", F.try_element_at(names, F.col("key"))).filter("nom is not null").select("run", "etape", "nom", "valeur", "horodatage", "ord")
+    return long.withColumn("nom", F.try_element_at(names, F.col("key"))).filter("nom is not null and valeur is not null").select("run", "etape", "nom", "valeur", "horodatage", "ord")
 
 
 def commits(lines: DataFrame) -> DataFrame:

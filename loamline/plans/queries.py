@@ -425,8 +425,7 @@ def _masked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All e-mail addresses masked."""
 
     def only_emails(text, lang):
-        found = tx.spans(F.coalesce(text, F.lit("")), "email", tx.PII["email"])
-        return F.when(text.isNotNull(), tx.with_spans_masked(F.coalesce(text, F.lit("")), found)), found
+        return anonymise.masking(text, lambda t: tx.spans(t, "email", tx.PII["email"]))
 
     return anonymise.anonymised(_pivot_docs(spark, sf_dir), only_emails)
 
