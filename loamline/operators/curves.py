@@ -110,7 +110,11 @@ def long_points(curve: DataFrame, run: str = "run") -> DataFrame:
 
 def final_metrics(log: DataFrame, names: list[str], run: str = "run") -> DataFrame:
     """The last value of each name over the log (run, ord, name columns)."""
-    long = log.unpivot([run, "ord"], names, "nom", "valeur").filter("valeur is not null")
+    return last_values(log.unpivot([run, "ord"], names, "nom", "valeur").filter("valeur is not null"), run)
+
+
+def last_values(long: DataFrame, run: str = "run") -> DataFrame:
+    """The last value of each name of a long log (run, ord, nom, valeur)."""
     return long.groupBy(run, "nom").agg(F.max_by("valeur", "ord").alias("valeur"))
 
 

@@ -34,22 +34,22 @@ def ranked(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
     return placed.withColumn("_rn", F.col("_before") + place).select(*df.columns, "_rn", "_size")
 
 
-def quotas(df: DataFrame, n: int, strata: list[str], order: str) -> DataFrame:
+def quotas(df: DataFrame, n: int | Column, strata: list[str], order: str) -> DataFrame:
     """Rows to take from each stratum: the whole part of its share, then one each by descending remainder.
 
     Ties go to the stratum that appears first; full strata are passed over.
     """
     sizes = df.groupBy(*strata).agg(F.count("*").alias("size"), F.min(order).alias("first"))
     everything = Window.partitionBy()
-    part = F.lit(n) * (F.col("size") / F.sum("size").over(everything))
-    s = sizes.withColumn("part", part).withColumn("base", F.least(F.floor("part"), F.col("size")))
-    s = s.withColumn("short", F.lit(n) - F.sum("base").over(everything)).withColumn("open", F.col("base") < F.col("size"))
+    s = sizes.withColumn("n", n if isinstance(n, Column) else F.lit(n))
+    s = s.withColumn("part", F.col("n") * (F.col("size") / F.sum("size").over(everything))).withColumn("base", F.least(F.floor("part"), F.col("size")))
+    s = s.withColumn("short", F.col("n") - F.sum("base").over(everything)).withColumn("open", F.col("base") < F.col("size"))
     turn = F.row_number().over(Window.partitionBy("open").orderBy((F.col("part") - F.floor("part")).desc(), "first"))
     return s.withColumn("turn", turn).select(*strata, (F.col("base") + (F.col("open") & (F.col("turn") <= F.col("short"))).cast("int")).alias("quota"))
 
 
-def stratified_sample(df: DataFrame, n: int | None, strata: list[str], key: str, order: str, seed: int = SEED) -> DataFrame:
-    """``n`` rows in proportion to their strata; all without n or if there are no more."""
+def stratified_sample(df: DataFrame, n: int | Column | None, strata: list[str], key: str, order: str, seed: int = SEED) -> DataFrame:
+    """``n`` rows (a number, or a column over no rows, such as a scalar subquery) in proportion to their strata; all without n or if there are no more."""
     if n is None:
         return df
     q = quotas(df, n, strata, order).withColumnsRenamed({s: f"_{s}" for s in strata})
@@ -74,7 +74,8 @@ def assign_splits(df: DataFrame, strata: list[str], key: str, *, n: int | None =
     if excluded is not None:
         free = free.join(excluded.select(key).distinct(), key, "left_anti")
     if n is not None:
-        free = stratified_sample(free, max(0, n - rows.filter("split is not null").count()), strata, key, order or key, seed)
+        members = rows.filter("split is not null").agg(F.count("*")).scalar()
+        free = stratified_sample(free, F.greatest(F.lit(0), F.lit(n) - members), strata, key, order or key, seed)
     n_test, n_val = F.floor(F.col("_size") * test), F.floor(F.col("_size") * val)
     split = F.when(F.col("_rn") <= n_test, "test").when(F.col("_rn") <= n_test + n_val, "val").otherwise("train")
     return ranked(free, strata, key, seed).select(key, *strata, split.alias("split"))
@@ -98,7 +99,7 @@ def extract_subset(df: DataFrame, kind: str, strata: list[str], key: str, order:
     rows = df.filter((F.col("type_exemple") == kind) & F.col("split").isNotNull())
     if excluded is not None:
         rows = rows.join(excluded.select(key).distinct(), key, "left_anti")
-    return rows if target is None or rows.count() <= target else stratified_sample(rows, target, strata, key, order, seed)
+    return stratified_sample(rows, target, strata, key, order, seed)
 
 
 def subset_report(df: DataFrame, kind: str, excluded: DataFrame, key: str, target: int) -> DataFrame:
@@ -125,7 +126,7 @@ def remaining(candidates: DataFrame, done: DataFrame, key: str, order: str, targ
 def waves(source: DataFrame, done: DataFrame, limit: int | None, strata: list[str], key: str, order: str) -> DataFrame:
     """What the next wave works on: rows not done yet, at most ``limit`` of them in proportion to their strata."""
     rows = source.join(done.select(key).distinct(), key, "left_anti")
-    return rows if limit is None or rows.count() <= limit else stratified_sample(rows, limit, strata, key, order)
+    return stratified_sample(rows, limit, strata, key, order)
 
 
 def as_text(table: DataFrame, strata: list[str], width: int = 24) -> DataFrame:

@@ -345,10 +345,8 @@ def metric_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS run, event_type AS nom, max_by(value, event_id) AS valeur FROM events GROUP BY ALL")
 def final_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["click", "view", "purchase", "signup", "logout", "search", "scroll", "login", "cart", "error"]
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), "event_type", "value")
-    kinds = sorted({r[0] for r in e.select("event_type").distinct().collect()} | set(names))
-    return curves.final_metrics(e.select("run", "ord", *[F.when(F.col("event_type") == n, F.col("value")).alias(n) for n in kinds]), kinds)
+    e = table(spark, sf_dir, "events")
+    return curves.last_values(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), F.col("event_type").alias("nom"), F.col("value").alias("valeur")))
 
 
 @query("""SELECT user_id AS run, 10 * (user_id % 3 + 1) AS etape, 'perte_train' AS nom, 1.5::DOUBLE AS valeur, (1704103200 + 60 * (user_id % 3 + 1))::DOUBLE AS horodatage FROM (SELECT DISTINCT user_id FROM events)
@@ -462,8 +460,8 @@ def cumulative_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fragment_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = mapping.text_pairs(_pivot_docs(spark, sf_dir), _masked_docs(spark, sf_dir)).filter("champ = 'symptomes'")
-    return audit.masked_fragments(pairs)
+    """What was masked in every field."""
+    return audit.masked_fragments(mapping.text_pairs(_pivot_docs(spark, sf_dir), _masked_docs(spark, sf_dir)))
 
 
 @query(f"WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM (SELECT doc_id, source, unnest(regexp_extract_all(text, '{_RX['telephone']}')) AS m FROM documents)) SELECT doc_id, source FROM r WHERE rn <= 3")

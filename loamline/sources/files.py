@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it is missing."""
+    p, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None, chunk: int | None = None) -> DataFrame:
     """A raw corpus by its suffix: .csv, .jsonl, .json (one array) or .parquet.
 
@@ -56,7 +63,7 @@ def read_hub(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, *, required: bool = True) -> DataFrame:
     """A keyed JSON-lines table; blank lines are skipped. An optional one that is missing is empty."""
-    if not exists(spark, path):
+    if not exists(spark, path) and not recovered(spark, path):
         if required:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
@@ -79,9 +86,10 @@ def identifiers(df: DataFrame, key: str = "identifiant") -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key by ``order``."""
-    last = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn")
+    """The last row of each key by ``order``, then by a hash of the row, so reruns agree on ties."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    last = F.max_by(row, F.struct(F.col(order), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+    return df.groupBy(*keys).agg(last.alias("_row")).select("_row.*")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "identifiant", order: str | None = None) -> DataFrame:
@@ -90,8 +98,19 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "identifiant", order: st
     return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
 
 
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Puts back the table that an ``overwrite`` had set aside when it was cut short, if there is one: the new one, written whole, or else the old."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p.getParent()):
+        return False
+    beside = [s.getPath() for s in fs.listStatus(p.getParent())]
+    whole = [b for b in beside if b.getName().startswith(p.getName() + ".new-") and fs.exists(_path(spark, f"{b.toString()}/_SUCCESS")[0])]
+    old = [b for b in beside if b.getName().startswith(p.getName() + ".old-")]
+    return bool(old) and fs.rename((whole or old)[0], p)
+
+
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a JSON-lines table that ``df`` may be read from: write beside it, then swap by renaming."""
+    """Replace a JSON-lines table that ``df`` may be read from: write beside it, then swap by renaming. ``read_table`` recovers from a swap that was cut short."""
     spark = df.sparkSession
     beside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.json(beside)
@@ -160,15 +179,43 @@ def routed(df: DataFrame) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str) -> dict[str, int]:
-    """One pass into train, val and test folders; returns rows of each and how many were ignored."""
-    rows = routed(df)
+    """One pass into train, val and test folders; returns rows of each and how many were ignored, counted as they are written."""
+    seen = Observation()
+    rows = routed(df).observe(seen, *[F.count_if(F.col("split").eqNullSafe(s)).alias(s or "ignores") for s in ("train", "val", "test", None)])
     rows.filter("split is not null").write.partitionBy("split").mode("overwrite").json(path)
-    counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
-    return {s: counts.get(s, 0) for s in ("train", "val", "test")} | {"ignores": counts.get(None, 0)}
+    return {s: seen.get[s] for s in ("train", "val", "test", "ignores")}
 
 
 def export_exclusions(df: DataFrame, path: str) -> None:
-    df.orderBy("identifiant").coalesce(1).write.mode("overwrite").json(path)
+    """Sorted by id over part files whose names are in order."""
+    df.orderBy("identifiant").write.mode("overwrite").json(path)
+
+
+def write_subset(df: DataFrame, path: str, excluded: DataFrame | None = None, exclusions: str | None = None) -> int:
+    """A subset as JSON lines, and the ids that were left out of it as another table; returns the rows written, counted as they are."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    if excluded is not None and exclusions is not None:
+        export_exclusions(excluded, exclusions)
+    return seen.get["n"]
+
+
+def dump_corpus(corpus: DataFrame, path: str, progress: Callable[[int], None] | None = None) -> int:
+    """A hub corpus as JSON lines; returns the rows written and tells them to ``progress`` if there is one."""
+    n = write_subset(corpus, path)
+    if progress is not None:
+        progress(n)
+    return n
+
+
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """The checkpoint table with the kind of each (dpo if its parameters have a beta, else sft); empty if there is none."""
+    return schemas.with_kind(read_table(spark, path, schemas.CHECKPOINT, required=False))
+
+
+def save_checkpoints(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """New checkpoints in place of those of the same id; fields that are null are left out, so sft rows have no beta."""
+    upsert(spark, path, schemas.CHECKPOINT, new.select(*schemas.CHECKPOINT.names))
 
 
 def run_parameters(found: DataFrame, parameters: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loamline import schemas
 from loamline.operators.curves import live_verdicts, wide
 from loamline.operators.dedup import first_wins
-from loamline.sources.files import read_table
+from loamline.sources.files import exists, folders, read_table
 
 
 def metric_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,15 +28,34 @@ def latest_metrics(stream: DataFrame) -> DataFrame:
 
 
 def follow_metrics(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a Parquet table of the latest metrics, in complete mode, over what there is."""
-    out = latest_metrics(metric_stream(spark, folder)).writeStream.outputMode("complete")
-    out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    """Keeps a Parquet table of the latest metrics, over what there is.
+
+    Each batch writes a version of its own, from the version before and the values that
+    changed, so a reader never meets a table that is being rewritten.
+    """
+
+    def version(batch: DataFrame, number: int) -> None:
+        before = _latest(batch.sparkSession, path, number - 1)
+        rows = batch if before is None else before.join(batch, ["run", "etape", "nom"], "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    out = latest_metrics(metric_stream(spark, folder)).writeStream.outputMode("update").foreachBatch(version)
     return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _latest(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
+    """The last whole version of a table of metrics, at most number ``upto``."""
+    numbers = sorted((int(v.removeprefix("version=")) for v in folders(spark, path) if exists(spark, f"{path}/{v}/_SUCCESS")), reverse=True)
+    kept = [n for n in numbers if upto is None or n <= upto]
+    return spark.read.parquet(f"{path}/version={kept[0]}") if kept else None
+
+
 def live(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Verdicts of all runs in a table of latest metrics; a last step that is not whole is left out."""
-    return live_verdicts(wide(spark.read.parquet(path).withColumn("ord", F.col("horodatage")), names))
+    rows = _latest(spark, path)
+    if rows is None:
+        raise FileNotFoundError(path)
+    return live_verdicts(wide(rows.withColumn("ord", F.col("horodatage")), names))
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

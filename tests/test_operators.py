@@ -1,5 +1,6 @@
 import difflib
 import math
+import random
 import re
 from collections import Counter
 
@@ -207,6 +208,26 @@ def test_audit(spark):
     assert [r.verdict for r in audit.false_masks(audit.masked_fragments(pairs), e).collect()] == [audit.HUMAN]
 
 
+def test_fragments_are_what_was_masked(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for n in range(80):
+        parts, masked, at = [], [], 0
+        for k in range(rng.randrange(0, 6)):
+            plain = "".join(rng.choice(["le ", "Être à ", "(x) ", ".*\\E ", "\n"]) for _ in range(rng.randrange(1, 4)))
+            secret, token = rng.choice([(f"p{n}.{k}@é.fr", tx.MASK), ("de 30 ans", "<AGE_ADULTE>"), (f"01 02 {n:02}", tx.MASK)])
+            parts += [plain, secret]
+            masked += [plain, token]
+            if token == tx.MASK:
+                want.append((str(n), secret, at + len(plain), at + len(plain) + len(secret)))
+            at += len(plain) + len(secret)
+        rows.append((str(n), "s", "fr", 0, "symptomes", "".join(parts) + " fin", "".join(masked) + " fin"))
+    rows += [("x", "s", "fr", 0, "c", "other text", f"a {tx.MASK} b"), ("y", "s", "fr", 0, "c", None, tx.MASK), ("z", "s", "fr", 0, "c", "all", tx.MASK), ("u", "s", "fr", 0, "c", "abcd", f"a{tx.MASK}{tx.MASK}d")]
+    pairs = spark.createDataFrame(rows, "identifiant string, source string, langue string, champ_ord int, champ string, original string, masque string")
+    got = [(r.identifiant, r.fragment, r.debut, r.fin) for r in audit.masked_fragments(pairs).collect()]
+    assert sorted(got) == sorted([*want, ("z", "all", 0, 3)])
+
+
 def test_exclusions_and_decisions(spark):
     d = spark.createDataFrame([("a", "confirme", "accepte"), ("a", "revision_humaine", "rejete"), ("b", "revision_humaine", "en attente"), ("c", "revision_humaine", "accepte"), ("d", "faux_positif_regex", "en attente")], "identifiant string, verdict string, decision string")
     assert {r.identifiant: r.motif for r in audit.exclusion_reasons(d).collect()} == {"a": "confirme", "b": "pendant_revision_humaine"}
