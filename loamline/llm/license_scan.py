@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier confirmed by templates.
 
-Paragraphs are lines of a text. Each is a bag of hashed word unigrams and bigrams;
-a sparse softmax regression gives the licence family or 'unknown'. It is trained on
-variants of the templates (cut, with words dropped or replaced) against lines of a
-bounded corpus sample and near misses, and its temperature is fitted on variants it
-has not seen. A prediction counts as confirmed if a template of its family shares
-enough word bigrams with the paragraph.
+Texts are cut into paragraphs at blank lines. A paragraph, and each run of its lines, is a
+bag of hashed word unigrams and bigrams; a sparse softmax regression gives the licence
+family, 'other' for what reads like a notice of no known family, or 'unknown' for what is
+none. It is trained on variants of the templates (cut, with words dropped) and of
+notices of invented licences against lines of a bounded corpus sample and near misses;
+its temperature is fitted on lines, near misses and more damaged variants that it was not
+trained on. A prediction counts as confirmed if a template of its family shares enough
+word bigrams with the lines.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.common import least_hashes
 from loamline.llm.minhash_dedup import _mix, word_hashes
 
 BITS = 14
-UNKNOWN = "unknown"
+UNKNOWN, OTHER = "unknown", "other"
 
 #: Short notices by which texts name their licence.
 TEMPLATES: dict[str, list[str]] = {
@@ -37,25 +39,73 @@ TEMPLATES: dict[str, list[str]] = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0": ["To the extent possible under law, the author has waived all copyright (CC0).", "Released into the public domain under CC0 1.0."],
+    "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "zlib": ["Released under the zlib License.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    "unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain."],
     "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without permission of the publisher."],
 }
+#: The paragraphs of full notices of the common families.
+NOTICES: dict[str, list[str]] = {
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "isc": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "unlicense": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
+#: What notices of other licences say; {} stands for an invented name.
+GENERIC = ["Licensed under the {} License.", "Licensed under the {} Licence, version 1.1.", "This work is released under the terms of the {} Public License.", "Distributed under the {} Software License, see the accompanying file for details.", "You may use, copy and distribute this work under the terms of the {} License Agreement.", "The software is covered by the {} Community License; the full text of the license is in the file LICENSE.", "Use of this material is subject to the {} Open Licence.", "By using this product you accept the {} end user license agreement."]
 #: Sentences that share words with notices and are none.
-NEAR_MISSES = ["The driver lost his license after the accident.", "A fishing license is required in this county.", "The version of the work was released under pressure.", "Public use of the general terms is not a condition.", "The new version 2.0 was released this week.", "This work is based on the general idea of a public library.", "Permission to enter was granted to any person.", "He studied at MIT and worked under a professor.", "The Apache helicopter was licensed for export.", "No part of this town may be entered without a guide.", "The source of the river is subject to debate."]
+NEAR_MISSES = ["The driver lost his license after the accident.", "A fishing license is required in this county.", "The version of the work was released under pressure.", "Public use of the general terms is not a condition.", "The new version 2.0 was released this week.", "This work is based on the general idea of a public library.", "Permission to enter was granted to any person.", "He studied at MIT and worked under a professor.", "The Apache helicopter was licensed for export.", "No part of this town may be entered without a guide.", "The source of the river is subject to debate.", "She renewed her driving licence last week.", "The pub lost its liquor license in the spring.", "The software was distributed on discs to every school.", "The agreement between the two towns covers the use of the river.", "The library lends work by local authors to the public.", "You may copy this file to the other disk and use it there.", "A copyright lawyer gave a talk at the museum.", "His general permission to use the hall was withdrawn.", "The community accepted the terms of the mayor's open letter.", "Free entry is granted to any person under sixteen.", "The notice on the door said that the office was closed.", "The file contains a copy of the public record."]
+#: Further ones, for the temperature alone.
+HELD_MISSES = ["The officer checked my licence and let me go.", "All rights of way are reserved for walkers.", "The source of the work was never released.", "Version 3 of the plan was published under the title of the old one.", "They were granted permission to sell copies of the map.", "The public was asked to comply with the new conditions."]
+
 
+def _words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each word, of each bigram starting there (its own word at a line's end), and the word's line; lines end with line feeds."""
+    data = _DOTS.sub(b" ", _MARKS.sub(b" ", data))
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = (raw == 32) | (raw == 10)
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.empty(0, dtype=np.int64)
+    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    words = word_hashes(data)
+    following = np.where(np.r_[line[1:] == line[:-1], False], np.r_[words[1:], words[:1]], np.uint64(0)) if len(words) else words
+    pairs = _mix(words * np.uint64(3) + following)
+    shift = np.uint64(64 - BITS)
+    return (words >> shift).astype(np.int64), (pairs >> shift).astype(np.int64), line
 
-def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and of each bigram starting there (its own word if it ends the line)."""
-    words = word_hashes(re.sub(rb"[^0-9A-Za-z\x80-\xff\n.]+", b" ", data).replace(b". ", b" ").replace(b".\n", b"\n"))
-    pairs = _mix(words * np.uint64(3) + np.r_[words[1:], words[-1:]]) if len(words) else words
-    return (words >> np.uint64(64 - BITS)).astype(np.int64), (pairs >> np.uint64(64 - BITS)).astype(np.int64)
 
+_MARKS, _DOTS = re.compile(rb"[^0-9A-Za-z\x80-\xff\n.]+"), re.compile(rb"\.+(?=[ \n]|$)")
 
-def _clean(line: str) -> bytes:
-    return line.encode("utf-8", "surrogatepass").replace(b"\n", b" ").rstrip(b".") + b"\n"
+
+def _encoded(line: str) -> bytes:
+    return line.encode("utf-8", "surrogatepass").replace(b"\n", b" ") + b"\n"
 
 
 def _bag(line: str) -> np.ndarray:
-    words, pairs = _hashes(_clean(line))
+    words, pairs, _ = _words_of(_encoded(line))
     return np.r_[words, pairs[:-1] + (1 << BITS)]
 
 
@@ -65,35 +115,35 @@ class LicenceModel:
     weights: np.ndarray  # (2 * 2^BITS + 1, families), the last row is the bias
     temperature: float
 
-    def probabilities(self, text: str | None) -> tuple[list[str], np.ndarray]:
-        """The text's lines and, for each, the probability of every family."""
-        lines = (text or "").split("\n")
-        return lines, self._of([_clean(x) for x in lines])
-
-    def _of(self, cleaned: list[bytes]) -> np.ndarray:
-        words, pairs = _hashes(b"".join(cleaned))
-        counts = np.fromiter((_n_words(x) for x in cleaned), dtype=np.int64, count=len(cleaned))
-        ends = np.cumsum(counts)
-        total = self.weights[words] + self.weights[pairs + (1 << BITS)]
-        if len(ends) and len(words):
-            last = ends[counts > 0] - 1
-            total[last] -= self.weights[pairs[last] + (1 << BITS)]  # no bigram across lines
-        sums = np.vstack([np.zeros((1, len(self.families))), np.cumsum(total, axis=0, dtype=np.float64)])
-        logits = (sums[ends] - sums[ends - counts]) / np.sqrt(np.maximum(counts, 1))[:, None] + self.weights[-1]
-        logits /= self.temperature
+    def sums(self, data: bytes, lines: int) -> tuple[np.ndarray, np.ndarray]:
+        """Summed weights (lines x families) and words of each line, in parts of bounded memory."""
+        words, pairs, line = _words_of(data)
+        total = np.zeros((lines, len(self.families)))
+        last = np.r_[line[1:] != line[:-1], True] if len(line) else np.empty(0, dtype=bool)
+        for at in range(0, len(words), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            w = self.weights[words[part]] + self.weights[pairs[part] + (1 << BITS)] * ~last[part, None]
+            first = np.flatnonzero(np.r_[True, np.diff(line[part]) > 0])
+            np.add.at(total, line[part][first], np.add.reduceat(w, first, axis=0))
+        return total, np.bincount(line, minlength=lines)
+
+    def softmax(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probabilities of bags with the summed weights and n words."""
+        logits = (total / np.sqrt(np.maximum(n, 1))[:, None] + self.weights[-1]) / self.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-
-def _n_words(line: bytes) -> int:
-    return len(re.sub(rb"[^0-9A-Za-z\x80-\xff\n.]+", b" ", line).replace(b". ", b" ").replace(b".\n", b"\n").split())
+    def probabilities(self, text: str | None) -> tuple[list[str], np.ndarray]:
+        """The text's lines and, for each, the probability of every family."""
+        lines = (text or "").split("\n")
+        return lines, self.softmax(*self.sums(b"".join(map(_encoded, lines)), len(lines)))
 
 
-def _variants(rng: np.random.Generator, line: str, n: int) -> list[str]:
+def _variants(rng: np.random.Generator, line: str, n: int, drop: float = 0.08) -> list[str]:
     """Cut and damaged copies of a template."""
     words, out = line.split(), []
     for _ in range(n):
-        keep = [w for w in words if rng.random() > 0.08] or words
+        keep = [w for w in words if rng.random() > drop] or words
         if len(keep) > 8 and rng.random() < 0.4:
             at = int(rng.integers(0, len(keep) - 7))
             keep = keep[at : at + int(rng.integers(7, len(keep) + 1))]
@@ -103,20 +153,40 @@ def _variants(rng: np.random.Generator, line: str, n: int) -> list[str]:
     return out
 
 
+def _invented(rng: np.random.Generator, n: int) -> list[str]:
+    """Notices of licences that do not exist."""
+    name = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(3, 9)))).capitalize()
+    return [GENERIC[k % len(GENERIC)].format(" ".join(name() for _ in range(int(rng.integers(1, 3))))) for k in range(n)]
+
+
+_KNOWN = re.compile(r"licen[sc]e|copyright|all rights reserved|\bCC\b", re.I)
+
+
+def _no_notice(line: str) -> bool:
+    """Whether a corpus line can stand for what is no notice: without a word of licences, or with little in common with any template."""
+    return not _KNOWN.search(line) or max(template_match(f, line) for f in TEMPLATES) < 0.3
+
+
 def fit(lines: list[str], *, variants: int = 60, epochs: int = 12, seed: int = 7) -> LicenceModel:
-    """Train on template variants against ``lines`` of the corpus that name no licence."""
+    """Train on variants of notices against ``lines`` of the corpus; every fifth of the lines, and other near misses, are kept for the temperature."""
     rng = np.random.default_rng(seed)
-    families = [UNKNOWN, *TEMPLATES]
-    known = re.compile(r"licen[sc]e|copyright|all rights reserved|\bCC\b", re.I)
-    data = [(x, 0) for x in lines if not known.search(x)] + [(v, 0) for m in NEAR_MISSES for v in [m, *_variants(rng, m, 20)]]
-    data += [(v, k) for k, f in enumerate(families) if k for t in TEMPLATES[f] for v in [t, *_variants(rng, t, variants)]]
-    order = rng.permutation(len(data))
-    held, used = order[: len(data) // 5], order[len(data) // 5 :]
-    bags = [_bag(x) for x, _ in data]
-    y = np.array([k for _, k in data])
+    families = [UNKNOWN, OTHER, *TEMPLATES]
+    plain = [x for x in lines if _no_notice(x)]
+    used = [(x, 0) for k, x in enumerate(plain) if k % 5] + [(v, 0) for m in NEAR_MISSES for v in [m, *_variants(rng, m, 20)]]
+    held = [(x, 0) for x in plain[::5]] + [(v, 0) for m in HELD_MISSES for v in [m, *_variants(rng, m, 20)]]
+    used += [(v, 1) for x in _invented(rng, 4 * variants) for v in _variants(rng, x, 1)]
+    held += [(x, 1) for x in _invented(rng, variants)]
+    for k, f in enumerate(families[2:], 2):
+        for t in TEMPLATES[f]:
+            used += [(v, k) for v in [t, *_variants(rng, t, variants)]]
+            held += [(v, k) for v in _variants(rng, t, variants // 4, 0.2)]
+        for t in NOTICES.get(f, ()):
+            used += [(v, k) for v in [t, *_variants(rng, t, variants // 3)]]
+            held += [(v, k) for v in _variants(rng, t, variants // 12, 0.2)]
+    bags, y = [_bag(x) for x, _ in used], [k for _, k in used]
     weights, step = np.zeros(((2 << BITS) + 1, len(families))), 1.0
     for _ in range(epochs):
-        for i in rng.permutation(used):
+        for i in rng.permutation(len(bags)):
             scale = 1 / np.sqrt(max(1, (len(bags[i]) + 1) // 2))
             z = weights[bags[i]].sum(axis=0) * scale + weights[-1]
             p = np.exp(z - z.max())
@@ -126,12 +196,13 @@ def fit(lines: list[str], *, variants: int = 60, epochs: int = 12, seed: int = 7
             weights[-1] -= 0.05 * step * p
         step *= 0.8
     model = LicenceModel(families, weights.astype(np.float32), 1.0)
-    logits = np.log(np.maximum(model._of([_clean(data[i][0]) for i in held]), 1e-12))
-    losses = []
-    for t in np.geomspace(0.5, 4, 13):
-        p = np.exp(logits / t)
-        losses.append((-np.log(p[np.arange(len(held)), y[held]] / p.sum(axis=1)).mean(), t))
-    model.temperature = float(min(losses)[1])
+    total, n = model.sums(b"".join(_encoded(x) for x, _ in held), len(held))
+    truth, losses = np.array([k for _, k in held]), []
+    for t in np.geomspace(0.25, 8, 21):
+        model.temperature = float(t)
+        p = model.softmax(total, n)
+        losses.append((-np.log(np.maximum(p[np.arange(len(held)), truth], 1e-12)).mean(), float(t)))
+    model.temperature = min(losses)[1]
     return model
 
 
@@ -140,7 +211,7 @@ def _bigrams(line: str) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False)) or {(w, "") for w in words}
 
 
-_TEMPLATE_BIGRAMS = {f: [_bigrams(t) for t in ts] for f, ts in TEMPLATES.items()}
+_TEMPLATE_BIGRAMS = {f: [_bigrams(t) for t in [*ts, *NOTICES.get(f, ())]] for f, ts in TEMPLATES.items()}
 
 
 def template_match(family: str, line: str) -> float:
@@ -150,37 +221,110 @@ def template_match(family: str, line: str) -> float:
 
 
 def sample_lines(docs: DataFrame, n: int) -> list[str]:
-    """At most ``n`` lines of the corpus: the first line of the ``n`` documents with the least hashes, cut to 400 code points."""
-    rows = docs.filter("text is not null").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 400).alias("line"))
-    return sorted(r.line for r in least_hashes(rows, n, "doc_id", "line").collect())
+    """At most ``n`` lines of the corpus, whole, from all lines of all texts: those with the least hashes of document, place and content.
+
+    Only these come to the driver, with at most ``SAMPLE_BYTES`` bytes in all.
+    """
+    rows = docs.filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter("trim(line) <> ''")
+    few = least_hashes(rows, n, "doc_id", "at", "line").select(F.xxhash64("doc_id", "at", "line").alias("h"), "line")
+    upto = Window.orderBy("h", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = few.withColumn("bytes", F.sum(F.octet_length("line")).over(upto)).filter(F.col("bytes") <= SAMPLE_BYTES)
+    return sorted(r.line for r in few.select("line").collect())
+
+
+SAMPLE_BYTES = 8 << 20
+
+
+def _notices(model: LicenceModel, lines: list[str], total: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[int, int, str, float]]:
+    """(first line, lines, family, probability) of the notices of one text.
+
+    In a paragraph that reads like a notice as a whole, the run of lines that speaks most
+    for its family is one; elsewhere each run of lines that read like the same family is.
+    """
+    p = model.softmax(total, n)
+    best, sure = p.argmax(axis=1), p.max(axis=1)
+    flagged = (best > 0) & (sure >= threshold) & (n > 0)
+    blank = np.array([not x.strip() for x in lines], dtype=bool)
+    starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    stops = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+    many = np.flatnonzero(stops - starts > 1)
+    whole = {}
+    if len(many):
+        sums = np.add.reduceat(np.vstack([total, np.zeros((1, total.shape[1]))]), np.c_[starts[many], stops[many]].ravel(), axis=0)[::2]
+        counts = np.add.reduceat(np.r_[n, 0], np.c_[starts[many], stops[many]].ravel())[::2]
+        q = model.softmax(sums, counts)
+        whole = {int(b): (int(k), float(x)) for b, k, x in zip(many, q.argmax(axis=1), q.max(axis=1), strict=True) if k > 0 and x >= threshold}
+    marks = np.flatnonzero(flagged)
+    blocks = set(whole) | {int(b) for b in np.searchsorted(starts, marks, side="right") - 1}
+    for b in sorted(blocks):
+        first, stop = int(starts[b]), int(stops[b])
+        runs = []
+        if b in whole:
+            k = whole[b][0]
+            i, j = _best_run(total[first:stop, k] - total[first:stop, 0])
+            runs.append((first + i, first + j, k))
+        i = first
+        while i < stop:
+            j = i + 1
+            if flagged[i] and not (runs and b in whole and runs[0][0] <= i < runs[0][1]):
+                while j < stop and flagged[j] and best[j] == best[i]:
+                    j += 1
+                runs.append((i, j, int(best[i])))
+            i = j
+        for i, j, k in sorted(runs):
+            q = model.softmax(total[i:j].sum(axis=0, keepdims=True), n[i:j].sum(keepdims=True))[0]
+            yield i, j - i, model.families[k], float(q[k])
+
+
+def _best_run(margins: np.ndarray) -> tuple[int, int]:
+    """The consecutive places of the largest sum."""
+    sums = np.r_[0.0, np.cumsum(margins)]
+    low = np.minimum.accumulate(sums)[:-1]
+    stop = int((sums[1:] - low).argmax()) + 1
+    return int(sums[:stop].argmin()), stop
 
 
 def _scan(model: LicenceModel, threshold: float, match: float):
+    def found(ids: list, texts: list[str]) -> Iterator[tuple]:
+        """Notices of several texts, whose lines are weighed together."""
+        lines = [t.split("\n") for t in texts]
+        total, n = model.sums(b"".join(t.encode("utf-8", "surrogatepass") + b"\n" for t in texts), sum(map(len, lines)))
+        at = 0
+        for doc_id, own in zip(ids, lines, strict=True):
+            for first, count, family, probability in _notices(model, own, total[at : at + len(own)], n[at : at + len(own)], threshold):
+                share = template_match(family, " ".join(own[first : first + count]))
+                yield doc_id, first, count, family, probability, share, share >= match
+            at += len(own)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, ids, texts, size = [], [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                lines, p = model.probabilities(text.as_py())
-                best = p.argmax(axis=1)
-                for i in np.flatnonzero((best > 0) & (p.max(axis=1) >= threshold)):
-                    family = model.families[best[i]]
-                    share = template_match(family, lines[i])
-                    out.append((doc_id, int(i), family, float(p[i, best[i]]), share, share >= match))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "paragraph", "family", "probability", "template_match", "confirmed"])
+                if text.as_py():
+                    ids.append(doc_id)
+                    texts.append(text.as_py())
+                    size += len(texts[-1])
+                if size > 1 << 18:
+                    out += found(ids, texts)
+                    ids, texts, size = [], [], 0
+            out += found(ids, texts) if texts else []
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "paragraph", "n_lines", "family", "probability", "template_match", "confirmed"])
 
     return run
 
 
 def scan(docs: DataFrame, model: LicenceModel, *, threshold: float = 0.5, match: float = 0.6) -> DataFrame:
-    """The licence notices of all documents, a row for each paragraph whose family is not 'unknown'.
+    """The licence notices of all documents, a row for each paragraph, or run of its lines, whose family is not 'unknown'.
 
-    Returns doc_id, paragraph (0-based line), family, probability (calibrated, at
-    least ``threshold``), template_match and confirmed (match of ``match`` or more).
-    Whole texts are scanned. ``docs`` needs doc_id and text; other columns are
+    Returns doc_id, paragraph (0-based line that it starts at), n_lines, family ('other' if
+    it reads like a notice of none that is known), probability (calibrated, at
+    least ``threshold``; of families equally likely the first of the model's),
+    template_match and confirmed (match of ``match`` or more).
+    Whole texts are scanned, in parts of bounded memory. ``docs`` needs doc_id and text; other columns are
     ignored. Null and empty texts have no notices; repeated rows give theirs each; an
     empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scan(model, threshold, match), f"doc_id {kind}, paragraph int, family string, probability double, template_match double, confirmed boolean")
+    return docs.select("doc_id", "text").mapInArrow(_scan(model, threshold, match), f"doc_id {kind}, paragraph int, n_lines int, family string, probability double, template_match double, confirmed boolean")

@@ -19,6 +19,7 @@ prints, or compared on its full shingle sets.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +57,21 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+#: Long texts are hashed in parts of so many bytes, cut at white space, for bounded memory.
+PART = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word (bytes other than space and U+0009-U+000D), A-Z lower-cased."""
+    out, at = [], 0
+    while len(data) - at > PART and (gap := _GAP.search(data, at + PART)):
+        out.append(_word_hashes(data[at : gap.end()]))
+        at = gap.end()
+    return np.concatenate([*out, _word_hashes(data[at:])])
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
     word = ~_SPACE[raw]
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)

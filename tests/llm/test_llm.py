@@ -559,6 +559,54 @@ def test_licences(spark):
     assert np.mean([model.families[model.probabilities(v)[1][0].argmax()] == f for v, f in zip(held, [f for f, _ in notices[:3] for _ in range(20)])]) > 0.9
 
 
+#: Sentences with words of licences that the model was not trained on.
+UNSEEN = ["Her driving licence expired in March and the office was closed.", "The museum keeps a copy of the charter granted to the town.", "Redistribution of land was permitted under the old law.", "The software company moved its office to the harbour.", "He was free to use the garden without any restriction.", "The Mozilla office gave a public talk about version control."]
+
+
+def test_licence_paragraphs_against_template_containment(spark):
+    rng = random.Random(11)
+    plain = [" ".join(words_of(rng, 14, 3000)) for _ in range(300)]
+    model = license_scan.fit(plain)
+    known = [(f, t) for f in license_scan.TEMPLATES for t in [*license_scan.TEMPLATES[f], *license_scan.NOTICES.get(f, ())] if len(t.split()) > 8]
+
+    def wrapped(text, width):
+        w = text.split()
+        return "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    rows, planted = [], {}
+    for n in range(120):
+        parts = [wrapped(plain[rng.randrange(300)] + " " + plain[rng.randrange(300)], 9) for _ in range(rng.randrange(1, 4))]
+        if n % 2:
+            f, t = known[n // 2 % len(known)]
+            at = rng.randrange(len(parts) + 1)
+            parts[at:at] = [wrapped(t, rng.choice([7, 11, 200]))]
+            planted[n] = f, "\n\n".join(parts[:at]).count("\n") + (2 if at else 0)
+        elif n % 4 == 0:
+            parts.append(UNSEEN[n // 4 % len(UNSEEN)])
+        rows.append((n, "\n\n".join(parts)))
+    rows += [(200, rows[1][1]), (201, rows[1][1]), (202, wrapped(plain[0] * 20_000, 50) + "\n\n" + known[0][1])]
+    got = license_scan.scan(frame(spark, rows), model).collect()
+    # every paragraph whose word bigrams a template of a family contains, by trying all
+    bigrams = lambda x: set(zip(w := re.findall(r"[^\W_]+(?:\.[0-9]+)*", x.lower()), w[1:]))
+    want = set()
+    for i, t in rows:
+        at = 0
+        for part in t.split("\n\n"):
+            own = bigrams(part)
+            if any(len(own & bigrams(x)) >= 0.6 * min(len(own), len(bigrams(x))) for _, x in known):
+                want.add((i, at))
+            at += part.count("\n") + 2
+    confirmed = {(r.doc_id, r.paragraph) for r in got if r.confirmed}
+    assert len(confirmed & want) >= 0.97 * len(want) and len(confirmed - want) <= 0.02 * len(want)
+    by_place = {(r.doc_id, r.paragraph): r for r in got}
+    assert sum((n, at) in by_place and by_place[n, at].family == f for n, (f, at) in planted.items()) >= 0.95 * len(planted)
+    assert not [r for r in got if r.doc_id < 200 and r.doc_id not in planted and r.confirmed]
+    assert len({r.doc_id for r in got if r.doc_id < 200 and r.doc_id not in planted}) <= 2
+    assert {r.doc_id for r in got if r.doc_id >= 200} == {200, 201, 202}
+    other = license_scan.scan(frame(spark, [(1, "Licensed under the Quorvax License."), (2, "This work is released under the terms of the Brindle Public License.")]), model).collect()
+    assert [(r.family, r.confirmed) for r in other] == [("other", False)] * 2
+
+
 # pipeline
 
 
