@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from loamline.llm.common import LOWER, UPPER, discard, staged
 
 ANY = "*"
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -129,7 +130,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, z: float
     trees = urls.select(F.concat(F.lit("="), "host").alias("tree"), "segs", "n_block", "n_label").unionByName(everywhere)
     grown = grow_templates(trees, z, least)
     sums = grown.groupBy("tree", "template").agg(F.sum("n_block").alias("b"), F.sum("n_label").alias("n"))
-    grown = grown.select("tree", "template", "segs").join(sums, ["tree", "template"])
+    # a template may hold most urls of all hosts: its rows meet its sum in parts
+    sums = sums.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    grown = grown.select("tree", "template", "segs", F.pmod(F.xxhash64("segs"), F.lit(SALTS)).cast("int").alias("salt")).join(sums, ["tree", "template", "salt"])
     wide = grown.filter(F.col("tree") == ANY).select("segs", ((F.col("b") + smoothing * overall) / (F.col("n") + smoothing)).alias("wide_score"))
     scored = grown.filter(F.col("tree") != ANY).select(F.substring("tree", 2, 1 << 30).alias("host"), "segs", "template", "b", "n").join(wide, "segs")
     score = (F.col("b") + smoothing * F.col("wide_score")) / (F.col("n") + smoothing)
