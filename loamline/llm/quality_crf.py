@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.common import least_hashes, staged
@@ -32,12 +32,13 @@ _SPACE, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP[list(b'.!?:"')] = True
 OWN = len(_SETS) + 6
+#: Bytes of a text whose features are made at a time, up to the line's end.
+PART = 1 << 19
 FEATURES = 3 * OWN + 1
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x FEATURES) and lengths in bytes of the text's lines; an empty text is one empty line."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+def _own_features(data: bytes, before: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each line by itself (lines x OWN) and its length in bytes; ``before`` is the length of the line before the first."""
     raw = np.frombuffer(data + b"\n", dtype=np.uint8)
     ends = np.flatnonzero(raw == 10)
     starts = np.r_[0, ends[:-1] + 1]
@@ -58,7 +59,13 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     own[:, kinds + 2] = np.log1p(count) / 4
     own[:, kinds + 3] = lengths == 0
     own[:, kinds + 4] = _STOP[raw[np.maximum(ends - 1, 0)]] & (lengths > 0)
-    own[1:, kinds + 5] = (lengths[1:] == lengths[:-1]) & (lengths[1:] > 0)
+    own[:, kinds + 5] = (lengths == np.r_[before, lengths[:-1]]) & (lengths > 0)
+    return own, lengths
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features (lines x FEATURES) and lengths in bytes of the text's lines; an empty text is one empty line."""
+    own, lengths = _own_features((text or "").encode("utf-8", "surrogatepass"))
     blank = np.zeros((1, OWN), dtype=np.float32)
     return np.hstack([own, np.vstack([blank, own[:-1]]), np.vstack([own[1:], blank]), np.ones((len(own), 1), dtype=np.float32)]), lengths
 
@@ -75,7 +82,9 @@ class LineCrf:
     def marginals(self, features: np.ndarray) -> np.ndarray:
         """The probability of 'good' of each line, by forward-backward."""
         weights = self.weights / self.scale
-        emit = (features @ weights - self.mean @ weights).tolist()
+        return self._smoothed((features @ weights - self.mean @ weights).tolist())
+
+    def _smoothed(self, emit: list[float]) -> np.ndarray:
         (bb, bg), (gb, gg) = np.exp(self.trans).tolist()
         fwd, bwd = emit[:1], [0.0] * len(emit)
         for e in emit[1:]:
@@ -87,8 +96,20 @@ class LineCrf:
         return 1 / (1 + np.exp(-np.clip(np.add(fwd, bwd), -50, 50)))
 
     def score(self, text: str | None) -> float:
-        features, lengths = line_features(text)
-        return float(np.average(self.marginals(features), weights=np.maximum(lengths, 1)))
+        """The mean marginal of the text's lines by length. Features are made for parts of a long text; a line leaves its share in the scores of itself and its neighbours only."""
+        weights = self.weights / self.scale
+        data = (text or "").encode("utf-8", "surrogatepass")
+        shares, lengths, at, before = [], [], 0, -1
+        while at <= len(data):
+            stop = data.find(b"\n", at + PART)
+            stop = len(data) if stop < 0 else stop
+            own, n = _own_features(data[at:stop], before)
+            shares.append(own @ weights[:-1].reshape(3, OWN).T)
+            lengths.append(n)
+            at, before = stop + 1, int(n[-1])
+        own, after, ahead = np.vstack(shares).T
+        emit = own + np.r_[0, after[:-1]] + np.r_[ahead[1:], 0] + weights[-1] - self.mean @ weights
+        return float(np.average(self._smoothed(emit.tolist()), weights=np.maximum(np.concatenate(lengths), 1)))
 
 
 def _chain(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -166,17 +187,22 @@ def held_out(doc_id) -> object:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_bytes: int = 60000) -> LineCrf:
-    """Fit on at most ``max_docs`` labelled documents, those with the least hashes of doc_id.
+def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_bytes: int = 60000, max_lines: int = 200_000) -> LineCrf:
+    """Fit on at most ``max_docs`` labelled documents with ``max_lines`` lines in all, those with the least hashes of doc_id.
 
     Held-out documents, null labels and texts of over ``max_bytes`` bytes are not
-    trained on; of several labels of one document the least counts. The features of
-    the sample, and nothing else, come to the driver.
+    trained on; of several labels of one document the least counts, of several texts
+    too. The features of the sample, and nothing else, come to the driver: 184 bytes a
+    line, 37 MB at most.
     """
     ids = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~held_out(F.col("doc_id")))
     ids = ids.join(docs.filter(F.octet_length("text") <= max_bytes).select("doc_id"), "doc_id", "left_semi")
     ids = least_hashes(staged(ids, "labelled"), max_docs, "doc_id")
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(ids, "doc_id").select("text", F.col("quality").cast("int"))
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").cast("int").alias("quality"))
+    rows = staged(rows.withColumn("lines", F.regexp_count("text", F.lit("\n")) + 1), "training-texts")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = rows.select("doc_id", F.sum("lines").over(upto).alias("so_far")).filter(F.col("so_far") <= max_lines)
+    rows = rows.join(few, "doc_id", "left_semi").select("text", "quality")
     got = rows.mapInPandas(_featured, "x binary, y int").toPandas()
     got = got.sort_values(["y", "x"], ignore_index=True)
     return fit([(np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES), int(y)) for x, y in zip(got["x"], got["y"], strict=True)])
@@ -195,8 +221,8 @@ def _scored(model: LineCrf):
 def score_documents(docs: DataFrame, model: LineCrf, *, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher is better) and predicted (1 from ``threshold`` on), one row per input row.
 
-    Whole texts are scored; null texts score as empty ones, a single empty line.
-    Other columns are ignored, labels are no input. An empty table gives no rows.
+    Whole texts are scored, in parts of bounded memory; null texts score as empty ones, a single empty line.
+    A score at the threshold is 1. Other columns are ignored, labels are no input. An empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_scored(model), f"doc_id {kind}, held_out boolean, score double")
@@ -206,11 +232,15 @@ def score_documents(docs: DataFrame, model: LineCrf, *, threshold: float = 0.3)
 def only_good(docs: DataFrame, model: LineCrf, *, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
 
+    text = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py()) >= threshold for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t.as_py()) >= threshold for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # by place, as names with dots can't be passed on
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def crc_held_out(doc_id: int) -> bool:
