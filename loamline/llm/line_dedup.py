@@ -6,12 +6,14 @@ on). Equal ranks after k rounds are the intervals of the suffix array whose long
 common prefix is 2^k lines or more. Suffixes alone in their interval are unique from
 there on and leave the sort, so rounds work on repeated lines only.
 
-A run is worth deleting from ``min_words`` words on. For each line the shortest such
-runs that start and that end there are looked up in the two ranks that cover them;
-their intervals hold all copies. All but the first are deleted. A line of a longer
-repeated run has ``min_words`` words up to the run's end, and then the run that starts
-at the line is inside it, or the shortest run that ends at that end reaches back to the
-line: together they add up to the maximal repeated runs.
+A run is worth deleting from ``min_words`` words on. The interval of all suffixes that
+share a run of any length is named by the two ranks that cover the run, those of its
+first and of its last 2^k lines. For each line the intervals of the shortest such
+runs that start and that end there are looked up; all copies but the first are
+deleted. A line of a maximal repeated run has ``min_words`` words up to the run's end, and
+then the run that starts at the line is inside it, or the shortest run that ends at
+that end reaches back to the line: together they add up to the maximal repeated runs,
+whole, and doubling ends with the longest of the shortest runs.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.llm.common import staged
+from loamline.llm.common import discard, staged
 
 DOC = ["doc_id", "text_key"]
+SALTS = 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,7 +62,7 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     longest = active.agg(F.max(F.greatest("len", "back"))).first()[0] or 0
     backward = active.filter("back is not null").select(F.col("doc_id").alias("bd"), F.col("text_key").alias("bt"), (F.col("pos") - F.col("back") + 1).alias("bp"), F.col("back").alias("b_len"))
 
-    level, runs = active.drop("back"), None
+    level, runs, used = active.drop("back"), None, [lines, ranks, active]
     k = 0
     while longest >= 1 << k:
         # suffixes whose run has 2^k lines or more, but fewer than 2^(k+1)
@@ -77,7 +80,9 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
         name = ["rank", "rank2", "len"]
         firsts = cover.groupBy(*name).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *DOC, "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
         own = F.struct(F.col("doc_id").isNull().alias("no_id"), *DOC, "pos")
-        later = cover.join(firsts, name).filter(~own.eqNullSafe(F.col("first"))).select(*DOC, "pos", "len")
+        # a passage may stand in most documents: its copies meet the first one in parts
+        firsts = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        later = cover.withColumn("salt", F.pmod(F.xxhash64(*DOC), F.lit(SALTS)).cast("int")).join(firsts, [*name, "salt"]).filter(~own.eqNullSafe(F.col("first"))).select(*DOC, "pos", "len")
         runs = later if runs is None else runs.union(later)
         k += 1
         if longest >= 1 << k:
@@ -86,21 +91,26 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
             pairs = level.withColumn("rank2", on).filter("rank2 is not null")
             pairs = pairs.filter(F.col("pos") + (1 << k) <= F.col("end"))
             ranks = _ranked(pairs.groupBy(F.col("rank").alias("r1"), F.col("rank2").alias("r2")).agg(F.count("*").alias("n")), ["r1", "r2"])
+            used.append(ranks)
             level = staged(pairs.join(ranks.withColumnRenamed("rank", "to"), (F.col("rank") == F.col("r1")) & (F.col("rank2") == F.col("r2"))).select(*DOC, "pos", F.col("to").alias("rank"), "end", "len"), "level")
+            used.append(level)
     if runs is None:
         runs = active.filter("false").select(*DOC, "pos", "len")
     deleted = runs.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).distinct()
     islands = deleted.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos")))
     spans = islands.groupBy(*DOC, "island").agg(F.min("pos").alias("first_line"), F.count("*").cast("int").alias("n_lines"))
-    return spans.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first_line", "n_lines"))).alias("runs"))
+    out = staged(spans.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first_line", "n_lines"))).alias("runs")), "runs")
+    discard(*used)
+    return out
 
 
-def drop_repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, *, min_words: int = 50, report: str = "_runs") -> DataFrame:
     """Documents without the later copies of repeated line runs of ``min_words`` words or more.
 
     ``docs`` needs doc_id and text. Returns all its columns, with text (and n_chars,
-    if there) as it is after deletion, and a struct _runs: n_lines (before),
-    n_removed, runs (first line and lines of each maximal deleted run). The first
+    if there) as it is after deletion, and a struct ``report``: n_lines (before),
+    n_removed, runs (first line and lines of each maximal deleted run); it takes the
+    place of a column of that name. Texts are read whole, however long. The first
     copy by doc_id (nulls last) and line stays. Copies within one document count;
     rows equal in doc_id and text are one document and lose the same lines. Null
     texts stay null, empty ones empty; an empty table gives an empty result.
@@ -113,5 +123,5 @@ def drop_repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     text = F.when(F.col("_r").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     removed = F.aggregate(F.coalesce("_r", F.array().cast("array<struct<first_line:int,n_lines:int>>")), F.lit(0), lambda n, r: n + r["n_lines"])
     columns = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    report = F.struct(F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), removed.alias("n_removed"), F.col("_r").alias("runs"))
-    return joined.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], report.alias("_runs"))
+    told = F.struct(F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), removed.alias("n_removed"), F.col("_r").alias("runs"))
+    return joined.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != report], told.alias(report))

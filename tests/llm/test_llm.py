@@ -658,3 +658,63 @@ def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
     dirty = [(None, f"{d} {item}"), (None, e), (None, None), (7, f"{item} {f}"), (7, f), (7, f), (8, item)]
     got = corpus_pipeline.decontaminated(spark, frame(spark, dirty), str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, e), (None, None), (7, f), (7, f)], key=str)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeats, columns that clash with names used inside, empty tables."""
+    rng = random.Random(21)
+    text = lambda n=60: " ".join(words_of(rng, n, 5000))
+    a, long = text(), "\n".join(text(12) for _ in range(6000))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _runs string, _id long, score double, bytes long, salt int, `a.b` string, size int, row string"
+    rows = [(i, t, None, s, len(t or ""), "r", 1, 0.5, 2, 3, "d", 4, "w") for i, t, s in [(1, a, "s"), (1, a, "s"), (2, a, None), (None, a, "s"), (3, None, "s"), (3, None, "s"), (4, "", None), (5, "  ", "s"), (6, long, "t"), (7, text(), "t"), (7, text(), "t"), (None, None, None)]]
+    spark.createDataFrame([(7, 1, None), (1, 1, 0), (None, 0, 1), (8, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (2, text(15))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES:
+            before, kept = kept, stage(spark, kept, str(tmp_path))
+            if name != "mixing":
+                assert kept.columns == docs.columns
+            kept = spark.createDataFrame(kept.collect(), kept.schema)
+            if name == "line_dedup" and data:
+                found = kept.collect()
+                assert sorted(r.doc_id for r in found if r.text == a) == [1, 1] and sum(r.text == long for r in found) == 1
+                assert sum(r.text is None for r in found) == 3 and sum(r.text == "" for r in found) == 1
+            if name == "near_dedup" and data:
+                found = kept.collect()
+                assert sum(r.text == a for r in found) == 1 and sum(r.text is None for r in found) == 3 and sum(r.doc_id == 7 for r in found) == 2
+            if name == "decontamination":
+                assert kept.count() == before.count()
+        if data:
+            taken = kept.collect()
+            assert {r.doc_id for r in taken} <= {1, 5, 6, 7} and all(r.taken > 0 for r in taken)
+        else:
+            assert kept.count() == 0
+
+
+def test_report_takes_the_place_of_a_column(spark):
+    docs = spark.createDataFrame([(1, "a", "mine")], "doc_id long, text string, _runs string")
+    out = line_dedup.drop_repeated_runs(docs)
+    assert out.columns == ["doc_id", "text", "_runs"] and out.first()._runs.n_lines == 1
+    other = line_dedup.drop_repeated_runs(docs, report="told")
+    assert other.first()._runs == "mine" and other.first().told.n_removed == 0
+
+
+def test_long_texts(spark):
+    rng = random.Random(31)
+    base = words_of(rng, 120_000, 50_000)
+    near = [*base]
+    for k in range(0, 120_000, 200):
+        near[k] = "changed"
+    docs = frame(spark, [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(words_of(rng, 120_000, 50_000))), (4, "x" * 3_000_000), (5, "y\n" * 300_000)])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, shingle_words=4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    data = (" ".join(base) + " " + "z" * 2_500_000 + " end").encode()
+    assert (minhash_dedup.word_hashes(data) == minhash_dedup._word_hashes(data)).all()
+    model = quality_crf.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert all(0 <= r.score <= 1 for r in quality_crf.score_documents(docs, model).collect())
+    item = " ".join(base[70_000:70_012])
+    hits = {r.doc_id: r.contaminated for r in decontamination.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hits == {1: True, 2: "changed" not in near[70_000:70_010] or "changed" not in near[70_002:70_012], 3: False, 4: False, 5: False}
+    assert mixing.mix(docs).agg(F.sum("size")).first()[0] == 3 * 120_000 + 1 + 300_000
