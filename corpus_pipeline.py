@@ -1,8 +1,10 @@
 """A training corpus in five stages, each written as Parquet and read by the next.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``docs``. Rows are dropped by doc_id (null included) and text, so
-rows that share a doc_id are judged each by its own text.
+return the columns of ``docs``, whatever their names: those that the stages don't use go
+with their row. Rows are dropped by doc_id (null included) and text, so rows that share
+a doc_id are judged each by its own text. Texts are read whole, however long. An empty
+table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -21,19 +23,35 @@ def _matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the line CRF scores 0.3 or more; trained on labelled rows that are not held out."""
+    """Keeps documents that the line CRF scores 0.3 or more, a tie at 0.3 included; trained on labelled rows that are not held out.
+
+    Null and empty texts score as one empty line and stay or go by that; repeated rows
+    fare alike. Without labels everything stays.
+    """
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
     return quality_crf.only_good(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs of 50 words or more; documents that lose every line go, the others stay."""
-    out = line_dedup.drop_repeated_runs(docs, min_words=50)
-    return out.filter("_runs.n_removed = 0 or _runs.n_removed < _runs.n_lines").drop("_runs")
+    """Deletes later copies of repeated line runs of 50 words or more; documents that lose every line go, the others stay.
+
+    The first copy is that of the least doc_id (nulls last), then of the least hash of
+    the text, then line. Null and empty texts have no runs and stay as they are. Rows
+    equal in doc_id and text lose the same lines.
+    """
+    report = "_runs"
+    while report in docs.columns:
+        report += "_"
+    out = line_dedup.drop_repeated_runs(docs, min_words=50, report=report)
+    return out.filter((F.col(f"`{report}`.n_removed") == 0) | (F.col(f"`{report}`.n_removed") < F.col(f"`{report}`.n_lines"))).drop(report)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8): that with the least doc_id (nulls last), then the least hash of the text, then of the row."""
+    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8): that with the least doc_id (nulls last), then the least hash of the text, then of the row.
+
+    Null, empty and blank texts are near nothing and all stay, repeated ones too. Rows
+    equal in doc_id and text, but for blank ones, are one group: one stays.
+    """
     members = minhash_dedup.group_members(docs)
     dropped = staged(members.filter("not first or n > 1").select("doc_id", "text_key"), "dropped")
     repeated = staged(members.filter("first and n > 1").select("doc_id", "text_key"), "repeated")
@@ -46,13 +64,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps rows whose text is without any ten-word window of a benchmark item."""
+    """Keeps rows whose text is without any ten-word window of a benchmark item; null and empty texts have none and stay, repeated rows fare alike."""
     judged = decontamination.judged_texts(docs, table(spark, sf_dir, "benchmark"), window=10)
     return _matched(docs, staged(judged.filter("contaminated").select("doc_id", "text_key").distinct(), "dropped"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken of the documents that the mix takes, all sources at weights 5, 2, 1 in turn."""
+    """doc_id, size, source_size, target and taken of the documents that the mix takes, all sources at weights 5, 2, 1 in turn.
+
+    Null and empty texts have no words and are not taken; a null source is a source of
+    its own. Ties of the sampling order go by doc_id, then the text's hash; each of
+    repeated rows is taken or not by its own place.
+    """
     return mixing.mix(docs, weights=(5.0, 2.0, 1.0), cap=3, seed=42).filter("taken > 0")
 
 
