@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamline.functions.text import bound, strip
 
@@ -38,11 +39,43 @@ def python_float(c: Column) -> Column:
     return F.coalesce(named, F.when(exponent.isNull(), plain).when(exponent.between(-4, 15), whole).otherwise(F.concat(digits, F.lit("e"), power)))
 
 
+def printed(c: Column, kind: T.DataType, nested: bool = False) -> Column:
+    """A value as Python prints it: lists and dicts of any depth, texts inside them in quotes, None for null."""
+    if isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: printed(x, kind.elementType, True)), ", "), F.lit("]"))
+    elif isinstance(kind, T.StructType):
+        fields = [F.concat(F.lit(f"'{f.name}': "), printed(c[f.name], f.dataType, True)) for f in kind.fields]
+        out = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        pair = lambda e: F.concat(printed(e["key"], kind.keyType, True), F.lit(": "), printed(e["value"], kind.valueType, True))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), pair), ", "), F.lit("}"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        out = python_float(c.cast("double"))
+    elif isinstance(kind, T.BooleanType):
+        out = F.initcap(c.cast("string"))
+    elif isinstance(kind, T.StringType):
+        out = _quoted(c) if nested else c
+    else:
+        out = c.cast("string")
+    return F.coalesce(F.when(c.isNotNull(), out), F.lit("None"))
+
+
+def _quoted(plain: Column) -> Column:
+    """A text in quotes as Python chooses them; line ends and tabs are escaped."""
+    safe = plain
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        safe = F.replace(safe, F.lit(a), F.lit(b))
+    double = plain.contains("'") & ~plain.contains('"')
+    return F.when(double, F.concat(F.lit('"'), safe, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(safe, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def _spelled(v: Column, nested: bool = False) -> Column:
     """A JSON scalar as Python prints it; in a list, texts are quoted."""
     kind, plain = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-    text = F.when(plain.contains("'") & ~plain.contains('"'), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))) if nested else plain
-    number = (kind.startswith("DECIMAL") & ~kind.endswith(",0)")) | kind.isin("DOUBLE", "FLOAT")
+    text = _quoted(plain) if nested else plain
+    # 3.0 is a decimal without places; so are whole numbers too long for 64 bits, which have 19 digits or more
+    long = kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
+    number = (kind.startswith("DECIMAL") & ~long) | kind.isin("DOUBLE", "FLOAT")
     out = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(plain)).when(number, python_float(F.try_variant_get(v, "$", "double")))
     return out.when(kind == "STRING", text).otherwise(plain)
 

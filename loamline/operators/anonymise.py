@@ -80,9 +80,32 @@ def by_count(total: DataFrame) -> DataFrame:
     return total.select("source", F.explode("par_type").alias("kind", "n")).orderBy("source", F.desc("n"), "kind")
 
 
+REPORT = "struct<sources:array<struct<source:string,lignes:bigint,avec_entite:bigint,par_type:map<string,bigint>>>>"
+
+
+def report_json(total: DataFrame) -> DataFrame:
+    """The report as one row of JSON: a list of sources, which are few, in order."""
+    rows = F.array_sort(F.collect_list(F.struct("source", "lignes", "avec_entite", F.map_entries("par_type").alias("t"))))
+    sources = F.transform(rows, lambda s: F.struct(s["source"].alias("source"), s["lignes"].alias("lignes"), s["avec_entite"].alias("avec_entite"), F.map_from_entries(s["t"]).alias("par_type")))
+    return total.agg(F.to_json(F.struct(sources.alias("sources"))).alias("json"))
+
+
+def markdown_of(report: DataFrame) -> DataFrame:
+    """One row of text, made from the JSON report alone: markdown."""
+    share = lambda s: F.format_string("%.1f", F.coalesce(F.try_divide(s["avec_entite"] * 100.0, s["lignes"]), F.lit(0.0)))
+    line = lambda s: F.format_string("| %s | %d | %d | %s |", s["source"], s["lignes"], s["avec_entite"], share(s))
+    head = F.array(F.lit("| source | lignes | avec entité | % |"), F.lit("|---|---:|---:|---:|"))
+    sources = F.from_json("json", REPORT)["sources"]
+    return report.select(F.concat(F.array_join(F.concat(head, F.transform(sources, line)), "\n"), F.lit("\n")).alias("markdown"))
+
+
 def markdown(total: DataFrame) -> str:
     """The report as text; it has a row for each source, which is all that comes to the driver."""
-    lines = ["| source | lignes | avec entité | % |", "|---|---:|---:|---:|"]
-    for r in total.orderBy("source").collect():
-        lines.append(f"| {r.source} | {r.lignes} | {r.avec_entite} | {100.0 * r.avec_entite / r.lignes if r.lignes else 0.0:.1f} |")
-    return "\n".join(lines) + "\n"
+    return markdown_of(report_json(total)).first()["markdown"]
+
+
+def write_report(total: DataFrame, folder: str) -> None:
+    """The cumulative report as JSON, and Markdown regenerated from the JSON that was written."""
+    report_json(total).write.mode("overwrite").text(f"{folder}/json")
+    report = total.sparkSession.read.text(f"{folder}/json").withColumnRenamed("value", "json")
+    markdown_of(report).write.mode("overwrite").text(f"{folder}/markdown")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,42 +11,60 @@ from pyspark.sql import functions as F
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def turn(m: Column) -> Column:
-    return F.concat(F.lit(BEGIN), m["role"], F.lit("\n"), m["contenu"], F.lit(END))
+@dataclass(frozen=True)
+class Template:
+    """How a turn is written: begin, role, after_role, text, end."""
 
+    begin: str = BEGIN
+    after_role: str = "\n"
+    end: str = END
 
-def render(messages: Column) -> Column:
-    return F.array_join(F.transform(messages, turn), "")
+    def turn(self, m: Column) -> Column:
+        return F.concat(F.lit(self.begin), m["role"], F.lit(self.after_role), m["contenu"], F.lit(self.end))
 
+    def invitation(self) -> Column:
+        return F.lit(f"{self.begin}assistant{self.after_role}")
 
-def bounds(messages: Column) -> Column:
+
+CHATML = Template()
+
+
+def turn(m: Column, template: Template = CHATML) -> Column:
+    return template.turn(m)
+
+
+def render(messages: Column, template: Template = CHATML) -> Column:
+    return F.array_join(F.transform(messages, template.turn), "")
+
+
+def bounds(messages: Column, template: Template = CHATML) -> Column:
     """Half-open, contiguous character bounds (role, debut, fin) of the rendered turns."""
     kind = "array<struct<role:string,debut:int,fin:int>>"
 
     def step(acc: Column, m: Column) -> Column:
-        end = acc["at"] + F.length(turn(m))
+        end = acc["at"] + F.length(template.turn(m))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(m["role"].alias("role"), acc["at"].alias("debut"), end.alias("fin")))).alias("out"))
 
     return F.aggregate(messages, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
 
-def formatted(pivot: DataFrame) -> DataFrame:
+def formatted(pivot: DataFrame, template: Template = CHATML) -> DataFrame:
     """identifiant, texte and tours of rows with a prompt and a completion."""
     every = F.concat("prompt", "completion")
-    return pivot.select("identifiant", render(every).alias("texte"), bounds(every).alias("tours"))
+    return pivot.select("identifiant", render(every, template).alias("texte"), bounds(every, template).alias("tours"))
 
 
-def invitation(prompt: Column) -> Column:
+def invitation(prompt: Column, template: Template = CHATML) -> Column:
     """The prompt with an open assistant turn."""
-    return F.concat(render(prompt), F.lit(BEGIN + "assistant\n"))
+    return F.concat(render(prompt, template), template.invitation())
 
 
-def triplets(pivot: DataFrame, reformulated: DataFrame | None = None) -> DataFrame:
+def triplets(pivot: DataFrame, reformulated: DataFrame | None = None, template: Template = CHATML) -> DataFrame:
     """identifiant, prompt, chosen, rejected as text; a reformulated chosen replaces the original."""
     rows = pivot.filter(F.col("type_exemple") == "dpo")
     if reformulated is not None:
         rows = rows.join(reformulated.select("identifiant", F.col("chosen").alias("_new")), "identifiant", "left").withColumn("chosen", F.coalesce("_new", "chosen"))
-    return rows.select("identifiant", invitation(F.col("prompt")).alias("prompt"), render(F.col("chosen")).alias("chosen"), render(F.col("rejected")).alias("rejected"))
+    return rows.select("identifiant", invitation(F.col("prompt"), template).alias("prompt"), render(F.col("chosen"), template).alias("chosen"), render(F.col("rejected"), template).alias("rejected"))
 
 
 def assistant_text(text: Column, turns: Column) -> Column:

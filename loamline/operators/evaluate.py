@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import json_values as js
@@ -54,10 +54,36 @@ def latency(df: DataFrame, seconds: str = "secondes", failed: str = "echec") ->
     return out.withColumn("latence_moyenne", checked)
 
 
+#: Equal ranges of values that are counted before those in the middle are put in order.
+BINS = 4096
+
+
+def exact_median(df: DataFrame, c: str) -> DataFrame:
+    """One row, median: the exact median of a column, null without values.
+
+    Values are counted in ranges first; only the distinct values of the one or two ranges
+    that hold the middle are put in order.
+    """
+    v = df.select(F.col(c).cast("double").alias("v")).filter("v is not null")
+    n, low, high = (v.agg(x).scalar() for x in (F.count("*"), F.min("v"), F.max("v")))
+    width = F.nullif(high - low, F.lit(0.0))
+    binned = v.withColumn("bin", F.coalesce(F.floor((F.col("v") - low) / width * (BINS - 1)), F.lit(0)))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy("bin").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    first, last = F.floor((n - 1) / 2), F.floor(n / 2)
+    middle = counts.filter((F.col("before") <= last) & (F.col("before") + F.col("k") > first)).select("bin", "before")
+    values = binned.join(middle, "bin").groupBy("bin", "before", "v").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("at", F.col("before") + F.coalesce(F.sum("k").over(upto), F.lit(0)))
+    holds = lambda p: ((F.col("at") <= p) & (F.col("at") + F.col("k") > p)).cast("int")
+    return values.agg((F.sum(F.col("v") * (holds(first) + holds(last))) / 2).alias("median"))
+
+
 def latency_summary(df: DataFrame, name: str, contains: str, seconds: str, ok: str) -> DataFrame:
     """nombre, moyenne, mediane (exact), minimum and maximum of successes whose name contains a text; 0 and nulls if none."""
     rows = df.filter(F.col(name).contains(contains) & F.col(ok))
-    return rows.agg(F.count("*").alias("nombre"), F.avg(seconds).alias("moyenne"), F.median(seconds).alias("mediane"), F.min(seconds).alias("minimum"), F.max(seconds).alias("maximum"))
+    out = rows.agg(F.count("*").alias("nombre"), F.avg(seconds).alias("moyenne"), F.min(seconds).alias("minimum"), F.max(seconds).alias("maximum"))
+    return out.select("nombre", "moyenne", exact_median(rows, seconds).scalar().alias("mediane"), "minimum", "maximum")
 
 
 def bounded_sample(df: DataFrame, order: str, k: int = 20) -> DataFrame:

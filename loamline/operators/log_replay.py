@@ -46,6 +46,12 @@ def anchors(lines: DataFrame) -> DataFrame:
     return first.select("run", F.unix_timestamp(F.to_timestamp("s", "yyyyMMdd'T'HHmmss")).cast("double").alias("t0"))
 
 
+def filled_steps(rows: DataFrame, run: str, order: str, step: str, name: str) -> DataFrame:
+    """Adds ``name``, the last step of the run there was up to the row, 0 before any."""
+    upto = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(name, F.coalesce(F.last(step, ignorenulls=True).over(upto), F.lit(0)))
+
+
 def replayed(lines: DataFrame) -> DataFrame:
     """run, etape, nom, valeur, horodatage of every metric that the log prints.
 
@@ -58,8 +64,7 @@ def replayed(lines: DataFrame) -> DataFrame:
     total = steps.select("run", "total").distinct()
     first = F.regexp_extract("line", BAR, 2)
     rows = lines.join(total, "run").withColumn("is_bar", first == F.col("total").cast("string"))
-    by_ord = Window.partitionBy("run").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("seen", F.coalesce(F.last(F.when(F.col("is_bar"), F.regexp_extract("line", BAR, 1).try_cast("int")), ignorenulls=True).over(by_ord), F.lit(0)))
+    rows = filled_steps(rows.withColumn("step", F.when(F.col("is_bar"), F.regexp_extract("line", BAR, 1).try_cast("int"))), "run", "ord", "step", "seen")
     rows = rows.filter("not is_bar").withColumn("m", python_dict(F.col("line"))).filter("m is not null")
     epochs = F.rint(F.max(F.coalesce(F.try_element_at("m", F.lit("epoch")), F.lit(0.0))).over(Window.partitionBy("run"))).cast("int")
     rows = rows.withColumn("epochs", epochs)

@@ -326,9 +326,8 @@ def curve_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BY_RANK} SELECT run, ord, coalesce(last_value(CASE WHEN event_type = 'click' THEN etape END IGNORE NULLS) OVER (PARTITION BY run ORDER BY etape ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS step FROM k")
 def forward_fill_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("run").orderBy("etape").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("event_type") == "click", F.col("etape")), ignorenulls=True).over(w)
-    return _by_rank(spark, sf_dir).select("run", "ord", F.coalesce(last, F.lit(0)).alias("step"))
+    rows = _by_rank(spark, sf_dir).withColumn("click", F.when(F.col("event_type") == "click", F.col("etape")))
+    return log_replay.filled_steps(rows, "run", "etape", "click", "step").select("run", "ord", "step")
 
 
 @query(f"WITH {_VERDICTS}, f AS (SELECT run, max_by(perte_train, etape) AS perte_train, max_by(struct_pack(v := perte_validation), etape).v AS perte_validation FROM c GROUP BY 1) SELECT run, verdict, perte_train, perte_validation FROM f JOIN e USING (run) ORDER BY verdict <> 'saine', coalesce(perte_validation, perte_train), run LIMIT 1")
@@ -529,7 +528,9 @@ def latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    key = F.col("doc_id").alias("identifiant")
+    rest = anonymise.to_do(table(spark, sf_dir, "documents").select(key, "lang"), table(spark, sf_dir, "labels").select(key))
+    return rest.select(F.col("identifiant").alias("doc_id"), "lang")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT greatest(0, (SELECT count(DISTINCT doc_id) FROM labels) + 25 - (SELECT count(DISTINCT doc_id) FROM labels))")
@@ -577,15 +578,6 @@ def _opinions(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, e
 
 
-@query(r"""WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b')) AS f FROM d)
-SELECT CASE doc_id % 3 WHEN 0 THEN 'confirme' WHEN 1 THEN 'revision_humaine' ELSE 'faux_positif_regex' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
-def candidate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised words of ASCII documents only, as its SQL has it; ``candidate_verdicts_all`` has all."""
-    pairs, entities = _opinions(table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
-    c = audit.candidates(pairs, entities).filter("type_motif = 'bigramme_capitalise'")
-    return c.groupBy("verdict").agg(F.count("*").alias("n"))
-
-
 @query()
 def candidate_verdicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every kind in all documents."""
@@ -601,18 +593,11 @@ def undecided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.undecided(rows, done).filter(F.col("verdict").isin(audit.CONFIRMED, audit.HUMAN)).select("doc_id", "verdict")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id % 2 = 0 UNION ALL SELECT -count(*) AS doc_id FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 1 AND doc_id % 2 = 0")
-def publication_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even ids that may be published, and how many were left out as a negative number; ``publication_filter_all`` has all ids."""
-    d, out = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 2 = 0"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    return d.join(out, "doc_id", "left_anti").union(d.join(out, "doc_id", "left_semi").agg(-F.count("*")))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT -count(*) AS doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def publication_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that may be published, and how many were left out as a negative number."""
-    d, out = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    return d.join(out, "doc_id", "left_anti").union(d.join(out, "doc_id", "left_semi").agg(-F.count("*")))
+    rows, left_out = audit.publishable(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id")
+    return rows.union(left_out.select(-F.col("exclus")))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS lignes, ((SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})))::DOUBLE / (SELECT count(*) FROM {t}) AS duplicate_rate" for t in ("labels", "benchmark", "conversations", "nation")))

@@ -42,6 +42,7 @@ DECISION = T.StructType([*(T.StructField(c, T.StringType()) for c in DECISION_KE
 REGISTRY = T.StructType([T.StructField(c, T.StringType()) for c in ("identifiant", "strate", "horodatage")])
 METRIC = T.StructType([T.StructField("etape", T.IntegerType()), T.StructField("nom", T.StringType()), T.StructField("valeur", T.DoubleType()), T.StructField("horodatage", T.DoubleType())])
 AUDIT = T.StructType([*(T.StructField(c, T.StringType()) for c in ("horodatage", "type_evenement", "identifiant")), T.StructField("metadonnees", T.MapType(T.StringType(), T.StringType()))])
+AUDIT_EVENT = T.StructType([*(T.StructField(c, T.StringType()) for c in ("horodatage", "type_evenement", "conversation_id", "entree", "sortie", "version_modele")), T.StructField("metadonnees", T.MapType(T.StringType(), T.StringType()))])
 CHECKPOINT = T.StructType([T.StructField(c, T.StringType()) for c in ("identifiant", "modele", "horodatage", "verdict")] + [T.StructField("hyperparametres", T.StructType([T.StructField("taux_apprentissage", T.DoubleType()), T.StructField("rang_lora", T.IntegerType()), T.StructField("nombre_epoques", T.IntegerType()), T.StructField("beta", T.DoubleType())]))])
 
 #: The members of the enumerations.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -31,6 +32,16 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables that a query writes and reads again, in the folder that driver and executors share (``spark.checkpoint.dir``); on a single machine without that setting, a local one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-loamline-")
+    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None, chunk: int | None = None) -> DataFrame:
     """A raw corpus by its suffix: .csv, .jsonl, .json (one array) or .parquet.
 
