@@ -92,22 +92,19 @@ def test_index_guarantee():
 
 
 def brute_lines(rows, least):
-    """Every line inside a run of at least ``least`` words that occurs at an earlier place."""
+    """Every line inside a run of at least ``least`` words that occurs at an earlier place: each pair of places is extended as far as its lines are equal."""
     docs = sorted({(i is None, i, t) for i, t in rows if t is not None}, key=lambda d: (d[0], d[1] or 0, hash_key(d[2])))
-    out, seen = {}, {}
-    for _, i, t in docs:
-        lines = t.split("\n")
-        dead = set()
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                if sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines[a:b]) >= least:
-                    run = tuple(lines[a:b])
-                    if run in seen:
-                        dead |= set(range(a, b))
-                    seen.setdefault(run, (i, a))
-                    break
-        out[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in dead)
-    return out
+    lines = [t.split("\n") for _, _, t in docs]
+    places = [(d, a) for d, own in enumerate(lines) for a in range(len(own))]
+    dead = [set() for _ in docs]
+    for n, (d, a) in enumerate(places):
+        for e, b in places[:n]:
+            k = 0
+            while a + k < len(lines[d]) and b + k < len(lines[e]) and lines[d][a + k] == lines[e][b + k]:
+                k += 1
+            if sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines[d][a : a + k]) >= least:
+                dead[d] |= set(range(a, a + k))
+    return {(i, t): "\n".join(x for k, x in enumerate(own) if k not in gone) for (_, i, t), own, gone in zip(docs, lines, dead)}
 
 
 _KEYS = {}
