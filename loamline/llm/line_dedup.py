@@ -18,13 +18,14 @@ whole, and doubling ends with the longest of the shortest runs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.common import discard, staged
 
 DOC = ["doc_id", "text_key"]
-SALTS = 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,7 +63,7 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     longest = active.agg(F.max(F.greatest("len", "back"))).first()[0] or 0
     backward = active.filter("back is not null").select(F.col("doc_id").alias("bd"), F.col("text_key").alias("bt"), (F.col("pos") - F.col("back") + 1).alias("bp"), F.col("back").alias("b_len"))
 
-    level, runs, used = active.drop("back"), None, [lines, ranks, active]
+    level, found, used = active.drop("back"), [], [lines, ranks, active]
     k = 0
     while longest >= 1 << k:
         # suffixes whose run has 2^k lines or more, but fewer than 2^(k+1)
@@ -77,13 +78,15 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
         here = here.withColumn("pos2", F.col("pos") + F.col("len") - (1 << k))
         there = level.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
         cover = here.join(there, here["doc_id"].eqNullSafe(there["d"]) & (here["text_key"] == there["t"]) & (here["pos2"] == there["pos2"])).select(*DOC, "pos", "len", "rank", "rank2")
-        name = ["rank", "rank2", "len"]
+        cover, name = staged(cover, "cover"), ["rank", "rank2", "len"]
         firsts = cover.groupBy(*name).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *DOC, "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        # a passage may stand in most documents; as both sides are tables, the join can be broadcast by size or split where it is skewed
+        firsts = staged(firsts, "firsts")
         own = F.struct(F.col("doc_id").isNull().alias("no_id"), *DOC, "pos")
-        # a passage may stand in most documents: its copies meet the first one in parts
-        firsts = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        later = cover.withColumn("salt", F.pmod(F.xxhash64(*DOC), F.lit(SALTS)).cast("int")).join(firsts, [*name, "salt"]).filter(~own.eqNullSafe(F.col("first"))).select(*DOC, "pos", "len")
-        runs = later if runs is None else runs.union(later)
+        later = cover.join(firsts, name).filter(~own.eqNullSafe(F.col("first"))).select(*DOC, "pos", "len")
+        # written at once: a plan over all levels would be large
+        found.append(staged(later, "later"))
+        discard(cover, firsts)
         k += 1
         if longest >= 1 << k:
             half = 1 << (k - 1)
@@ -94,13 +97,12 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
             used.append(ranks)
             level = staged(pairs.join(ranks.withColumnRenamed("rank", "to"), (F.col("rank") == F.col("r1")) & (F.col("rank2") == F.col("r2"))).select(*DOC, "pos", F.col("to").alias("rank"), "end", "len"), "level")
             used.append(level)
-    if runs is None:
-        runs = active.filter("false").select(*DOC, "pos", "len")
+    runs = reduce(DataFrame.union, found) if found else active.filter("false").select(*DOC, "pos", "len")
     deleted = runs.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).distinct()
     islands = deleted.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos")))
     spans = islands.groupBy(*DOC, "island").agg(F.min("pos").alias("first_line"), F.count("*").cast("int").alias("n_lines"))
     out = staged(spans.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first_line", "n_lines"))).alias("runs")), "runs")
-    discard(*used)
+    discard(*used, *found)
     return out
 
 
