@@ -47,7 +47,9 @@ def maximal_chats(conversations: DataFrame) -> DataFrame:
     Returns conv_id, n_turns, n_copies (equal conversations, itself included) and
     chat (ChatML). A conversation that is a proper prefix of another is left out.
     Null roles and texts render as empty; a null conv_id is one conversation of its
-    own and loses to equal ones that have an id. An empty table gives no rows.
+    own and loses to equal ones that have an id. Equal conversations are one with
+    n_copies; texts are read whole. A conversation is put in order by one task. An
+    empty table gives no rows.
     """
     turns = staged(rolling_hashes(conversations), "turns")
     whole = turns.groupBy("conv_id").agg(F.max("at").alias("n_turns"), F.max_by("h", "at").alias("h"))

@@ -25,7 +25,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float = CAP) -> DataFrame:
-    """source, source_size and target of the table (source, source_size), a row for each source.
+    """source, source_size and target of the table (source, source_size), a row for each source; sources are few enough for one task.
 
     Sources in code point order, null last, take the weights in turn. Resharing the
     excess of capped sources by weight ends at target = min(cap * size, level *
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: f
     document of a source's order enters if at least half of it fits, so a source
     misses its target by half a document at most. Inclusion odds grow with
     the logarithm of a document's size. Rows with one doc_id share their
-    random number and follow each other. Null and empty texts
+    random number and follow each other, by the hash of their texts where they tie. Null and empty texts
     have size 0 and take nothing, a null source is a source; an empty table gives
     an empty result.
     """

@@ -125,7 +125,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null texts are empty; empty ones, and those of under three bytes, have empty
     buckets. A single document follows itself; an empty table gives no rows. Rows
     are dealt by ranges of doc_id; only the first and last of each range meet in
-    a join afterwards.
+    a join afterwards. Rows of one doc_id fall into one range, so an id should not
+    repeat millions of times; repeated rows follow each other. Long texts are
+    digested in parts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
