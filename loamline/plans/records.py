@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loamline.functions import clock, json_values as js
 from loamline.functions import text as tx
-from loamline.operators import anonymise, audit, dedup, evaluate, log_replay, mapping, profile, sampling
-from loamline.plans.queries import _FIELDS, _JUDGED, _RX, _TURNS, _judged, _masked_docs, _pivot_docs, _turns, query, table
+from loamline.operators import anonymise, audit, curves, dedup, evaluate, log_replay, mapping, profile, sampling
+from loamline.plans.queries import _FIELDS, _JUDGED, _NAMES, _POINTS, _RX, _SPLIT, _TURNS, ORACLES, _flat, _judged, _masked_docs, _pivot_docs, _points, _split, _turns, query, table
+from loamline.sources import files
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,3 +197,59 @@ def iso_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stamps of a given clock; the session's time zone makes no difference."""
     at = lambda: clock.iso(F.timestamp_seconds(F.col("doc_id") * 3600))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("texte"), at().alias("horodatage"))
+
+
+@query("WITH l AS (SELECT quality::VARCHAR AS source, doc_id, row_number() OVER (PARTITION BY quality ORDER BY doc_id::VARCHAR) AS rn FROM labels WHERE doc_id % 3 <> 0) SELECT source, doc_id::VARCHAR AS identifiant, CASE WHEN doc_id % 3 = 1 THEN 'revision_humaine' ELSE 'faux_positif_regex' END AS verdict FROM l WHERE rn <= 5")
+def capped_false_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked fragments that name nobody, five a source: a third overlap a person, a third another label, the rest nothing."""
+    lab = table(spark, sf_dir, "labels").withColumn("identifiant", F.col("doc_id").cast("string"))
+    fragments = lab.select("identifiant", F.col("quality").cast("string").alias("source"), F.lit("fr").alias("langue"), F.lit(0).alias("champ_ord"), F.lit("texte").alias("champ"), F.lit("xyz").alias("fragment"), F.lit(2).alias("debut"), F.lit(5).alias("fin"))
+    label = F.when(F.col("doc_id") % 3 == 0, "PER").when(F.col("doc_id") % 3 == 1, "MISC")
+    entities = lab.filter(label.isNotNull()).select("identifiant", F.lit("texte").alias("champ"), F.array(F.struct(label.alias("label"), F.lit(4).alias("start"), F.lit(9).alias("end"))).alias("entities"))
+    return audit.false_masks(fragments, entities, 5).select("source", "identifiant", "verdict")
+
+
+@query(f"WITH {_SPLIT}, c AS (SELECT source, lang, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'val') AS b, count(*) FILTER (split = 'test') AS c, count(*) AS n FROM s GROUP BY ALL) SELECT source, lang, rpad(source || ' / ' || lang, 24, ' ') || ' ' || printf('%8d (%5.1f %%)', a, 100.0 * a / n) || ' ' || printf('%8d (%5.1f %%)', b, 100.0 * b / n) || ' ' || printf('%8d (%5.1f %%)', c, 100.0 * c / n) || ' ' || lpad(n::VARCHAR, 8, ' ') AS ligne FROM c")
+def crosstab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.as_text(sampling.crosstab(_split(spark, sf_dir), ["source", "lang"]), ["source", "lang"])
+
+
+@query(f"WITH {_POINTS}, r AS (SELECT run, coalesce(max_by(struct_pack(v := perte_train), etape).v, 0) AS perte_train, coalesce(max_by(struct_pack(v := perte_validation), etape).v, 0) AS perte_validation FROM c GROUP BY run) SELECT run, perte_train, perte_validation FROM r")
+def last_row_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's values at its last whole step, 0 where missing; columns that no row fills are left out."""
+    w = curves.complete_steps(curves.wide(_points(spark, sf_dir), _NAMES))
+    names = [n for n in curves.present(w, [curves.TRAIN, "absent", curves.VALID])]
+    filled = w.select("run", "etape", *[F.struct(F.col(n)).alias(n) for n in names])
+    last = filled.groupBy("run").agg(*[F.max_by(n, "etape").alias(n) for n in names])
+    plain = last.select("run", F.lit(0).alias("etape"), *[F.col(f"{n}.{n}").alias(n) for n in names])
+    return curves.last_row(plain, names)
+
+
+@query(ORACLES["pivot_question_answer"])
+def pivot_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus mapped by its name."""
+    return _flat(mapping.mapped(_turns(spark, sf_dir).select("question", "answer"), "medquad"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'OBJECT<a: BIGINT>' WHEN 1 THEN 'STRING' WHEN 2 THEN 'VOID' END AS kind, least(greatest(event_id % 5 - 1, 0), 2)::BIGINT AS capped FROM events")
+def strict_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as one JSON value each, or none; and a number held between 0 and 2."""
+    texts = ['{"a": 1}', '"x"', "null", "1 2", "{'a': 1}"]
+    e = table(spark, sf_dir, "events").select("event_id", F.get(F.array(*map(F.lit, texts)), F.col("event_id") % 5).alias("t"))
+    return e.select("event_id", F.schema_of_variant(js.strict(F.col("t"))).alias("kind"), js.capped(F.col("event_id") % 5 - 1).cast("long").alias("capped"))
+
+
+@query("SELECT user_id AS run, CASE WHEN user_id % 2 = 0 THEN 0.1 END::DOUBLE AS beta FROM (SELECT DISTINCT user_id FROM events)")
+def runs_with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other run wrote its parameters."""
+    found = table(spark, sf_dir, "events").select(F.col("user_id").alias("run")).distinct()
+    return files.run_parameters(found, found.filter("run % 2 = 0").withColumn("beta", F.lit(0.1)))
+
+
+@query("SELECT doc_id, (40 + doc_id % 12)::BIGINT AS debut, (least(40 + doc_id % 12 + 6 + 40, 58 + doc_id % 30) - doc_id % 12)::BIGINT AS n FROM documents")
+def span_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the context of one address in a text, forty characters on either side where there are as many."""
+    i = F.col("doc_id")
+    text = F.concat(F.repeat(F.lit("="), (40 + i % 12).cast("int")), F.lit("a@b.fr"), F.repeat(F.lit("="), (12 - i % 12 + i % 30).cast("int")))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).select("doc_id", "t", F.explode(tx.pii_spans(F.col("t"), ("email",))).alias("s"))
+    return d.select("doc_id", F.col("s.start").cast("long").alias("debut"), F.length(tx.context(F.col("t"), F.col("s.start"), F.col("s.end"))).cast("long").alias("n"))

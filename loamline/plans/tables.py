@@ -11,6 +11,7 @@ from loamline.functions import text as tx
 from loamline.operators import chat, inference, log_replay
 from loamline.plans.queries import _pivot_docs, query, table
 from loamline.sources import files
+from loamline.streaming import logs
 
 _LABEL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kind", T.StringType())])
 
@@ -163,6 +164,18 @@ def text_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("run", F.col("ord").cast("long").alias("ord"), "line")
 
 
+@query("SELECT doc_id::VARCHAR AS identifiant, 'vu' AS type_evenement FROM labels UNION ALL SELECT doc_id::VARCHAR, 'revu' FROM labels WHERE toxic = 1")
+def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come in two files, appended to a log by a stream that is started twice."""
+    path, lab = files.scratch(spark), table(spark, sf_dir, "labels")
+    event = lambda d, kind: d.select(F.lit("t").alias("horodatage"), F.lit(kind).alias("type_evenement"), F.col("doc_id").cast("string").alias("identifiant"))
+    for rows in (event(lab, "vu"), event(lab.filter("toxic = 1"), "revu")):
+        files.append(rows, f"{path}/in")
+        stream = spark.readStream.schema(schemas.AUDIT).json(f"{path}/in")
+        logs.append_audit(stream, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(schemas.AUDIT).json(f"{path}/log").select("identifiant", "type_evenement")
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").filter("turn = 0")
     return c.select(F.col("conv_id").cast("string").alias("identifiant"), F.array(F.struct("role", F.col("text").alias("contenu"))).alias("messages"))
