@@ -457,7 +457,12 @@ def cumulative_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymise.report(anonymise.merged_stats(run.unionByName(run)))
 
 
-@query()
+@query(f"""WITH d AS (SELECT *, CASE WHEN lang = 'fr' THEN 'fr' ELSE 'en' END AS langue, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS more FROM documents),
+f AS (SELECT doc_id, source, langue, 0 AS champ_ord, 'symptomes' AS champ, split_part(text, chr(10), 1) AS t FROM d UNION ALL SELECT doc_id, source, langue, 1 + more, 'prompt[0]', text FROM d UNION ALL SELECT doc_id, source, langue, 2 + more, 'completion[0]', {_LAST_LINE} FROM d),
+g AS (SELECT *, regexp_extract_all(t, '{_RX['email']}') AS found, regexp_split_to_array(t, '{_RX['email']}') AS gaps FROM f),
+h AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM g),
+p AS (SELECT *, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0))::INT AS debut FROM h)
+SELECT doc_id::VARCHAR AS identifiant, source, langue, champ_ord, champ, found[k] AS fragment, debut, (debut + length(found[k]))::INT AS fin FROM p""")
 def fragment_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was masked in every field."""
     return audit.masked_fragments(mapping.text_pairs(_pivot_docs(spark, sf_dir), _masked_docs(spark, sf_dir)))
