@@ -92,7 +92,7 @@ def report_json(total: DataFrame) -> DataFrame:
 
 def markdown_of(report: DataFrame) -> DataFrame:
     """One row of text, made from the JSON report alone: markdown."""
-    share = lambda s: F.format_string("%.1f", F.coalesce(F.try_divide(s["avec_entite"] * 100.0, s["lignes"]), F.lit(0.0)))
+    share = lambda s: F.format_number(F.coalesce(F.try_divide(s["avec_entite"] * 100.0, s["lignes"]), F.lit(0.0)), 1)
     line = lambda s: F.format_string("| %s | %d | %d | %s |", s["source"], s["lignes"], s["avec_entite"], share(s))
     head = F.array(F.lit("| source | lignes | avec entité | % |"), F.lit("|---|---:|---:|---:|"))
     sources = F.from_json("json", REPORT)["sources"]

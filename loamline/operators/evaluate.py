@@ -35,8 +35,13 @@ def mean_token_f1(df: DataFrame, key: str, expected: str, got: str) -> DataFrame
 
 def common_tokens(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays of one row."""
-    least = lambda t: F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t)))
-    return F.aggregate(F.transform(F.array_distinct(a), least), F.lit(0), lambda n, m: n + m)
+
+    def common(s: Column) -> Column:
+        count = lambda side, t: F.size(F.filter(s[side], lambda x: x == t))
+        each = F.transform(F.array_intersect(s["a"], s["b"]), lambda t: F.least(count("a", t), count("b", t)))
+        return F.aggregate(each, F.lit(0), lambda n, m: n + m)
+
+    return tx.bound(F.struct(a.alias("a"), b.alias("b")), common)
 
 
 def level_accuracy(df: DataFrame, expected: str, got: str) -> DataFrame:

@@ -132,5 +132,6 @@ def waves(source: DataFrame, done: DataFrame, limit: int | None, strata: list[st
 def as_text(table: DataFrame, strata: list[str], width: int = 24) -> DataFrame:
     """A crosstab as lines of fixed width, one a stratum, percentages to one decimal."""
     name = F.rpad(F.concat_ws(" / ", *strata), width, " ")
-    cells = [F.format_string("%8d (%5.1f %%)", F.col(s), F.col(f"pct_{s}")) for s in ("train", "val", "test")]
+    # format_number rounds ties to even, as Python does
+    cells = [F.format_string("%8d (%5s %%)", F.col(s), F.format_number(F.col(f"pct_{s}"), 1)) for s in ("train", "val", "test")]
     return table.select(*strata, F.concat_ws(" ", name, *cells, F.lpad(F.col("total").cast("string"), 8, " ")).alias("ligne"))
