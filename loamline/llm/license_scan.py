@@ -91,6 +91,9 @@ def _words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.empty(0, dtype=np.int64)
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
     words = word_hashes(data)
+    # a word that only repeats the one before says nothing more
+    new = np.r_[True, (words[1:] != words[:-1]) | (line[1:] != line[:-1])] if len(words) else np.empty(0, dtype=bool)
+    words, line = words[new], line[new]
     following = np.where(np.r_[line[1:] == line[:-1], False], np.r_[words[1:], words[:1]], np.uint64(0)) if len(words) else words
     pairs = _mix(words * np.uint64(3) + following)
     shift = np.uint64(64 - BITS)
