@@ -464,6 +464,26 @@ def test_bundles_are_seekable(spark, tmp_path):
     assert warc_bundles.read_bundles(spark.createDataFrame(index).filter("record_key = '42'"), f"file://{tmp_path}").first().payload_bytes == 100_000
 
 
+def test_revisits_name_records_that_hold_the_payload(spark, tmp_path):
+    big, other = "x" * 500, "y" * 500
+    rows = [(1, "u", big), (1, "v", big), (1, "w", other), (2, "u", big), (3, None, big), (4, "u", other), (None, "u", other)]
+    folder = f"file://{tmp_path}"
+    index = warc_bundles.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    assert index.select("record_id").distinct().count() == len(rows)
+    records = warc_bundles.read_bundles(index, folder)
+    out = warc_bundles.resolved(records).collect()
+    held = {r.record_id: r for r in out if r.record_type == "response"}
+    assert len(held) == 3 and sum(r.refers_to == "1" for r in out) == 4
+    for r in out:
+        if r.record_type == "revisit":
+            assert held[r.refers_to_id].payload_digest == r.payload_digest and held[r.refers_to_id].payload_bytes == r.payload_bytes
+    with pytest.raises(Exception, match="no such payload"):
+        warc_bundles.resolved(spark.createDataFrame([r for r in records.collect() if r.record_type == "revisit"], records.schema)).collect()
+    wrong = spark.createDataFrame([(*r[:-1], 0) for r in index.collect()], index.schema)
+    with pytest.raises(Exception, match="names another record"):
+        warc_bundles.read_bundles(wrong, folder).collect()
+
+
 # fingerprints
 
 
