@@ -119,7 +119,8 @@ def drop_repeated_runs(docs: DataFrame, *, min_words: int = 50, report: str = "_
     """
     cut = repeated_runs(docs, min_words=min_words).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("runs").alias("_r"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("key"))
-    joined = whole.join(cut, whole["row.doc_id"].eqNullSafe(cut["_d"]) & (whole["key"] == cut["_t"]), "left")
+    # sorted at every size: the runs grow with the corpus
+    joined = whole.join(cut.hint("merge"), whole["row.doc_id"].eqNullSafe(cut["_d"]) & (whole["key"] == cut["_t"]), "left")
     lines = F.split("row.text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists("_r", lambda r: (i >= r["first_line"]) & (i < r["first_line"] + r["n_lines"])))
     text = F.when(F.col("_r").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
