@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamline.llm import chat_collapse, decontamination, license_scan, line_dedup, minhash_dedup, mixing, quality_crf, quartile_digest, url_filters, warc_bundles
+from loamline.llm import chat_collapse, decontamination, embedding_forest, fill_middle, license_scan, line_dedup, minhash_dedup, mixing, quality_crf, quartile_digest, structure_repair, url_filters, warc_bundles
 from loamline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +177,107 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in all documents."""
     docs = table(spark, sf_dir, "documents")
     return license_scan.scan(docs, license_scan.fit(license_scan.sample_lines(docs, 2000)))
+
+
+def fim_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, units, form, lengths and digests of the fill-in-middle output, and of the text restored from it."""
+    out = fill_middle.fill_in_middle(docs.select("doc_id", "text"))
+    sha = lambda c: F.sha2(c, 256)
+    restored = fill_middle.restored(F.col("fim.output"), F.col("fim.form"))
+    return out.select("doc_id", "fim.n", "fim.form", F.length("fim.prefix").cast("long").alias("prefix_chars"), F.length("fim.middle").cast("long").alias("middle_chars"), sha(F.col("fim.output")).alias("output_sha256"), sha(restored).alias("restored_sha256"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every whole text."""
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), k AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT *, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo + 1:hi], '') AS b, array_to_string(u[hi + 1:n], '') AS c FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE a || b || c END) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, damaged by a fixed rule."""
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_repair.repair_report(conversations, structure_repair.damaged(conversations))
+
+
+ORACLES["op12_structure_repair"] = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations
+), dam AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(id) + 1), lambda i: [ascii(id[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 20 AS d FROM k
+), rws AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE d WHEN 3 THEN 2 ELSE 1 END)) AS cp
+  FROM dam WHERE d <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, cp) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM rws
+), f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM o
+), nx(a, r, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins AS (
+  SELECT s AS a, s AS b, '' AS e FROM range(0, 4) t(s) UNION ALL SELECT a, b, 'I' FROM nx WHERE r <> 's' UNION ALL SELECT x.a, y.b, 'II' FROM nx x JOIN nx y ON x.b = y.a WHERE x.r <> 's' AND y.r <> 's'
+), mv AS (
+  SELECT i.a, i.b AS g, i.e FROM ins i
+), ed AS (
+  SELECT f.conv_id, f.i, m.a, n.b, 3 * len(m.e) + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END + CASE WHEN z.op = 'R' THEN 3 ELSE 0 END AS cost, m.e || z.op AS e
+  FROM f JOIN mv m ON true JOIN (VALUES ('K'), ('R')) z(op) ON fault NOT IN ('blank', 'duplicate') JOIN nx n ON n.a = m.g AND ((z.op = 'K' AND n.r = left(role, 1)) OR (z.op = 'R' AND n.r <> 's'))
+  UNION ALL SELECT f.conv_id, f.i, m.a, m.g, 3 * len(m.e) + 4, m.e || 'D' FROM f JOIN mv m ON true
+), dp AS (
+  SELECT DISTINCT conv_id, 0 AS i, 0 AS s, {'cost': 0::BIGINT, 'audit': ''} AS m FROM f
+  UNION ALL
+  SELECT dp.conv_id, dp.i + 1, ed.b, min({'cost': dp.m.cost + ed.cost, 'audit': dp.m.audit || ed.e}) FROM dp JOIN ed ON dp.conv_id IS NOT DISTINCT FROM ed.conv_id AND ed.i = dp.i + 1 AND ed.a = dp.s GROUP BY dp.conv_id, dp.i, ed.b
+), g AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, list({'role': role, 'text': text} ORDER BY i) AS turns FROM f GROUP BY conv_id
+), fin AS (
+  SELECT g.conv_id, min({'cost': dp.m.cost + 3 * len(ins.e), 'audit': dp.m.audit || ins.e}) AS m FROM g JOIN dp ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = g.n JOIN ins ON ins.a = dp.s AND ins.b IN (0, 3) GROUP BY g.conv_id
+), ap AS (
+  SELECT g.conv_id, fin.m, g.turns, 1 AS p, 1 AS r, 0 AS s, []::VARCHAR[] AS lines FROM g JOIN fin ON g.conv_id IS NOT DISTINCT FROM fin.conv_id
+  UNION ALL
+  SELECT conv_id, m, turns, p + 1, r + CASE WHEN m.audit[p] = 'I' THEN 0 ELSE 1 END,
+    CASE WHEN m.audit[p] = 'D' THEN s WHEN m.audit[p] = 'K' AND left(turns[r].role, 1) = 's' THEN 1 WHEN s = 2 THEN 3 ELSE 2 END,
+    CASE m.audit[p] WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, turns[r].role || ':' || turns[r].text) WHEN 'R' THEN list_append(lines, CASE WHEN s = 2 THEN 'assistant:' ELSE 'user:' END || turns[r].text) ELSE list_append(lines, CASE WHEN s = 2 THEN 'assistant:' ELSE 'user:' END) END
+  FROM ap WHERE p <= length(m.audit)
+), sh AS (SELECT conv_id, m, sha256(array_to_string(lines, chr(10))) AS h FROM ap WHERE p > length(m.audit))
+SELECT c.conv_id, coalesce(g.gaps, 0)::BIGINT AS gaps, coalesce(g.blank, 0)::BIGINT AS blank, coalesce(g.duplicate, 0)::BIGINT AS duplicate, coalesce(g.truncated, 0)::BIGINT AS truncated,
+  coalesce(g.illegal, 0)::BIGINT AS illegal, coalesce(sh.m.cost, 0)::BIGINT AS cost, coalesce(sh.m.audit, '') AS audit, coalesce(sh.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN sh ON sh.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels and a cosine of 0.93 or more."""
+    return embedding_forest.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+ORACLES["op13_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93
+), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a)
+SELECT v.vec_id, coalesce(n.c, 0)::BIGINT AS n_links, g.c AS component_id, v.vec_id = g.c AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS c FROM l GROUP BY a) n ON n.a = v.vec_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) g ON g.x = v.vec_id
+"""
