@@ -87,7 +87,7 @@ def _solver(edges: str):
         con.register("batch", batch)
         kinds = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())]))
         schema = pa.schema([batch.schema.field("conv_id"), ("unit", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("illegal", pa.int64()), ("edges", kinds)])
-        out = con.execute(_SOLVE.format(edges=edges)).to_arrow_table().cast(schema)
+        out = con.sql(_SOLVE.format(edges=edges)).to_arrow_table().cast(schema)
         con.close()
         return out
 
