@@ -16,10 +16,11 @@ W = r"\p{L}\p{N}_"
 S = r"\t-\r\x1C-\x20\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 EDGE_L, EDGE_R = rf"(?<![{W}])", rf"(?![{W}])"
 
-#: Month names, and the patterns of personal data that may be left in a text.
+#: Month names, and the patterns of personal data that may be left in a text. An address is tried at
+#: the start of a run of its characters or after the match before, where it begins if anywhere: so a long run is read once.
 MONTHS = r"janvier|f[ée]vrier|mars|avril|mai|juin|juillet|ao[uû]t|septembre|octobre|novembre|d[ée]cembre|January|February|March|April|May|June|July|August|September|October|November|December"
 PII = {
-    "email": rf"[{W}.+-]+@[{W}-]+\.[a-zA-Z]{{2,}}",
+    "email": rf"(?:\G|(?<![{W}.+-]))[{W}.+-]++@[{W}-]++\.[a-zA-Z]{{2,}}",
     "url": rf"https?://[^{S}]+|www\.[^{S}]+",
     "telephone": r"(?:\+\p{Nd}{1,3}[ .-]?)?(?:\(?\p{Nd}{2,4}\)?[ .-]){2,5}\p{Nd}{2,4}",
     "date": rf"(?iu){EDGE_L}\p{{Nd}}{{1,2}}[/-]\p{{Nd}}{{1,2}}[/-]\p{{Nd}}{{2,4}}{EDGE_R}|{EDGE_L}\p{{Nd}}{{4}}[/-]\p{{Nd}}{{1,2}}[/-]\p{{Nd}}{{1,2}}{EDGE_R}|{EDGE_L}\p{{Nd}}{{1,2}}[{S}]+(?:{MONTHS})[{S}]+\p{{Nd}}{{4}}{EDGE_R}",
@@ -81,19 +82,36 @@ def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: Distances of ``running``; the last is for arrays of up to 2 ** 27 values.
+_BACK = [1 << k for k in range(27)]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array, all values up to it combined (an associative function, such as a sum or the greater one).
+
+    One step after the other combines what is 1, 2, 4 ... places back, as far as the array
+    goes: n log n in all, where an accumulator that is copied for each value takes the square.
+    """
+
+    def steps(v: Column) -> Column:
+        far = F.filter(F.array(*map(F.lit, _BACK)), lambda back: back < F.size(v))
+        return F.aggregate(far, v, lambda a, back: F.transform(a, lambda x, i: F.when(i < back, x).otherwise(combine(F.get(a, i - back), x))))
+
+    return bound(values, steps)
+
+
 def spans(text: Column, kind: str, pattern: str) -> Column:
     """All matches, left to right, as (kind, start, end, found)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    # matches and what is between them, side by side: each is computed once
+    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda f, g: F.struct(f.alias("found"), (F.length(g) + F.coalesce(F.length(f), F.lit(0))).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["found"])
-        here = F.array(F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), x["found"].alias("found")))
-        return F.when(x["found"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], here).alias("out")))
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: x["n"]), lambda a, b: a + b)
+        span = lambda x, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(x["found"])).alias("start"), e.alias("end"), x["found"].alias("found"))
+        return F.zip_with(p, ends, span)
 
-    # matches and what is between them, side by side: each is computed once
-    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    # the last piece is what follows the last match
+    return F.when(text.rlike(pattern), F.filter(bound(pieces, placed), lambda x: x["found"].isNotNull())).when(text.isNotNull(), F.array().cast(SPAN))
 
 
 def pii_spans(text: Column, kinds: tuple[str, ...] = tuple(PII)) -> Column:
@@ -102,12 +120,48 @@ def pii_spans(text: Column, kinds: tuple[str, ...] = tuple(PII)) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast(SPAN)).otherwise(each)
 
 
+def pii_numbers(text: Column, kinds: tuple[str, ...] = tuple(PII)) -> list[Column]:
+    """The number of matches of each kind, 0 in null texts; no spans are made."""
+    return [F.coalesce(F.regexp_count(text, F.lit(PII[k])), F.lit(0)).alias(k) for k in kinds]
+
+
+#: Code points of a piece of a text that is cut at many places.
+PIECE = 1024
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` code points, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text in ``pieces``. A substring of the whole text would be counted from its start, for each cut anew."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(parts, first + 1, F.greatest(F.ceil(end / PIECE).cast("int") - first, F.lit(0)))
+
+    def inside(p: Column, i: Column) -> Column:
+        before = (first + i) * PIECE
+        low = F.greatest(start - before, F.lit(0))
+        return F.substring(p, low + 1, F.least(end - before, F.lit(PIECE)) - low)
+
+    return F.when(end > start, F.array_join(F.transform(some, inside), "")).otherwise("")
+
+
 def context(text: Column, start: Column, end: Column, margin: int = CONTEXT) -> Column:
     """The span with up to ``margin`` code points on either side."""
     first = F.greatest(start - margin, F.lit(0))
     return F.substring(text, first + 1, F.least(end + margin, F.length(text)) - first)
 
 
+def with_contexts(text: Column, found: Column, margin: int = CONTEXT) -> Column:
+    """Spans with their context, as ``passage``."""
+    passage = lambda x, s: cut(x["parts"], F.greatest(s["start"] - margin, F.lit(0)), F.least(s["end"] + margin, x["n"]))
+    each = lambda x: F.transform(x["found"], lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), passage(x, s).alias("passage")))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,passage:string>>")
+    told = lambda f: F.when(F.size(f) == 0, none).otherwise(bound(F.struct(pieces(text).alias("parts"), F.length(text).alias("n"), f.alias("found")), each))
+    return bound(found, told)
+
+
 def age_brackets(text: Column, lang: Column) -> Column:
     """Stated ages as bracket tokens; French patterns for fr, English ones for all other languages.
 
@@ -162,29 +216,36 @@ def masked(found: Column, kind: Column, strategy: str = "replace", token: str =
 
 
 def merged(found: Column) -> Column:
-    """Spans sorted, with overlapping ones as one (of the kind of the first)."""
+    """Spans sorted, with overlapping ones as one (of the kind of the first).
+
+    A span begins a group if it starts where all spans before it have ended: at the
+    running maximum of the ends; a group's end is that maximum at its last span.
+    """
     by_place = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    kind = "array<struct<kind:string,start:int,end:int>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), joined).otherwise(F.concat(acc, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
+    def groups(x: Column) -> Column:
+        each, upto = x["each"], x["upto"]
+        first = F.filter(F.sequence(F.lit(0), F.size(each) - 1), lambda i: (i == 0) | (F.get(each, i)["start"] >= F.get(upto, i - 1)))
+        group = lambda heads: F.transform(heads, lambda i, k: F.struct(F.get(each, i)["kind"].alias("kind"), F.get(each, i)["start"].alias("start"), F.get(upto, F.coalesce(F.get(heads, k + 1), F.size(each)) - 1).alias("end")))
+        return bound(first, group)
 
-    return F.aggregate(by_place, F.array().cast(kind), step)
+    with_ends = lambda each: F.struct(each.alias("each"), running(F.transform(each, lambda s: s["end"]), F.greatest).alias("upto"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return bound(by_place, lambda each: F.when(F.size(each) == 0, none).when(F.size(each) > 0, bound(with_ends(each), groups)))
 
 
 def with_spans_masked(text: Column, found: Column, strategy: str = "replace", token: str = MASK) -> Column:
     """The text with each group of overlapping spans masked once."""
 
     def masked_text(x: Column) -> Column:
-        whole, groups = x["text"], x["groups"]
+        parts, groups = x["parts"], x["groups"]
         ends = F.concat(F.array(F.lit(0)), F.transform(groups, lambda s: s["end"]))
         # what stands before each group, and its mask; the last end has no group
-        piece = lambda s, at: F.when(s.isNull(), F.substring(whole, at + 1, F.length(whole))).otherwise(F.concat(F.substring(whole, at + 1, s["start"] - at), masked(F.substring(whole, s["start"] + 1, s["end"] - s["start"]), s["kind"], strategy, token)))
+        piece = lambda s, at: F.when(s.isNull(), cut(parts, at, x["n"])).otherwise(F.concat(cut(parts, at, s["start"]), masked(cut(parts, s["start"], s["end"]), s["kind"], strategy, token)))
         return F.array_join(F.zip_with(groups, ends, piece), "")
 
-    return bound(F.struct(text.alias("text"), merged(found).alias("groups")), masked_text)
+    whole = lambda groups: bound(F.struct(pieces(text).alias("parts"), F.length(text).alias("n"), groups.alias("groups")), masked_text)
+    return bound(found, lambda f: F.when(F.size(f) == 0, text).otherwise(whole(merged(f))))
 
 
 def cut_at_sentence(text: Column, limit: int = 1500) -> Column:

@@ -52,20 +52,31 @@ def to_do(source: DataFrame, done: DataFrame) -> DataFrame:
     return source.join(done.select("identifiant").distinct(), "identifiant", "left_anti")
 
 
+def _by_source(rows: DataFrame) -> DataFrame:
+    """Sums of (source, kind, n, with_any), as one row a source; rows of a null kind stand for texts, the others for spans."""
+    sums = rows.groupBy("source", "kind").agg(F.sum("n").alias("n"), F.sum("with_any").alias("with_any"))
+    whole = lambda c: F.coalesce(F.sum(F.when(F.col("kind").isNull(), F.col(c))), F.lit(0))
+    kinds = F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))
+    return sums.groupBy("source").agg(whole("n").alias("lignes"), whole("with_any").alias("avec_entite"), F.map_from_entries(F.array_sort(kinds)).alias("par_type"))
+
+
+def _row(kind: Column, n: Column, with_any: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), n.cast("long").alias("n"), with_any.cast("long").alias("with_any"))
+
+
 def stats(df: DataFrame, source: str = "source", kinds: str = "kinds") -> DataFrame:
-    """By source: lignes, avec_entite (rows with any) and par_type (map of kind to count)."""
-    rows = df.groupBy(source).agg(F.count("*").alias("lignes"), F.sum((F.size(kinds) > 0).cast("long")).alias("avec_entite"))
-    each = df.select(source, F.explode(kinds).alias("kind")).groupBy(source, "kind").agg(F.count("*").alias("n"))
-    maps = each.groupBy(source).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("par_type"))
-    return rows.join(maps, source, "left").withColumn("par_type", F.coalesce("par_type", F.create_map().cast("map<string,bigint>")))
+    """By source: lignes, avec_entite (rows with any) and par_type (map of kind to count). The input is read once; a row counts itself and each of its spans."""
+    itself = F.array(_row(F.lit(None), F.lit(1), F.coalesce(F.size(kinds) > 0, F.lit(False)).cast("int")))
+    each = F.transform(kinds, lambda k: _row(k, F.lit(1), F.lit(0)))
+    rows = df.select(F.col(source).alias("source"), F.explode(F.concat(itself, F.coalesce(each, F.array().cast("array<struct<kind:string,n:bigint,with_any:bigint>>")))).alias("x"))
+    return _by_source(rows.select("source", "x.*")).withColumnRenamed("source", source)
 
 
 def merged_stats(ledger: DataFrame) -> DataFrame:
     """The runs of a ledger (source, lignes, avec_entite, par_type) summed up, maps element by element."""
-    rows = ledger.groupBy("source").agg(F.sum("lignes").alias("lignes"), F.sum("avec_entite").alias("avec_entite"))
-    each = ledger.select("source", F.explode("par_type").alias("kind", "n")).groupBy("source", "kind").agg(F.sum("n").alias("n"))
-    maps = each.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("par_type"))
-    return rows.join(maps, "source", "left").withColumn("par_type", F.coalesce("par_type", F.create_map().cast("map<string,bigint>")))
+    itself = F.array(_row(F.lit(None), F.col("lignes"), F.col("avec_entite")))
+    each = F.transform(F.map_entries("par_type"), lambda e: _row(e["key"], e["value"], F.lit(0)))
+    return _by_source(ledger.select("source", F.explode(F.concat(itself, each)).alias("x")).select("source", "x.*"))
 
 
 def report(total: DataFrame) -> DataFrame:

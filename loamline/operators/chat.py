@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamline.functions.text import bound, running
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -39,13 +41,10 @@ def render(messages: Column, template: Template = CHATML) -> Column:
 
 def bounds(messages: Column, template: Template = CHATML) -> Column:
     """Half-open, contiguous character bounds (role, debut, fin) of the rendered turns."""
-    kind = "array<struct<role:string,debut:int,fin:int>>"
-
-    def step(acc: Column, m: Column) -> Column:
-        end = acc["at"] + F.length(template.turn(m))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(m["role"].alias("role"), acc["at"].alias("debut"), end.alias("fin")))).alias("out"))
-
-    return F.aggregate(messages, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    sizes = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.length(template.turn(m)).alias("n")))
+    ends = lambda turns: running(F.transform(turns, lambda t: t["n"]), lambda a, b: a + b)
+    bound_of = lambda t, end: F.struct(t["role"].alias("role"), (end - t["n"]).alias("debut"), end.alias("fin"))
+    return bound(sizes, lambda turns: F.zip_with(turns, ends(turns), bound_of))
 
 
 def formatted(pivot: DataFrame, template: Template = CHATML) -> DataFrame:

@@ -366,14 +366,16 @@ _RX = {"email": _W + r".+-]+@" + _W + r"-]+\.[a-zA-Z]{2,}", "url": r"https?://\S
 
 @query("SELECT source, kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT source, '{k}' AS kind, unnest(regexp_extract_all(text, '{r}')) AS m FROM documents" for k, r in _RX.items()) + ") GROUP BY ALL")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", F.explode(tx.pii_spans(F.col("text"), tuple(_RX))).alias("s"))
-    return d.groupBy("source", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
+    d = table(spark, sf_dir, "documents").select("source", *tx.pii_numbers(F.col("text"), tuple(_RX)))
+    sums = d.groupBy("source").agg(*[F.sum(k).cast("long").alias(k) for k in _RX])
+    return sums.unpivot("source", list(_RX), "kind", "n").filter("n > 0")
 
 
 @query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_RX['email']}')) AS found FROM documents")
 def pii_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(tx.spans(F.col("text"), "email", tx.PII["email"])).alias("s"))
-    return d.select("doc_id", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("found"))
+    found = tx.bound(F.col("text"), lambda t: F.struct(tx.pieces(t).alias("parts"), tx.spans(t, "email", tx.PII["email"]).alias("spans")))
+    cut = tx.bound(found, lambda x: F.transform(x["spans"], lambda s: tx.cut(x["parts"], s["start"], s["end"])))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(cut).alias("found"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{_RX['email']}', '<INFO_MASQUEE>', 'g') AS masque FROM documents")
