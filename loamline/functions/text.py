@@ -241,7 +241,7 @@ def with_spans_masked(text: Column, found: Column, strategy: str = "replace", to
         parts, groups = x["parts"], x["groups"]
         ends = F.concat(F.array(F.lit(0)), F.transform(groups, lambda s: s["end"]))
         # what stands before each group, and its mask; the last end has no group
-        piece = lambda s, at: F.when(s.isNull(), cut(parts, at, x["n"])).otherwise(F.concat(cut(parts, at, s["start"]), masked(cut(parts, s["start"], s["end"]), s["kind"], strategy, token)))
+        piece = lambda s, at: F.when(s.isNull(), cut(parts, at, x["n"])).otherwise(F.concat(cut(parts, at, s["start"]), bound(cut(parts, s["start"], s["end"]), lambda found: masked(found, s["kind"], strategy, token))))
         return F.array_join(F.zip_with(groups, ends, piece), "")
 
     whole = lambda groups: bound(F.struct(pieces(text).alias("parts"), F.length(text).alias("n"), groups.alias("groups")), masked_text)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions import text as tx
+from loamline.schemas import MESSAGES
 
 #: A masker takes (text, language) and returns struct(masked, spans); any other one, say of a model, can be passed in.
 Masker = Callable[[Column, Column], Column]
@@ -36,16 +37,34 @@ def _kinds(spans: Column) -> Column:
     return F.transform(spans, lambda s: s["kind"])
 
 
+#: The free-text fields of pivot rows, and those that are lists of messages.
+TEXTS, LISTS = ("symptomes", "antecedents"), ("prompt", "completion", "chosen", "rejected")
+
+
+def field_texts() -> Column:
+    """All free texts of a pivot row as one array: the fields, then the messages of each list in order."""
+    none = F.array().cast(MESSAGES)
+    return F.concat(F.array(*TEXTS), *[F.transform(F.coalesce(c, none), lambda m: m["contenu"]) for c in LISTS])
+
+
+def with_field_texts(texts: Column) -> dict[str, Column]:
+    """The fields of a pivot row with the texts of an array in the order of ``field_texts`` in place of theirs."""
+    out = {c: F.get(texts, F.lit(i)) for i, c in enumerate(TEXTS)}
+    at = F.lit(len(TEXTS))
+    for c in LISTS:
+        n = F.coalesce(F.size(c), F.lit(0))
+        out[c] = F.zip_with(c, F.slice(texts, at + 1, n), lambda m, t: F.struct(m["role"].alias("role"), t.alias("contenu")))
+        at = at + n
+    return out
+
+
 def anonymised(df: DataFrame, masker: Masker | None = None) -> DataFrame:
     """Pivot rows with all free-text fields masked, anonymise = true, and kinds (array of the kinds of all spans)."""
     mask, lang = masker or rules(), F.col("langue")
-    texts, lists = ("symptomes", "antecedents"), ("prompt", "completion", "chosen", "rejected")
-    # one mask a text, in columns of their own; what follows only takes them apart
-    done = {f"_{c}": mask(F.col(c), lang) for c in texts} | {f"_{c}": F.transform(c, lambda m: F.struct(m["role"].alias("role"), mask(m["contenu"], lang).alias("x"))) for c in lists}
-    out = {c: F.col(f"_{c}.masked") for c in texts} | {c: F.transform(f"_{c}", lambda m: F.struct(m["role"].alias("role"), m["x"]["masked"].alias("contenu"))) for c in lists}
-    none = F.array().cast("array<string>")
-    kinds = [F.coalesce(_kinds(F.col(f"_{c}.spans")), none) for c in texts] + [F.coalesce(F.flatten(F.transform(f"_{c}", lambda m: _kinds(m["x"]["spans"]))), none) for c in lists]
-    return df.withColumns(done).withColumns(out | {"anonymise": F.lit(True), "kinds": F.concat(*kinds)}).drop(*done)
+    # all texts of a row go through one expression; what follows only takes it apart
+    done = df.withColumn("_done", F.transform(field_texts(), lambda t: mask(t, lang)))
+    fields = with_field_texts(F.transform("_done", lambda x: x["masked"]))
+    return done.withColumns(fields | {"anonymise": F.lit(True), "kinds": F.flatten(F.transform("_done", lambda x: _kinds(x["spans"])))}).drop("_done")
 
 
 def to_do(source: DataFrame, done: DataFrame) -> DataFrame:
