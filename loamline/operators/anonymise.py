@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions import text as tx
+from loamline.operators.entities import Recogniser, as_spans
 from loamline.schemas import MESSAGES
 
 #: A masker takes (text, language) and returns struct(masked, spans); any other one, say of a model, can be passed in.
@@ -21,14 +22,19 @@ def masking(text: Column, found: Callable[[Column], Column], strategy: str = "re
 
 
 def rules(strategy: str = "replace", token: str = tx.MASK) -> Masker:
-    """Ages become brackets first; then national ids with right check digits, e-mails, urls, phone numbers and dates are masked."""
+    """Ages become brackets first; then national ids with right check digits, e-mails, urls, phone numbers and dates are masked.
 
-    def apply(text: Column, lang: Column) -> Column:
+    With a third argument, spans of names, those are masked too; they are places in a
+    text whose ages are brackets already.
+    """
+
+    def apply(text: Column, lang: Column, names: Column | None = None) -> Column:
         def found(plain: Column) -> Column:
             ids = F.when(lang == "fr", F.filter(tx.spans(plain, "nir", tx.NIR), lambda s: tx.valid_nir(s["found"]))).otherwise(F.array().cast(tx.SPAN))
-            return F.concat(ids, tx.pii_spans(plain, ("email", "url", "telephone", "date")))
+            more = [] if names is None else [F.coalesce(names, F.array().cast(tx.SPAN))]
+            return F.concat(ids, tx.pii_spans(plain, ("email", "url", "telephone", "date")), *more)
 
-        return masking(tx.age_brackets(text, lang), found, strategy, token)
+        return masking(tx.age_brackets(text, lang) if names is None else text, found, strategy, token)
 
     return apply
 
@@ -58,11 +64,20 @@ def with_field_texts(texts: Column) -> dict[str, Column]:
     return out
 
 
-def anonymised(df: DataFrame, masker: Masker | None = None) -> DataFrame:
-    """Pivot rows with all free-text fields masked, anonymise = true, and kinds (array of the kinds of all spans)."""
+def anonymised(df: DataFrame, masker: Masker | None = None, recogniser: Recogniser | None = None) -> DataFrame:
+    """Pivot rows with all free-text fields masked, anonymise = true, and kinds (array of the kinds of all spans).
+
+    With a recogniser, names of people, places and organisations are masked too (kind nom); ``masker``
+    then takes them as a third argument, as ``rules`` does.
+    """
     mask, lang = masker or rules(), F.col("langue")
     # all texts of a row go through one expression; what follows only takes it apart
-    done = df.withColumn("_done", F.transform(field_texts(), lambda t: mask(t, lang)))
+    if recogniser is None:
+        done = df.withColumn("_done", F.transform(field_texts(), lambda t: mask(t, lang)))
+    else:
+        texts = df.withColumn("_texts", F.transform(field_texts(), lambda t: tx.age_brackets(t, lang)))
+        texts = texts.withColumn("_names", F.transform(recogniser.entities(F.col("_texts")), as_spans))
+        done = texts.withColumn("_done", F.zip_with("_texts", "_names", lambda t, n: mask(t, lang, n))).drop("_texts", "_names")
     fields = with_field_texts(F.transform("_done", lambda x: x["masked"]))
     return done.withColumns(fields | {"anonymise": F.lit(True), "kinds": F.flatten(F.transform("_done", lambda x: _kinds(x["spans"])))}).drop("_done")
 

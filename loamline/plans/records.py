@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import clock, json_values as js
 from loamline.functions import text as tx
-from loamline.operators import anonymise, audit, curves, dedup, evaluate, log_replay, mapping, profile, sampling
+from loamline.operators import anonymise, audit, curves, dedup, entities, evaluate, log_replay, mapping, profile, sampling
 from loamline.plans.queries import _FIELDS, _JUDGED, _NAMES, _POINTS, _RX, _SPLIT, _TURNS, ORACLES, _flat, _judged, _masked_docs, _pivot_docs, _points, _split, _turns, query, table
 from loamline.sources import files
 
@@ -253,3 +253,59 @@ def span_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.repeat(F.lit("="), (40 + i % 12).cast("int")), F.lit("a@b.fr"), F.repeat(F.lit("="), (12 - i % 12 + i % 30).cast("int")))
     d = table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).select("doc_id", "t", F.explode(tx.pii_spans(F.col("t"), ("email",))).alias("s"))
     return d.select("doc_id", F.col("s.start").cast("long").alias("debut"), F.length(tx.context(F.col("t"), F.col("s.start"), F.col("s.end"))).cast("long").alias("n"))
+
+
+def _recogniser(spark: SparkSession, docs: DataFrame) -> entities.Recogniser:
+    """The capitalised names that stand in several documents, as people or places by their length."""
+    return entities.Recogniser.of(spark, entities.frequent_names(docs, F.when(F.length("name") % 2 == 0, "PER").otherwise("LOC")))
+
+
+# words with their places; runs of capitalised ones with nothing but white space between; names of two or three words in several documents;
+# and every place of each, joined by label
+_TITLE = "[A-ZÀ-Ý][a-zà-ÿ]+"
+_FOUND_NAMES = rf"""
+ws AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), 1) AS k FROM documents),
+gs AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+')) AS g, generate_subscripts(regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+'), 1) AS k FROM documents),
+tk AS (SELECT doc_id, k, w, g, sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY k)::INT AS e FROM ws JOIN gs USING (doc_id, k)),
+tt AS (SELECT *, e - length(w) AS s, regexp_full_match(w, '{_TITLE}') AS title, coalesce(regexp_full_match(g, '\s+'), false) AS near FROM tk),
+rn AS (SELECT *, sum(CASE WHEN title AND near AND coalesce(was, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM (SELECT *, lag(title) OVER (PARTITION BY doc_id ORDER BY k) AS was FROM tt)),
+nm AS (SELECT name FROM (SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS name, count(*) AS n FROM rn WHERE title GROUP BY doc_id, r) WHERE n BETWEEN 2 AND 3 GROUP BY name HAVING count(DISTINCT doc_id) >= 2),
+pl AS (SELECT doc_id, a.s, b.e, a.w || ' ' || b.w AS name FROM tt a JOIN tt b USING (doc_id) WHERE b.k = a.k + 1 AND b.near
+  UNION ALL SELECT doc_id, a.s, c.e, a.w || ' ' || b.w || ' ' || c.w FROM tt a JOIN tt b USING (doc_id) JOIN tt c USING (doc_id) WHERE b.k = a.k + 1 AND c.k = a.k + 2 AND b.near AND c.near),
+hit AS (SELECT doc_id, s, e, CASE WHEN length(name) % 2 = 0 THEN 'PER' ELSE 'LOC' END AS label FROM pl JOIN nm USING (name)),
+il AS (SELECT *, max(e) OVER (PARTITION BY doc_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM hit),
+ig AS (SELECT il.*, sum(CASE WHEN m IS NULL OR (s > m AND NOT regexp_full_match(substr(text, m + 1, s - m), '\s*')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, label ORDER BY s, e) AS i FROM il JOIN documents USING (doc_id)),
+ent AS (SELECT doc_id, label, min(s) AS debut, max(e) AS fin FROM ig GROUP BY doc_id, label, i)"""
+
+
+@query(f"WITH {_FOUND_NAMES} SELECT doc_id, label, debut, fin FROM ent")
+def listed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every listed name in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = entities.with_entities(docs, _recogniser(spark, docs)).select("doc_id", F.explode("entities").alias("e"))
+    return found.select("doc_id", "e.label", F.col("e.start").alias("debut"), F.col("e.end").alias("fin"))
+
+
+@query(f"""WITH {_FOUND_NAMES},
+hm AS (SELECT *, max(fin) OVER (PARTITION BY doc_id ORDER BY debut, fin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ent),
+hg AS (SELECT *, sum(CASE WHEN m IS NULL OR debut >= m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY debut, fin DESC) AS i FROM hm),
+isl AS (SELECT doc_id, i, min(debut) AS a, max(fin) AS b FROM hg GROUP BY doc_id, i),
+pc AS (SELECT doc_id, i, b, substr(text, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY i), 0) + 1, a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY i), 0)) || '<INFO_MASQUEE>' AS piece FROM isl JOIN documents USING (doc_id)),
+dn AS (SELECT doc_id, count(*) AS n, string_agg(piece, '' ORDER BY i) AS head, max(b) AS b FROM pc GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS masques, CASE WHEN text IS NOT NULL THEN coalesce(head, '') || substr(text, coalesce(b, 0) + 1) END AS masque FROM documents LEFT JOIN dn USING (doc_id)""")
+def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their listed names masked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = entities.with_entities(docs, _recogniser(spark, docs))
+    groups = lambda s: F.size(tx.merged(s)).cast("long")
+    return found.select("doc_id", tx.bound(entities.as_spans(F.col("entities")), groups).alias("masques"), tx.with_spans_masked(F.col("text"), entities.as_spans(F.col("entities"))).alias("masque"))
+
+
+@query()
+def tagged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of all documents by label, with names that a tagger finds beside the listed ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    listed = _recogniser(spark, docs)
+    both = listed.with_tagger(spark, entities.fit_tagger(docs, listed))
+    found = entities.with_entities(docs, both).select("doc_id", F.explode("entities").alias("e"))
+    return found.groupBy("doc_id", F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
