@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.operators.asof import with_neighbours
+
 TRAIN, VALID, GRAD = "perte_train", "perte_validation", "norme_gradient"
 DROP, RISE, EXPLODED, LAST = 0.05, 0.05, 10.0, 3
 
@@ -73,26 +75,25 @@ def live_verdicts(w: DataFrame, run: str = "run") -> DataFrame:
     return all_runs.select(run, "verdict", message.alias("message"))
 
 
-def nearest_steps(evals: DataFrame, train: DataFrame, run: str = "run", tie: str | None = None) -> DataFrame:
+def nearest_steps(evals: DataFrame, train: DataFrame, run: str = "run", tie: str | None = None, parts: int | None = None) -> DataFrame:
     """Each evaluation (run, etape, ord, value columns) with the nearest train step, as etape_train.
 
     Of two equally near the smaller step wins, or the one of the smaller ``tie``
-    column of ``train``. Sorted once a run with both neighbours looked up, so no
-    pairs are formed, and nothing is broadcast. Runs without train steps give nothing.
+    column of ``train`` (of any type that has an order). Each different (run, etape) is looked up
+    once, over as many tasks as the steps fill, and evaluations are joined to their own;
+    no pairs are formed. Runs without train steps and evaluations without a step give nothing.
     """
-    cols = [c for c in evals.columns if c not in (run, "etape")]
-    first = F.min(tie) if tie else F.min(F.lit(0))
-    steps = train.groupBy(run, "etape").agg(first.cast("long").alias("tie"))
-    points = evals.select(run, F.col("etape").cast("int").alias("etape"), F.struct(F.lit(0).alias("_one"), *cols).alias("e"))
-    steps = steps.select(run, F.col("etape").cast("int").alias("etape"), F.when(F.lit(True), F.struct(F.col("etape").cast("int").alias("etape"), "tie")).alias("s"))
-    both = steps.unionByName(points, allowMissingColumns=True)
-    w = Window.partitionBy(run).orderBy("etape")
-    below = F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    rows = both.withColumn("lo", below).withColumn("hi", above).filter("e is not null")
+    steps = train.filter("etape is not null").groupBy(run, F.col("etape").cast("int").alias("etape")).agg((F.min(tie) if tie else F.min(F.lit(0))).alias("tie"))
+    steps = steps.select(run, "etape", F.struct("etape", "tie").alias("s"), F.lit(False).alias("asked"))
+    wanted = evals.filter("etape is not null").select(run, F.col("etape").cast("int").alias("etape"), F.lit(True).alias("asked")).distinct()
+    keys = steps.unionByName(wanted, allowMissingColumns=True).groupBy(run, "etape").agg(F.max("s").alias("s"), F.bool_or("asked").alias("asked"))
+    rows = with_neighbours(keys, run, "etape", "s", before="lo", after="hi", parts=parts).filter("asked and (lo is not null or hi is not null)")
     far = lambda c: F.struct(F.abs(F.col(f"{c}.etape") - F.col("etape")).alias("d"), F.col(f"{c}.tie").alias("tie"), F.col(f"{c}.etape").alias("etape"))
     near = F.when(F.col("lo").isNull(), far("hi")).when(F.col("hi").isNull(), far("lo")).otherwise(F.least(far("lo"), far("hi")))
-    return rows.filter("lo is not null or hi is not null").withColumn("near", near).select(run, "etape", *[F.col(f"e.{c}").alias(c) for c in cols], F.col("near.etape").alias("etape_train"))
+    near = rows.select(F.col(run).alias("_run"), F.col("etape").alias("_etape"), near["etape"].alias("etape_train"))
+    points = evals.withColumn("etape", F.col("etape").cast("int"))
+    found = points.join(near, points[run].eqNullSafe(near["_run"]) & (points["etape"] == near["_etape"]))
+    return found.select(run, "etape", *[c for c in evals.columns if c not in (run, "etape")], "etape_train")
 
 
 def curve_from_log(log: DataFrame, run: str = "run") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import json_values as js
 from loamline.functions import text as tx
+from loamline.sources.files import staged
 
 
 def exact_match(expected: Column, got: Column) -> Column:
@@ -59,29 +60,73 @@ def latency(df: DataFrame, seconds: str = "secondes", failed: str = "echec") ->
     return out.withColumn("latence_moyenne", checked)
 
 
-#: Equal ranges of values that are counted before those in the middle are put in order.
-BINS = 4096
+#: Values of a bracket that are put in order; points of the grid that a bracket is taken from; accuracy of the sketch.
+IN_ORDER, GRID, ACCURACY = 100_000, 200, 10_000
 
 
-def exact_median(df: DataFrame, c: str) -> DataFrame:
-    """One row, median: the exact median of a column, null without values.
+def _brackets(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key and quantile: rows below its bracket, rows in it, and a grid of quantiles of those in it."""
+    share = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    inside = F.when(F.col("v").between(F.col("lo"), F.col("hi")), F.col("v"))
+    both = rows.join(state, keys)
+    sketch = F.percentile_approx(F.when(F.col("n_in") > IN_ORDER, inside), share, F.lit(ACCURACY))
+    return both.groupBy(*keys, "q", "rank", "lo", "hi").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count(inside).alias("n_in"), sketch.alias("grid"))
+
+
+def exact_quantiles(df: DataFrame, c: str, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, q and value: exact quantiles of a column for each group, between two values in proportion.
 
-    Values are counted in ranges first; only the distinct values of the one or two ranges
-    that hold the middle are put in order.
+    Nulls are left out; infinities and NaN have their places (NaN is the greatest). Brackets that hold
+    the wanted ranks come from a sketch of each group and are narrowed by further ones until few enough
+    values lie in them, all groups and quantiles at once; only these are put in order. A group
+    without values gives no row.
     """
-    v = df.select(F.col(c).cast("double").alias("v")).filter("v is not null")
-    n, low, high = (v.agg(x).scalar() for x in (F.count("*"), F.min("v"), F.max("v")))
-    width = F.nullif(high - low, F.lit(0.0))
-    binned = v.withColumn("bin", F.coalesce(F.floor((F.col("v") - low) / width * (BINS - 1)), F.lit(0)))
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = binned.groupBy("bin").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
-    first, last = F.floor((n - 1) / 2), F.floor(n / 2)
-    middle = counts.filter((F.col("before") <= last) & (F.col("before") + F.col("k") > first)).select("bin", "before")
-    values = binned.join(middle, "bin").groupBy("bin", "before", "v").agg(F.count("*").alias("k"))
-    upto = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("at", F.col("before") + F.coalesce(F.sum("k").over(upto), F.lit(0)))
-    holds = lambda p: ((F.col("at") <= p) & (F.col("at") + F.col("k") > p)).cast("int")
-    return values.agg((F.sum(F.col("v") * (holds(first) + holds(last))) / 2).alias("median"))
+    keys = by or []
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    # null groups: a struct is never null, and joins as equal
+    group = F.struct(*named) if keys else F.struct(F.lit(0).alias("_k0"))
+    rows = df.select(group.alias("g"), F.col(c).cast("double").alias("v")).filter("v is not null")
+    inf = float("inf")
+    finite = ~F.isnan("v") & (F.abs("v") != inf)
+    heads = rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("v") == -inf).alias("low"), F.count_if(finite).alias("mid"), F.count_if(F.col("v") == inf).alias("high"), F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"))
+    wanted = heads.select("*", F.explode(F.array(*map(F.lit, probabilities))).alias("q")).withColumn("at", (F.col("n") - 1) * F.col("q"))
+    # the two ranks between which a quantile lies, of all values, and which kind of value is there
+    ranks = staged(wanted.select("g", "q", "at", "low", "mid", "high", "lo", "hi", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank")), "ranks")
+    where = F.when(F.col("rank") < F.col("low"), F.lit(-inf)).when(F.col("rank") < F.col("low") + F.col("mid"), F.lit(None)).when(F.col("rank") < F.col("low") + F.col("mid") + F.col("high"), F.lit(inf)).otherwise(F.lit(float("nan")))
+    is_finite = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("mid"))
+    rows, keys_in = rows.filter(finite), ["g"]
+    state = ranks.filter(is_finite).select("g", "q", (F.col("rank") - F.col("low")).alias("rank"), "lo", "hi", F.col("mid").alias("n_in"))
+    done = []
+    while True:
+        seen = staged(_brackets(rows, state.select("g", "q", "rank", "lo", "hi", "n_in"), keys_in), "brackets")
+        # the bracket's grid points around the rank, with room for the sketch's error
+        share = (F.col("rank") - F.col("below") + 0.5) / F.col("n_in") * GRID
+        room = 2 + 2 * GRID / ACCURACY
+        low, high = F.get("grid", F.greatest(F.floor(share - room), F.lit(0)).cast("int")), F.get("grid", F.least(F.ceil(share + room), F.lit(GRID)).cast("int"))
+        open_ = F.coalesce((F.col("n_in") > IN_ORDER) & ((low > F.col("lo")) | (high < F.col("hi"))), F.lit(False))
+        done.append(seen.filter(~open_).select("g", "q", "rank", "lo", "hi", "below"))
+        state = staged(seen.filter(open_).select("g", "q", "rank", low.alias("lo"), high.alias("hi"), "n_in"), "narrower")
+        if state.isEmpty():
+            break
+    last = done[0]
+    for more in done[1:]:
+        last = last.union(more)
+    counts = rows.join(last, "g").filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("g", "q", "rank", "below", "v").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy("g", "q", "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("first", F.col("below") + F.coalesce(F.sum("k").over(upto), F.lit(0)))
+    found = placed.filter((F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("first") + F.col("k"))).select("g", "q", "rank", "v")
+    shifted = ranks.select("g", "q", "at", F.col("rank").alias("r"), F.when(is_finite, F.col("rank") - F.col("low")).alias("rank"), where.alias("odd"))
+    values = shifted.join(found, ["g", "q", "rank"], "left").withColumn("x", F.coalesce("odd", "v"))
+    two = values.groupBy("g", "q", "at").agg(F.min_by("x", "r").alias("a"), F.max_by("x", "r").alias("b"))
+    part = F.col("at") - F.floor("at")
+    odd = F.isnan("a") | F.isnan("b") | (F.abs("a") == inf) | (F.abs("b") == inf)
+    value = F.when(part == 0, F.col("a")).when(odd, F.col("a") * (1 - part) + F.col("b") * part).otherwise(F.col("a") + (F.col("b") - F.col("a")) * part)
+    return two.select(*[F.col(f"g._k{i}").alias(k) for i, k in enumerate(keys)], "q", value.alias("value"))
+
+
+def exact_median(df: DataFrame, c: str) -> DataFrame:
+    """One row, median: the exact median of a column, null without values."""
+    return exact_quantiles(df, c, [0.5]).agg(F.max("value").alias("median"))
 
 
 def latency_summary(df: DataFrame, name: str, contains: str, seconds: str, ok: str) -> DataFrame:

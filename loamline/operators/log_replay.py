@@ -6,10 +6,11 @@ time, printed dicts the metrics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions.json_values import python_dict
+from loamline.operators.asof import with_neighbours
 from loamline.operators.curves import nearest_steps
 
 #: A training bar (step, total, minutes, seconds), the stamp in a run's name, a commit, and metric names.
@@ -34,9 +35,10 @@ def bars(lines: DataFrame) -> DataFrame:
 
 def elapsed(lines: DataFrame) -> DataFrame:
     """run, total (the largest denominator), etape, ecoule (the last printed) and place (of the step's first bar)."""
-    b = bars(lines).withColumn("most", F.max("total").over(Window.partitionBy("run"))).filter("total = most")
     place = F.struct("ord", "nth")
-    return b.groupBy("run", "total", "etape").agg(F.max_by("ecoule", place).alias("ecoule"), F.min(F.col("ord") * 1000 + F.col("nth")).alias("place"))
+    b = bars(lines).groupBy("run", "total", "etape").agg(F.max_by("ecoule", place).alias("ecoule"), F.min(place).alias("place"))
+    most = b.groupBy("run").agg(F.max("total").alias("total"))
+    return b.join(most, ["run", "total"])
 
 
 def anchors(lines: DataFrame) -> DataFrame:
@@ -46,10 +48,9 @@ def anchors(lines: DataFrame) -> DataFrame:
     return first.select("run", F.unix_timestamp(F.to_timestamp("s", "yyyyMMdd'T'HHmmss")).cast("double").alias("t0"))
 
 
-def filled_steps(rows: DataFrame, run: str, order: str, step: str, name: str) -> DataFrame:
-    """Adds ``name``, the last step of the run there was up to the row, 0 before any."""
-    upto = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(name, F.coalesce(F.last(step, ignorenulls=True).over(upto), F.lit(0)))
+def filled_steps(rows: DataFrame, run: str, order: str, step: str, name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``, the last step of the run there was up to the row, 0 before any. A run may lie over many tasks."""
+    return with_neighbours(rows, run, order, step, before=name, parts=parts).withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def replayed(lines: DataFrame) -> DataFrame:
@@ -66,8 +67,8 @@ def replayed(lines: DataFrame) -> DataFrame:
     rows = lines.join(total, "run").withColumn("is_bar", first == F.col("total").cast("string"))
     rows = filled_steps(rows.withColumn("step", F.when(F.col("is_bar"), F.regexp_extract("line", BAR, 1).try_cast("int"))), "run", "ord", "step", "seen")
     rows = rows.filter("not is_bar").withColumn("m", python_dict(F.col("line"))).filter("m is not null")
-    epochs = F.rint(F.max(F.coalesce(F.try_element_at("m", F.lit("epoch")), F.lit(0.0))).over(Window.partitionBy("run"))).cast("int")
-    rows = rows.withColumn("epochs", epochs)
+    epochs = F.rint(F.max(F.coalesce(F.try_element_at("m", F.lit("epoch")), F.lit(0.0)))).cast("int")
+    rows = rows.join(rows.groupBy("run").agg(epochs.alias("epochs")), "run")
     wrong = (F.col("epochs") <= 0) | (F.col("total") % F.greatest("epochs", F.lit(1)) != 0)
     each = F.when(wrong, F.raise_error(F.lit("steps don't divide by epochs"))).otherwise((F.col("total") / F.col("epochs")).cast("int"))
     step = F.when(F.map_contains_key("m", "eval_loss"), F.rint(F.try_element_at("m", F.lit("epoch")) * each).cast("int")).otherwise(F.col("seen"))

@@ -42,6 +42,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new scratch folder and read back: what is read twice then agrees, and a lost executor costs no more than a task."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None, chunk: int | None = None) -> DataFrame:
     """A raw corpus by its suffix: .csv, .jsonl, .json (one array) or .parquet.
 
