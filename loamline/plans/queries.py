@@ -564,12 +564,6 @@ def glued_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.from_json("j", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT 2e-4::DOUBLE AS taux, 16 AS rang, 1 AS pos")
-def next_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = dedup.expanded_grid(spark.range(1).select(F.lit(16).alias("rang")), "taux", [1e-4, 2e-4, 3e-4])
-    return dedup.not_yet_tried(grid, grid.filter("pos <> 1"), ["taux", "rang"]).select("taux", "rang", "pos")
-
-
 @query("SELECT conv_id, count(*) AS n, '[' || string_agg('{\"role\":\"' || role || '\"}', ',' ORDER BY turn) || ']' AS roles FROM conversations GROUP BY 1")
 def history_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.collect_list(F.struct("turn", "role", F.lit(None).cast("string").alias("contenu"))).alias("t"))

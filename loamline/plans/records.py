@@ -309,3 +309,57 @@ def tagged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = listed.with_tagger(spark, entities.fit_tagger(docs, listed))
     found = entities.with_entities(docs, both).select("doc_id", F.explode("entities").alias("e"))
     return found.groupBy("doc_id", F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
+
+
+_DATE_SQL = "(?i)(?:^|[^\\p{L}\\p{N}_])(?:\\p{Nd}{1,2}[/-]\\p{Nd}{1,2}[/-]\\p{Nd}{2,4}|\\p{Nd}{4}[/-]\\p{Nd}{1,2}[/-]\\p{Nd}{1,2}|\\p{Nd}{1,2}\\s+(?:" + tx.MONTHS + ")\\s+\\p{Nd}{4})(?:$|[^\\p{L}\\p{N}_])"
+ORACLES["candidate_verdicts_all"] = f"""WITH {_FOUND_NAMES},
+kn AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS type_motif, len(regexp_extract_all(text, '{r}')) AS n FROM documents" for k, r in (*_RX.items(), ("date", _DATE_SQL)))}
+  UNION ALL SELECT doc_id, 'bigramme_capitalise', count(*) FILTER (n >= 2) FROM (SELECT doc_id, r, count(*) AS n FROM rn WHERE title GROUP BY doc_id, r) GROUP BY doc_id)
+SELECT type_motif, CASE WHEN type_motif <> 'bigramme_capitalise' OR doc_id % 3 = 0 THEN 'confirme' WHEN doc_id % 3 = 1 THEN 'revision_humaine' ELSE 'faux_positif_regex' END AS verdict, sum(n)::BIGINT AS n
+FROM kn GROUP BY ALL HAVING sum(n) > 0"""
+
+
+@query(f"""WITH {_FOUND_NAMES},
+cd AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM rn WHERE title GROUP BY doc_id, r HAVING count(*) >= 2)
+SELECT doc_id, s AS debut, CASE WHEN EXISTS (SELECT 1 FROM ent WHERE ent.doc_id = cd.doc_id AND ent.debut < cd.e AND ent.fin > cd.s) THEN 'confirme' ELSE 'faux_positif_regex' END AS verdict FROM cd""")
+def recognised_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words in all documents, judged by the recogniser's names."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = docs.select(F.col("doc_id").cast("string").alias("identifiant"), "source", F.lit("en").alias("langue"), F.lit(0).alias("champ_ord"), F.lit("texte").alias("champ"), F.lit("").alias("original"), F.col("text").alias("masque"))
+    opinions = entities.field_entities(pairs, _recogniser(spark, docs.select("doc_id", "text")))
+    judged = audit.candidates(pairs, opinions).filter("type_motif = 'bigramme_capitalise'")
+    return judged.select(F.col("identifiant").cast("long").alias("doc_id"), "debut", "verdict")
+
+
+@query(f"""WITH g AS (SELECT doc_id, text, regexp_extract_all(text, '{_RX['email']}') AS f, regexp_split_to_array(text, '{_RX['email']}') AS p FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(repeat('*', least(length(f[i]), 100)) || substr(f[i], 101), '')), '') AS etoiles, regexp_replace(text, '{_RX['email']}', '', 'g') AS sans FROM g""")
+def mask_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses in all documents as stars, and left out."""
+    found = lambda t: tx.spans(t, "email", tx.PII["email"])
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.with_spans_masked(t, found(t), "mask").alias("etoiles"), tx.with_spans_masked(t, found(t), "redact").alias("sans"))
+
+
+@query("""WITH f AS (SELECT doc_id, source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY md5('42:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source, lang) AS n FROM f)
+SELECT doc_id, source, lang, CASE WHEN rn <= floor(n * 0.1) THEN 'test' WHEN rn <= floor(n * 0.1) + floor(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM r""")
+def split_without_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grow-only split of all documents but the excluded ones."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lit(True).alias("anonymise"), F.lit(None).cast("string").alias("split"))
+    return sampling.assign_splits(rows, ["source", "lang"], "doc_id", excluded=table(spark, sf_dir, "labels").filter("toxic = 1"))
+
+
+@query("""SELECT 'residuel' AS strate, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)
+UNION ALL SELECT 'sans_entite', doc_id FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) ORDER BY md5('43:' || doc_id), doc_id LIMIT 40)""")
+def new_samples_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two strata have not sampled yet, each by its own entries in the registry: all of one, 40 rows of the other."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("identifiant"))
+    registry = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("identifiant"), F.when(F.col("quality") == 1, "residuel").otherwise("sans_entite").alias("strate"))
+    drawn = [audit.new_samples(ids, registry, stratum, k).select(F.lit(stratum).alias("strate"), F.col("identifiant").alias("doc_id")) for stratum, k in (("residuel", None), ("sans_entite", 40))]
+    return drawn[0].union(drawn[1])
+
+
+@query("SELECT event_type, q, CASE q WHEN 0.01 THEN quantile_cont(value, 0.01) WHEN 0.5 THEN quantile_cont(value, 0.5) ELSE quantile_cont(value, 0.99) END AS value FROM events, (VALUES (0.01::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE)) v(q) GROUP BY event_type, q")
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact 1 %, 50 % and 99 % quantiles of each kind of event."""
+    return evaluate.exact_quantiles(table(spark, sf_dir, "events"), "value", [0.01, 0.5, 0.99], ["event_type"])
