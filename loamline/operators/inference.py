@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from loamline.functions.clock import Clock, now
 from loamline.schemas import AUDIT_EVENT, MESSAGES
+from loamline.sources import versions
 from loamline.sources.files import append
 
 #: (messages, parameters) -> dict of texte and, if known, nombre_tokens_entree, nombre_tokens_sortie and latence_ms.
@@ -64,12 +65,17 @@ def audit_events(answers: DataFrame, kind: str, model: str, clock: Clock = now,
     return answers.select(clock().alias("horodatage"), F.when(failed, "echec_inference").otherwise(kind).alias("type_evenement"), F.col(key).cast("string").alias("conversation_id"), asked.alias("entree"), F.coalesce("texte", F.lit("")).alias("sortie"), F.lit(model).alias("version_modele"), F.map_from_entries(F.when(failed, why).otherwise(how)).alias("metadonnees"))
 
 
-def settled(answers: DataFrame, path: str, kind: str, model: str, clock: Clock = now, key: str = "identifiant") -> DataFrame:
+def settled(answers: DataFrame, path: str, kind: str, model: str, clock: Clock = now, key: str = "identifiant", wave: str | None = None) -> DataFrame:
     """The answers, once their events are in the audit log at ``path``; an error after that if any failed.
 
-    ``answers`` is read more than once: give a written table.
+    ``answers`` is read more than once: give a written table. With a name for the ``wave``, the log is a
+    table of ``versions``, in which the events of a wave that is tried again are there once.
     """
-    append(audit_events(answers, kind, model, clock, key), path)
+    events = audit_events(answers, kind, model, clock, key)
+    if wave is None:
+        append(events, path)
+    else:
+        versions.append(events, path, writer=wave, batch=0)
     failures = answers.filter("type_erreur is not null").count()
     if failures:
         raise InferenceFailure(f"{failures} requests failed")
@@ -78,7 +84,8 @@ def settled(answers: DataFrame, path: str, kind: str, model: str, clock: Clock =
 
 def logged(spark, path: str) -> DataFrame:
     """The audit log."""
-    return spark.read.schema(AUDIT_EVENT).json(path)
+    version = versions.current(spark, path)
+    return versions.read(spark, path, AUDIT_EVENT, version) if version.number >= 0 else spark.read.schema(AUDIT_EVENT).json(path)
 
 
 # conversations

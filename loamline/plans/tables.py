@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from loamline import schemas
 from loamline.functions import text as tx
 from loamline.operators import chat, inference, log_replay
-from loamline.plans.queries import _pivot_docs, query, table
-from loamline.sources import files
-from loamline.streaming import logs
+from loamline.plans.queries import _VERDICTS, _pivot_docs, _points, query, table
+from loamline.sources import files, versions
+from loamline.streaming import logs, runs
 
 _LABEL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kind", T.StringType())])
 
@@ -218,3 +218,39 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh, unknown = inference.appended(turns.select("conversation_id"), turns, c.filter("ord > 0").drop("conv_id"))
     rows = fresh.select("conversation_id", F.col("ord").cast("long").alias("ord"), "contenu", F.lit(None).cast("string").alias("erreur"))
     return rows.union(unknown.select("conversation_id", F.lit(None).cast("long"), "contenu", "erreur"))
+
+
+@query("SELECT doc_id, 'new' AS kind FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'q' || quality FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT -doc_id - 1, 'new' FROM labels WHERE doc_id % 3 = 0")
+def bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets that is merged twice, the second time by a batch that comes again."""
+    path, lab = files.scratch(spark), table(spark, sf_dir, "labels")
+    row = lambda d, key, kind, day: d.select(key.alias("doc_id"), kind.alias("kind"), F.lit(day).alias("jour"))
+    versions.upsert(row(lab, F.col("doc_id"), F.concat(F.lit("q"), "quality"), 1), path, key="doc_id", order="jour", buckets=16)
+    third = lab.filter("doc_id % 3 = 0")
+    for _ in range(2):
+        new = row(third, F.col("doc_id"), F.lit("old"), 2).union(row(third, F.col("doc_id"), F.lit("new"), 3)).union(row(third, -F.col("doc_id") - 1, F.lit("new"), 3))
+        versions.upsert(new, path, key="doc_id", order="jour", writer="second", batch=0)
+    return versions.read(spark, path, "doc_id long, kind string, jour int").select("doc_id", "kind")
+
+
+@query("SELECT doc_id::VARCHAR AS identifiant, count(*) AS n FROM documents GROUP BY 1")
+def resumed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents worked off by a stream that is started three times, once anew, with ids that come again."""
+    path, d = files.scratch(spark), table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("identifiant"))
+    for k, rows in enumerate((d.filter("identifiant % 3 = 0"), d, d.filter("identifiant % 2 = 0"))):
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("identifiant string").parquet(f"{path}/in")
+        logs.resume_once(stream, f"{path}/out", "identifiant string", lambda b: b, f"{path}/checkpoint-{k // 2}", buckets=8).awaitTermination()
+    return versions.read(spark, f"{path}/out", "identifiant string").groupBy("identifiant").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_VERDICTS}, v AS (SELECT run, count(perte_validation) > 0 AS hv FROM c GROUP BY 1) SELECT r.run::VARCHAR AS run, CASE WHEN n >= 2 THEN verdict END AS verdict, CASE WHEN coalesce(n, 0) < 2 THEN 'pas assez de points complets' WHEN NOT hv THEN 'sans perte de validation' ELSE '' END AS message FROM (SELECT DISTINCT run FROM w) r LEFT JOIN e ON e.run = r.run LEFT JOIN v ON v.run = r.run")
+def streamed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all runs, kept by a stream with a small state a run over metric files that come in two parts."""
+    path = files.scratch(spark)
+    points = _points(spark, sf_dir).select(F.col("run").cast("string").alias("run"), F.col("etape").cast("int").alias("etape"), "nom", F.col("valeur").cast("double").alias("valeur"), F.col("ord").cast("double").alias("horodatage"))
+    first = points.agg(F.percentile_approx("etape", 0.5)).scalar()
+    for part in (points.filter(F.col("etape") <= first), points.filter(F.col("etape") > first)):
+        files.append(part.repartition(1).sortWithinPartitions("run", "etape", "horodatage"), f"{path}/in")
+        runs.watch_runs(spark, f"{path}/in", f"{path}/verdicts", f"{path}/checkpoint").awaitTermination()
+    return versions.read(spark, f"{path}/verdicts", runs.VERDICTS).select("run", "verdict", "message")

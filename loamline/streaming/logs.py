@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loamline import schemas
 from loamline.operators.curves import live_verdicts, wide
 from loamline.operators.dedup import first_wins
+from loamline.sources import versions
 from loamline.sources.files import exists, folders, read_table
 
 
@@ -71,3 +72,21 @@ def resume(stream: DataFrame, path: str, schema, work: Callable[[DataFrame], Dat
         work(first_wins(batch.join(done, key, "left_anti"), key, key)[0]).write.mode("append").json(path)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def resume_once(stream: DataFrame, path: str, schema, work: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "identifiant", buckets: int = 64) -> StreamingQuery:
+    """As ``resume``, into a table of ``versions``: a batch reads only the buckets that its ids fall into, and one that was published before a failure counts once.
+
+    ``schema`` is that of the output, which has the key; ``work`` may drop rows, and these are tried again when they come again.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        was = versions.current(spark, path)
+        if was.has(checkpoint, number):
+            return
+        done = versions.sharing(batch, path, schema, key=key, version=was).select(key)
+        rows = first_wins(batch.join(done, key, "left_anti"), key, key)[0]
+        versions.upsert(work(rows), path, key=key, order=key, buckets=buckets, writer=checkpoint, batch=number, since=was)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
