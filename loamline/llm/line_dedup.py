@@ -60,10 +60,12 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     lines = staged(lines.select(*DOC, "pos", F.unhex(F.md5("line")).alias("id"), F.regexp_count("line", F.lit(_WORD)).alias("w")).distinct(), "lines")
     ranks = _ranked(lines.groupBy("id").agg(F.count("*").alias("n")), ["id"])
     active = staged(_shortest_runs(lines.join(ranks, "id").select(*DOC, "pos", "w", "rank"), min_words), "active")
+    discard(lines, ranks)
     longest = active.agg(F.max(F.greatest("len", "back"))).first()[0] or 0
-    backward = active.filter("back is not null").select(F.col("doc_id").alias("bd"), F.col("text_key").alias("bt"), (F.col("pos") - F.col("back") + 1).alias("bp"), F.col("back").alias("b_len"))
+    backward = staged(active.filter("back is not null").select(F.col("doc_id").alias("bd"), F.col("text_key").alias("bt"), (F.col("pos") - F.col("back") + 1).alias("bp"), F.col("back").alias("b_len")), "backward")
 
-    level, found, used = active.drop("back"), [], [lines, ranks, active]
+    # each table goes as soon as the next one is written, so two levels at most are there at a time
+    level, found = active, []
     k = 0
     while longest >= 1 << k:
         # suffixes whose run has 2^k lines or more, but fewer than 2^(k+1)
@@ -94,15 +96,15 @@ def repeated_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
             pairs = level.withColumn("rank2", on).filter("rank2 is not null")
             pairs = pairs.filter(F.col("pos") + (1 << k) <= F.col("end"))
             ranks = _ranked(pairs.groupBy(F.col("rank").alias("r1"), F.col("rank2").alias("r2")).agg(F.count("*").alias("n")), ["r1", "r2"])
-            used.append(ranks)
-            level = staged(pairs.join(ranks.withColumnRenamed("rank", "to"), (F.col("rank") == F.col("r1")) & (F.col("rank2") == F.col("r2"))).select(*DOC, "pos", F.col("to").alias("rank"), "end", "len"), "level")
-            used.append(level)
-    runs = reduce(DataFrame.union, found) if found else active.filter("false").select(*DOC, "pos", "len")
+            above = staged(pairs.join(ranks.withColumnRenamed("rank", "to"), (F.col("rank") == F.col("r1")) & (F.col("rank2") == F.col("r2"))).select(*DOC, "pos", F.col("to").alias("rank"), "end", "len"), "level")
+            discard(level, ranks)
+            level = above
+    runs = reduce(DataFrame.union, found) if found else level.filter("false").select(*DOC, "pos", "len")
     deleted = runs.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).distinct()
     islands = deleted.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos")))
     spans = islands.groupBy(*DOC, "island").agg(F.min("pos").alias("first_line"), F.count("*").cast("int").alias("n_lines"))
     out = staged(spans.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first_line", "n_lines"))).alias("runs")), "runs")
-    discard(*used, *found)
+    discard(level, backward, *found)
     return out
 
 
