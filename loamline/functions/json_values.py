@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +13,10 @@ from pyspark.sql import types as T
 from loamline.functions.text import bound, strip
 
 
+#: Quoted texts (left as they are), and the names of numbers that no literal spells.
+_NAMED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|\b(nan|inf)\b")
+
+
 def strict(text: Column) -> Column:
     """The text as one JSON value (variant), or null. Wrapped in an array, so trailing text is no value.
 
@@ -129,14 +137,35 @@ def has_diagnosis_form(text: Column) -> Column:
     return text.rlike(DIAGNOSIS_FORM)
 
 
+def _literals(lines: pa.Array) -> pa.Array:
+    """Printed dicts, whatever they hold, as pairs of names and numbers."""
+    out = []
+    for line in lines.to_pylist():
+        try:
+            found = ast.literal_eval(_NAMED.sub(lambda m: m[0] if m[1] is None else "1e999" if m[1] == "inf" else "'nan'", line)) if line else None
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            found = None
+        if not isinstance(found, dict):
+            out.append(None)
+            continue
+        row = {}
+        for name, value in found.items():
+            try:
+                row[str(name)] = None if isinstance(value, (bool, list, tuple, dict, set, bytes, complex)) or value is None else float(value)
+            except (ValueError, OverflowError):
+                row[str(name)] = None
+        out.append(list(row.items()))
+    return pa.array(out, pa.map_(pa.string(), pa.float64()))
+
+
 def python_dict(text: Column) -> Column:
-    """A printed dict as map<string,double>, or null; values that are no numbers are null. Only lines of train and eval losses are read."""
+    """A printed dict as map<string,double>, or null; values that are no numbers (None, truth values, texts, tuples, lists, dicts) are null.
+
+    Only lines of train and eval losses are read, so the others cost no Python. inf and nan are numbers.
+    """
     line = strip(text)
-    json = F.regexp_replace(line, r":\s*(None|True|False)\s*(?=[,}])", ": null")
-    json = F.regexp_replace(F.regexp_replace(json, r":\s*nan\s*(?=[,}])", ": 'NaN'"), r":\s*(-?)inf\s*(?=[,}])", ": '$1Infinity'")
-    parsed = F.from_json(json, "map<string,string>", {"allowSingleQuotes": "true"})
-    numbers = F.transform_values(parsed, lambda _, v: v.try_cast("double"))
-    return F.when(line.startswith("{'loss'") | line.startswith("{'eval_loss'"), numbers)
+    wanted = F.when(line.startswith("{'loss'") | line.startswith("{'eval_loss'"), line)
+    return F.arrow_udf(_literals, "map<string,double>")(wanted)
 
 
 def split_glued(text: Column) -> Column:

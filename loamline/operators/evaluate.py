@@ -19,30 +19,35 @@ def exact_match_rate(df: DataFrame, expected: str, got: str) -> DataFrame:
 
 
 def token_f1(df: DataFrame, key: str, expected: str, got: str) -> DataFrame:
-    """key and f1 by the multiset of common tokens: 1 if both sides are empty, 0 if one is or nothing is common."""
+    """key and f1 by the multiset of common tokens: 1 if both sides are empty, 0 if one is or nothing is common. Each row by itself; nothing is shuffled."""
     e, g = tx.tokens(tx.normalised(F.col(expected))), tx.tokens(tx.normalised(F.col(got)))
-    rows = df.select(key, e.alias("e"), g.alias("g"))
-    sides = rows.select(key, F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("e").alias("t")), F.struct(F.lit(1).alias("s"), F.col("g").alias("t")))).alias("x"))
-    words = sides.select(key, "x.s", F.explode("x.t").alias("w")).groupBy(key, "w").agg(F.sum((F.col("s") == 0).cast("int")).alias("a"), F.sum("s").alias("b"))
-    common = words.groupBy(key).agg(F.sum(F.least("a", "b")).alias("m"))
-    n, k, m = F.size("e"), F.size("g"), F.coalesce("m", F.lit(0))
-    f1 = F.when((n == 0) & (k == 0), 1.0).when((n == 0) | (k == 0) | (m == 0), 0.0).otherwise(2.0 * m / (n + k))
-    return rows.join(common, key, "left").select(key, f1.alias("f1"))
+
+    def f1(s: Column) -> Column:
+        n, k = F.size(s["a"]), F.size(s["b"])
+        score = lambda m: F.when((n == 0) & (k == 0), 1.0).when((n == 0) | (k == 0) | (m == 0), 0.0).otherwise(2.0 * m / (n + k))
+        return tx.bound(common_tokens(s["a"], s["b"]), score)
+
+    return df.select(key, tx.bound(F.struct(e.alias("a"), g.alias("b")), f1).alias("f1"))
 
 
 def mean_token_f1(df: DataFrame, key: str, expected: str, got: str) -> DataFrame:
     return token_f1(df, key, expected, got).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("token_f1"))
 
 
-def common_tokens(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays of one row."""
+def _numbered(tokens: Column) -> Column:
+    """Each token with its number among equal ones, as one text: so equal multisets have equal sets."""
 
-    def common(s: Column) -> Column:
-        count = lambda side, t: F.size(F.filter(s[side], lambda x: x == t))
-        each = F.transform(F.array_intersect(s["a"], s["b"]), lambda t: F.least(count("a", t), count("b", t)))
-        return F.aggregate(each, F.lit(0), lambda n, m: n + m)
+    def numbered(each: Column) -> Column:
+        first = tx.running(F.transform(each, lambda t, i: F.when((i > 0) & (F.get(each, i - 1) == t), 0).otherwise(i)), F.greatest)
+        places = F.zip_with(F.transform(each, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), first, lambda x, f: F.concat(x["t"], F.lit(" "), (x["i"] - f).cast("string")))
+        return places
 
-    return tx.bound(F.struct(a.alias("a"), b.alias("b")), common)
+    return tx.bound(F.array_sort(tokens), numbered)
+
+
+def common_tokens(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two token arrays of one row, by sorting each: n log n."""
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
 def level_accuracy(df: DataFrame, expected: str, got: str) -> DataFrame:

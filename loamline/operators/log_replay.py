@@ -6,12 +6,13 @@ time, printed dicts the metrics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.json_values import python_dict
 from loamline.operators.asof import with_neighbours
 from loamline.operators.curves import nearest_steps
+from loamline.sources.files import staged
 
 #: A training bar (step, total, minutes, seconds), the stamp in a run's name, a commit, and metric names.
 BAR = r"([0-9]+)/([0-9]+)\s*\[([0-9]+):([0-9]+)<[^,\n]+,\s*[0-9.]+s/it\]"
@@ -20,10 +21,25 @@ COMMIT = r"@ git\+https://[^\s]+@([0-9a-f]{40})"
 NAMES = {"loss": "perte_train", "grad_norm": "norme_gradient", "learning_rate": "learning_rate", "mean_token_accuracy": "mean_token_accuracy", "entropy": "entropy", "eval_loss": "perte_validation", "eval_mean_token_accuracy": "eval_mean_token_accuracy", "eval_entropy": "eval_entropy"}
 
 
+#: Line ends beside those that Spark splits at (line feed, carriage return, both).
+LINE_ENDS = r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """run (file name), ord and line of text logs. A log is one file and is read by one task, which numbers its lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("run"), "value")
-    return whole.select("run", F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
+    """run (file name), ord and line of text logs of any size, lines as Python's splitlines has them.
+
+    A log is read in ranges of bytes, by as many tasks as it fills. Lines are written once with their range
+    and place in it; the numbers of lines of the ranges before, a row a range, give the ordinals. One of ``LINE_ENDS`` at
+    the very end of a log leaves an empty last line, which splitlines leaves out.
+    """
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    parts = F.split("value", LINE_ENDS)
+    raw = spark.read.text(path).select(name.alias("run"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.explode(parts).alias("line"))
+    lines = staged(raw.withColumn("_at", F.monotonically_increasing_id()), "lines")
+    ranges = lines.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(ranges, ["_file", "_start"]).select("run", (F.col("_base") + F.col("_at") - F.col("_first")).cast("int").alias("ord"), "line")
 
 
 def bars(lines: DataFrame) -> DataFrame:

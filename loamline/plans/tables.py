@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from loamline import schemas
 from loamline.functions import text as tx
 from loamline.operators import chat, inference, log_replay
-from loamline.plans.queries import _VERDICTS, _pivot_docs, _points, query, table
+from loamline.plans.queries import _TURNS, _VERDICTS, _pivot_docs, _points, _turns, query, table
 from loamline.sources import files, versions
 from loamline.streaming import logs, runs
 
@@ -254,3 +254,32 @@ def streamed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.append(part.repartition(1).sortWithinPartitions("run", "etape", "horodatage"), f"{path}/in")
         runs.watch_runs(spark, f"{path}/in", f"{path}/verdicts", f"{path}/checkpoint").awaitTermination()
     return versions.read(spark, f"{path}/verdicts", runs.VERDICTS).select("run", "verdict", "message")
+
+
+_CHATML = "'<|im_start|>{r}' || chr(10) || {t} || '<|im_end|>' || chr(10)"
+
+
+@query(f"""WITH {_TURNS} SELECT id AS identifiant, {_CHATML.format(r='user', t='question')} || '<|im_start|>assistant' || chr(10) AS prompt,
+  {_CHATML.format(r='assistant', t="CASE WHEN conv_id % 3 = 0 THEN 'Mieux : ' || answer ELSE answer END")} AS chosen, {_CHATML.format(r='assistant', t='reverse(question)')} AS rejected FROM t""")
+def preference_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference triplets written to their table and read again; of a third the chosen answer comes from the table of reformulated ones, whose last entry counts."""
+    path, t = files.scratch(spark), _turns(spark, sf_dir)
+    said = lambda role, text: F.array(F.struct(F.lit(role).alias("role"), text.alias("contenu")))
+    given = {"identifiant": F.col("id"), "source": F.lit("s"), "type_exemple": F.lit("dpo"), "langue": F.lit("fr"), "prompt": said("user", F.col("question")), "chosen": said("assistant", F.col("answer")), "rejected": said("assistant", F.reverse("question"))}
+    pivot = t.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.PIVOT.fields])
+    new = t.filter("conv_id % 3 = 0")
+    for day, text in (("2024-01-02", F.concat(F.lit("Mieux : "), "answer")), ("2024-01-01", F.lit("vieux"))):
+        files.append(new.select(F.col("id").alias("identifiant"), said("assistant", text).alias("chosen"), F.lit(day).alias("horodatage")), f"{path}/reformulated")
+    reformulated = files.reformulated(spark, f"{path}/reformulated")
+    files.save_preferences(spark, f"{path}/preferences", chat.triplets(pivot, reformulated))
+    return files.preferences(spark, f"{path}/preferences")
+
+
+@query("SELECT doc_id // 500 AS run, (row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) * 2 - 2)::BIGINT AS ord, 'doc ' || doc_id AS line FROM documents UNION ALL SELECT doc_id // 500, (row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) * 2 - 1)::BIGINT, 'lang ' || doc_id || ' ' || lang FROM documents")
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals of the lines of logs, one for every 500 documents, each a file that is read in ranges of bytes."""
+    path, d = files.scratch(spark), table(spark, sf_dir, "documents").withColumn("log", F.floor(F.col("doc_id") / 500))
+    lines = d.repartition("log").sortWithinPartitions("log", "doc_id").select("log", F.concat(F.lit("doc "), "doc_id", F.lit("\r\nlang "), "doc_id", F.lit(" "), "lang").alias("value"))
+    lines.write.partitionBy("log").text(path)
+    rows = log_replay.read_log(spark, path)
+    return rows.select(F.floor(F.regexp_extract("line", " ([0-9]+)", 1).cast("long") / 500).alias("run"), F.col("ord").cast("long").alias("ord"), "line")

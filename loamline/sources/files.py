@@ -239,3 +239,18 @@ def save_checkpoints(spark: SparkSession, path: str, new: DataFrame) -> None:
 def run_parameters(found: DataFrame, parameters: DataFrame) -> DataFrame:
     """Runs with the parameters that were written for them, null where there are none."""
     return found.join(parameters, "run", "left")
+
+
+def reformulated(spark: SparkSession, path: str) -> DataFrame:
+    """The reformulated answers, the last of each row by time; none if the table is missing. They are appended as they come."""
+    return latest_per_key(read_table(spark, path, schemas.REFORMULATED, required=False), ["identifiant"], "horodatage")
+
+
+def save_preferences(spark: SparkSession, path: str, triplets: DataFrame) -> None:
+    """Preference triplets in place of those of the same id."""
+    upsert(spark, path, schemas.PREFERENCE, triplets.select(*schemas.PREFERENCE.names), order="chosen")
+
+
+def preferences(spark: SparkSession, path: str) -> DataFrame:
+    """The table of preference triplets; empty if it is missing."""
+    return read_table(spark, path, schemas.PREFERENCE, required=False)

@@ -3,12 +3,13 @@
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from loamline.functions import text as tx
-from loamline.operators import anonymise, chat
+from loamline.operators import anonymise, chat, evaluate
 
 W = r"\w"
 PLAIN_EMAIL = re.compile(r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}")
@@ -105,3 +106,39 @@ def test_bounds_of_long_chats(spark):
         assert (b.debut, b.fin) == (at, at + len(f"<|im_start|>{role}\n{text}<|im_end|>\n"))
         at = b.fin
     assert none == []
+
+
+LABELS = "array<struct<label:string,start:int,end:int>>"
+
+
+def opinion(span, entities, lang):
+    near = [x for x in entities if x[1] < span[1] and x[2] > span[0]]
+    wanted = {"PER", "ORG", "LOC"} if lang == "fr" else {"PERSON", "ORG", "GPE", "LOC", "NORP"}
+    return "aucune" if not near else "pertinente" if any(x[0] in wanted for x in near) else "autre"
+
+
+def test_opinions(spark):
+    rng, rows = random.Random(7), []
+    for _ in range(400):
+        some = lambda n: [(lambda a: (a, a + rng.randrange(1, 9)))(rng.randrange(40)) for _ in range(rng.randrange(n))]  # noqa: B023, E731
+        rows.append((some(8), [(rng.choice(["PER", "PERSON", "MISC", "GPE", None]), a, b) for a, b in some(6)], rng.choice(["fr", "en", "de", None])))
+    rows.append(([(1, 2)], None, "fr"))
+    got = values(spark, rows, f"s array<struct<start:int,end:int>>, e {LABELS}, lang string", tx.opinions(F.col("s"), F.col("e"), F.col("lang")))
+    assert got == [[opinion(x, e or [], lang) for x in s] for s, e, lang in rows]
+
+
+def test_opinions_of_a_hundred_thousand_spans(spark):
+    n = 100_000
+    span = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 2).alias("end")))
+    known = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.lit("PER").alias("label"), (i * 6).alias("start"), (i * 6 + 1).alias("end")))
+    df = spark.range(1).select(tx.opinions(span, known, F.lit("fr")).alias("o"))
+    began = time.time()
+    r = df.select(F.size(F.filter("o", lambda x: x == "pertinente")).alias("p"), F.size("o").alias("n")).first()
+    assert (r.p, r.n) == (n // 2, n) and time.time() - began < 20
+
+
+def test_common_tokens(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("aab c1") for _ in range(rng.randrange(12))], [rng.choice("abc 1") for _ in range(rng.randrange(12))]) for _ in range(300)] + [([], []), (["a"] * 3000, ["a"] * 2000 + ["b"] * 999)]
+    got = values(spark, rows, "a array<string>, b array<string>", evaluate.common_tokens(F.col("a"), F.col("b")))
+    assert got == [sum((Counter(a) & Counter(b)).values()) for a, b in rows]
