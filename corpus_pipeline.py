@@ -81,7 +81,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed)]
 
-#: The first stage is a trained model, which SQL can't express; tests compare each stage with a brute-force version.
+#: The first stage is a trained model, which SQL can't express; tests look for planted rows in each stage's result, and compare the operators with brute-force versions.
 ORACLE_SQL = None
 
 
