@@ -306,7 +306,7 @@ def tagged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of all documents by label, with names that a tagger finds beside the listed ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     listed = _recogniser(spark, docs)
-    both = listed.with_tagger(spark, entities.fit_tagger(docs, listed))
+    both = listed.with_tagger(spark, entities.fit_tagger(docs, listed, max_lines=1000))
     found = entities.with_entities(docs, both).select("doc_id", F.explode("entities").alias("e"))
     return found.groupBy("doc_id", F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
 
