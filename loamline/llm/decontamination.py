@@ -2,8 +2,9 @@
 
 Benchmark texts are cut into windows of consecutive words. Every corpus term that
 occurs in a window is counted over the whole corpus, and each window is anchored
-at its rarest terms. The index stores the postings (document, position) of all
-anchor terms. For phrases, the postings of the rarest term, shifted back by its offset
+at its rarest terms. Neighbouring windows share most anchors, so what is looked up are
+the distinct pairs of terms at a distance, each once for all windows that have it.
+The index stores the postings (document, position) of all anchor terms. For phrases, the postings of the rarest term, shifted back by its offset
 in the window, give the possible starts; intersecting them with the shifted postings of
 the second leaves almost only true matches, which are then compared word by word. For
 proximity matches, in which words may be missing or stand a few places off, the
@@ -36,68 +37,90 @@ def _few(terms: DataFrame, name: str) -> DataFrame:
 
 
 def windows(benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct windows (win, terms, near), and which item has which (win, item).
-
-    ``near`` marks the windows for proximity matches: of items of ``size`` words or
-    more those that start at multiples of ``size``, and the last.
-    """
+    """The distinct windows (win, terms), and which item has which (win, item)."""
     item = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.lit(1), F.size("w") - (size - 1))
-    blocks = lambda i: (F.size(F.col("w")) >= size) & (((i - 1) % size == 0) | (i == last))
-    each = item.select("item", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.slice(F.col("w"), i, size).alias("terms"), blocks(i).alias("near")))).alias("x")).select("item", "x.*")
+    each = item.select("item", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(F.col("w"), i, size))).alias("terms"))
     each = staged(each.withColumn("win", F.sha2(F.array_join("terms", " "), 256)), "windows")
-    return each.groupBy("win").agg(F.first("terms").alias("terms"), F.bool_or("near").alias("near")), each.select("win", "item").filter("item is not null").distinct()
+    return each.groupBy("win").agg(F.first("terms").alias("terms")), each.select("win", "item").filter("item is not null").distinct()
+
+
+def _may_miss(terms: Column, missing: int) -> Column:
+    """How many of a window's words may be missing: ``missing``, but two words are there at least, or the only one."""
+    return F.greatest(F.lit(0), F.least(F.lit(missing), F.size(terms) - 2))
 
 
 def anchored(tokens: DataFrame, wins: DataFrame) -> DataFrame:
-    """Each window with its terms, rarest over all documents first: win, terms, near, r (array of n, term, at)."""
-    terms = wins.select("win", "terms", "near", F.posexplode("terms").alias("at", "term"))
+    """Each window with its terms, rarest over all documents first: win, terms, r (array of n, term, at)."""
+    terms = wins.select("win", "terms", F.posexplode("terms").alias("at", "term"))
     vocabulary = _few(terms.select("term").distinct(), "vocabulary")
     counts = tokens.select(F.explode("words").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
     # at most a row for each term of the benchmark, in a table of known size
     ranked = terms.join(_few(counts, "term-counts"), "term", "left").groupBy("win")
-    return ranked.agg(F.first("terms").alias("terms"), F.first("near").alias("near"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at"))).alias("r"))
+    return ranked.agg(F.first("terms").alias("terms"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at"))).alias("r"))
+
 
+def _terms_of(wins: DataFrame, missing: int | None, phrases: bool) -> DataFrame:
+    """Pairs of anchors of each window (w, term, at, n, term2, at2, n2, phrase): for phrases its two rarest terms, for proximity any two of the rarest, two more than may be missing.
 
-def _terms_of(wins: DataFrame, near: int) -> DataFrame:
-    """Pairs of anchors of each window (w, term, at, term2, at2, phrase): its two rarest terms, and for proximity any two of the ``near`` rarest. A lone word has no second. Terms that the corpus lacks are left out, and with one no phrase can occur."""
-    pair = lambda x, y, phrase: F.struct(x["term"].alias("term"), x["at"].alias("at"), y["term"].alias("term2"), y["at"].alias("at2"), F.lit(phrase).alias("phrase"))
+    A lone word has no second. Terms that the corpus lacks are left out, and with one no
+    phrase can occur.
+    """
+    pair = lambda x, y, phrase: F.struct(x["term"].alias("term"), x["at"].alias("at"), x["n"].alias("n"), y["term"].alias("term2"), y["at"].alias("at2"), y["n"].alias("n2"), F.lit(phrase).alias("phrase"))
     first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    out = wins.filter(first["n"] > 0).select("w", pair(first, second, True).alias("p")).select("w", "p.*")
-    if not near:
-        return out
-    there = wins.filter("near").select("w", F.filter(F.slice("r", 1, near), lambda x: x["n"] > 0).alias("r"))
+    whole = wins.filter(first["n"] > 0).select("w", pair(first, second, True).alias("p")).select("w", "p.*")
+    if missing is None:
+        return whole
+    there = wins.select("w", F.filter(F.slice("r", F.lit(1), _may_miss(F.col("terms"), missing) + 2), lambda x: x["n"] > 0).alias("r"))
     pairs = F.flatten(F.transform("r", lambda x, i: F.transform(F.filter("r", lambda y, j: j > i), lambda y: pair(x, y, False))))
-    return out.unionByName(there.select("w", F.explode(pairs).alias("p")).select("w", "p.*"))
+    near = there.select("w", F.explode(pairs).alias("p")).select("w", "p.*")
+    # a lone word's phrase is its proximity match
+    return whole.unionByName(near) if phrases else near.unionByName(whole.filter("term2 is null").withColumn("phrase", F.lit(False)))
 
 
-def _starts(index: DataFrame, pairs: DataFrame, slack: int) -> DataFrame:
+#: Postings of a term that one task reads; terms with more are dealt by document over several.
+POSTINGS = 1 << 17
+
+
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Terms (term, tid, parts), the distinct pairs to look up (e, tid, parts, tid2, delta, phrase), and the windows that have them (e, w, at)."""
+    terms = pairs.select("term", "n").union(pairs.filter("term2 is not null").select("term2", "n2")).distinct()
+    parts = F.floor(F.col("n") / POSTINGS).cast("int") + 1
+    terms = _few(terms.select("term", F.monotonically_increasing_id().alias("tid"), parts.alias("parts")), "anchor-terms")
+    seconds = terms.select(F.col("term").alias("term2"), F.col("tid").alias("tid2"))
+    pairs = pairs.join(terms, "term").join(seconds, "term2", "left")
+    pairs = staged(pairs.select("w", "tid", "parts", "at", F.coalesce("tid2", F.lit(-1)).alias("tid2"), F.coalesce(F.col("at2") - F.col("at"), F.lit(0)).alias("delta"), "phrase"), "numbered-pairs")
+    own = ["tid", "tid2", "delta", "phrase"]
+    entries = staged(pairs.select(*own, "parts").distinct().withColumn("e", F.monotonically_increasing_id()), "entries")
+    members = staged(pairs.join(entries.drop("parts"), own).select("e", "w", "at"), "members")
+    discard(pairs)
+    return terms, entries, members
+
+
+def _starts(index: DataFrame, entries: DataFrame, members: DataFrame, slack: int) -> DataFrame:
     """Where a pair's terms stand at their distance, exactly for phrases, ``2 * slack`` words off it at most for others: doc_id, text_key, w, start, phrase.
 
     The start is that of the first term. Positions are compared by blocks of
     ``4 * slack + 1``, phrases by one block, so the join stays an equality join.
     """
-    salted = pairs.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    found = index.join(salted, ["tid", "salt"]).select(*KEY, "w", (F.col("pos") - F.col("at")).alias("start"), "tid2", "at2", "phrase").filter("not phrase or start >= 0")
-    alone = found.filter("tid2 is null").select(*KEY, "w", "start", "phrase")
-    left = found.filter("tid2 is not null").withColumn("due", F.col("start") + F.col("at2")).drop("at2")
+    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = index.join(salted, ["tid", "salt"]).select(*KEY, "e", "pos", "tid2", "delta", "phrase")
+    alone = found.filter("tid2 < 0").select(*KEY, "e", "pos", "phrase")
+    left = found.filter("tid2 >= 0").withColumn("due", F.col("pos") + F.col("delta"))
     width = 4 * slack + 1
     off = F.when(F.col("phrase"), 0).otherwise(2 * slack)
     left = left.withColumn("off", off).withColumn("block", F.explode(F.array_distinct(F.array(F.floor((F.col("due") - off) / width), F.floor((F.col("due") + off) / width)))))
-    second = pairs.filter("tid2 is not null").select(F.col("tid2").alias("tid")).distinct()
+    second = entries.filter("tid2 >= 0").select(F.col("tid2").alias("tid")).distinct()
     right = index.join(second, "tid", "left_semi").select(*KEY, "tid", F.col("pos").alias("p2"), F.floor(F.col("pos") / width).alias("block"))
     same = left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"]) & (left["tid2"] == right["tid"]) & (left["block"] == right["block"])
-    met = left.join(right, same & (F.abs(right["p2"] - left["due"]) <= left["off"]), "left_semi")
-    return alone.union(met.select(*KEY, "w", "start", "phrase")).distinct()
-
-
-#: Parts of a term's postings, by document, so that a term that stands in a large share of all documents is no single task.
-SALTS = 16
+    met = left.join(right, same & (F.abs(right["p2"] - left["due"]) <= left["off"]), "left_semi").select(*KEY, "e", "pos", "phrase")
+    starts = alone.union(met).join(members, "e").select(*KEY, "w", (F.col("pos") - F.col("at")).alias("start"), "phrase")
+    return starts.filter("not phrase or start >= 0").distinct()
 
 
 def _stands_near(words_: Column, f: Column, missing: int, slack: int) -> Column:
     """Whether all but ``missing`` of the terms stand within ``slack`` of their places, for a start within ``slack`` of the given one."""
-    size = F.size(f["terms"])
+    size, missing = F.size(f["terms"]), _may_miss(f["terms"], missing)
     part = lambda at, n: F.slice(words_, F.greatest(at, F.lit(0)) + 1, F.greatest(F.least(n, n + at), F.lit(0)))
     about = part(f["start"] - 2 * slack, size + 4 * slack)
     enough = F.size(F.array_intersect(f["terms"], about)) >= F.size(F.array_distinct(f["terms"])) - missing
@@ -118,10 +141,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ne
     an occurrence), n_items and items_sha256 (items with an occurring window, as
     sorted comma-joined strings), n_near (with ``near``) and contaminated (n_hit > 0).
 
-    n_near counts the windows, of those that start at multiples of ``window`` and the
-    last of each item of ``window`` words or more, that have a proximity match: all but
-    ``missing`` of their words stand within ``slack`` words of their places, counted from
-    some start. Exact occurrences are proximity matches too.
+    n_near counts the windows that have a proximity match: all but ``missing`` of their
+    words stand within ``slack`` words of their places, counted from some start. Two of the
+    words of short windows must be there at least, of a lone word itself. Exact occurrences
+    are proximity matches too; ``proximity`` lists the matches.
 
     Null and empty texts have no words. Items without words match nothing, items
     with a null id count as hits but are not listed, and repeated items count once.
@@ -139,14 +162,13 @@ def _candidates(docs: DataFrame, benchmark: DataFrame, window: int, near: tuple[
     wins, items = windows(benchmark, window)
     # windows and terms go by numbers from here on, which are given as the tables are written
     wins = staged(anchored(tokens, wins).withColumn("w", F.monotonically_increasing_id()), "anchors")
-    pairs = staged(_terms_of(wins, near[0] + 2 if near else 0).filter(F.lit(phrases) | ~F.col("phrase")), "pairs")
-    terms = pairs.select("term").union(pairs.filter("term2 is not null").select("term2")).distinct()
-    terms = _few(terms.withColumn("tid", F.monotonically_increasing_id()), "anchor-terms")
-    pairs = pairs.join(terms, "term").join(terms.toDF("term2", "tid2"), "term2", "left").select("w", "tid", "at", "tid2", "at2", "phrase")
-    salt = F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int").alias("salt")
+    pairs = staged(_terms_of(wins, near[0] if near else None, phrases), "pairs")
+    terms, entries, members = _numbered(pairs)
+    salt = F.pmod(F.xxhash64(*KEY), F.col("parts")).cast("int").alias("salt")
     postings = tokens.select(*KEY, F.posexplode("words").alias("pos", "term")).join(terms, "term")
     index = staged(postings.select("tid", "pos", *KEY, salt), "index")
-    starts = staged(_starts(index, _few(pairs, "numbered-pairs"), near[1] if near else 0), "starts")
+    starts = staged(_starts(index, entries, members, near[1] if near else 0), "starts")
+    discard(index, pairs, terms, entries, members)
 
     # the few that are left; only their texts move
     by_doc = starts.join(wins.select("w", "terms"), "w").groupBy(*KEY).agg(F.collect_list(F.struct("start", "terms", "w", F.col("phrase").alias("exact"))).alias("found"))
@@ -158,7 +180,7 @@ def _candidates(docs: DataFrame, benchmark: DataFrame, window: int, near: tuple[
     # written, so that the words are not cut anew for every candidate inside the filter
     whole = staged(whole.select(*KEY, words(F.col("text")).alias("words"), "found"), "candidates")
     items = _few(items.join(wins.select("w", "win"), "win").select("w", "item"), "items")
-    discard(wins, index, starts, keys)
+    discard(wins, starts, keys)
     return tokens, items, whole
 
 
@@ -167,7 +189,7 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, nea
     tokens, items, whole = _candidates(docs, benchmark, window, near)
     true = F.filter("found", lambda f: f["exact"] & (F.slice(F.col("words"), f["start"] + 1, F.size(f["terms"])) == f["terms"]))
     close = F.filter("found", lambda f: ~f["exact"] & _stands_near(F.col("words"), f, *near)) if near else F.slice("found", 1, 0)
-    exact = whole.select(*KEY, true.alias("found"), F.size(F.array_distinct(F.transform(close, lambda f: f["w"]))).cast("long").alias("n_near")).filter((F.size("found") > 0) | (F.col("n_near") > 0))
+    exact = whole.select(*KEY, true.alias("found"), F.size(F.array_distinct(F.transform(F.concat(true, close), lambda f: f["w"]))).cast("long").alias("n_near")).filter((F.size("found") > 0) | (F.col("n_near") > 0))
     spans = F.transform("found", lambda f: F.sequence(f["start"], f["start"] + F.size(f["terms"]) - 1))
     exact = staged(exact.select(*KEY, "n_near", F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("n_hit"), F.array_distinct(F.transform("found", lambda f: f["w"])).alias("wins")).distinct(), "exact")
     discard(whole)
@@ -195,7 +217,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, slack:
     offs = lambda i: F.filter(F.sequence(F.lit(0), F.lit(slack)), lambda d: F.coalesce((F.get("words", F.col("start") + i - d) == F.get("terms", i)) | (F.get("words", F.col("start") + i + d) == F.get("terms", i)), F.get("words", F.col("start") + i - d) == F.get("terms", i), F.get("words", F.col("start") + i + d) == F.get("terms", i)))
     found = F.filter(F.transform(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.get(offs(i), F.lit(0))), lambda d: d.isNotNull())
     shift = F.aggregate("d", F.lit(0), lambda s, d: s + d)
-    each = each.withColumn("d", found).filter(F.size("d") >= F.size("terms") - missing).withColumn("shift", shift)
+    each = each.withColumn("d", found).filter(F.size("d") >= F.size("terms") - _may_miss(F.col("terms"), missing)).withColumn("shift", shift)
     best = F.min_by(F.struct("start", "shift"), F.struct(-F.size("d"), "shift", "start"))
     win = F.sha2(F.array_join(F.first("terms"), " "), 256).alias("win")
     return each.groupBy(*KEY, "w").agg(best.alias("b"), win).select("doc_id", "win", "b.*")

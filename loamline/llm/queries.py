@@ -90,12 +90,12 @@ g AS (
 ), h AS (SELECT g.doc_id, g.s, g.n, k.item FROM g JOIN k ON g.win = k.win AND g.n = k.n),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY 1),
 x AS (
-  SELECT DISTINCT array_to_string(t, ' ') AS win, t FROM (SELECT w[i:i + 9] AS t FROM (SELECT w, unnest(range(1, len(w) - 8)) AS i FROM b WHERE len(w) >= 10) WHERE (i - 1) % 10 = 0 OR i = len(w) - 9)
-), o AS (SELECT win, unnest(range(0, 10)) AS k, unnest(t) AS term FROM x),
+  SELECT DISTINCT array_to_string(t, ' ') AS win, t, len(t) - greatest(0, least(1, len(t) - 2)) AS need FROM (SELECT w[i:i + 9] AS t FROM (SELECT w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0))
+), o AS (SELECT win, need, unnest(range(0, len(t))) AS k, unnest(t) AS term FROM x),
 pl AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS term FROM d),
-likely AS MATERIALIZED (SELECT doc_id, win FROM (SELECT DISTINCT doc_id, term FROM pl) JOIN o USING (term) GROUP BY ALL HAVING count(DISTINCT k) >= 9),
-m AS (SELECT DISTINCT doc_id, win, k, pos - k + j AS s FROM likely JOIN o USING (win) JOIN pl USING (doc_id, term), (SELECT unnest(range(-3, 4)) AS j)),
-nn AS (SELECT doc_id, count(DISTINCT win) AS n_near FROM (SELECT doc_id, win FROM m GROUP BY doc_id, win, s HAVING count(*) >= 9) GROUP BY 1),
+likely AS MATERIALIZED (SELECT doc_id, win FROM (SELECT DISTINCT doc_id, term FROM pl) JOIN o USING (term) GROUP BY doc_id, win, need HAVING count(DISTINCT k) >= need),
+m AS (SELECT DISTINCT doc_id, win, need, k, pos - k + j AS s FROM likely JOIN o USING (win) JOIN pl USING (doc_id, term), (SELECT unnest(range(-3, 4)) AS j)),
+nn AS (SELECT doc_id, count(DISTINCT win) AS n_near FROM (SELECT doc_id, win FROM m GROUP BY doc_id, win, need, s HAVING count(*) >= need) GROUP BY 1),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(i.items, '')) AS items_sha256, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(c.n_hit, 0) > 0 AS contaminated

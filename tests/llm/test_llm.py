@@ -223,8 +223,7 @@ def near_windows(rows, items, missing, slack, window=10):
     wins = set()
     for _, text in items:
         q = split(text)
-        if len(q) >= window:
-            wins |= {tuple(q[a : a + window]) for a in [*range(0, len(q) - window + 1, window), len(q) - window]}
+        wins |= {tuple(q[a : a + window]) for a in range(max(1, len(q) - window + 1)) if q}
     out = {}
     for n, (_, t) in enumerate(rows):
         w = split(t)
@@ -234,7 +233,7 @@ def near_windows(rows, items, missing, slack, window=10):
                 for i, term in enumerate(q):
                     at = [abs(d) for d in range(-slack, slack + 1) if 0 <= s + i + d < len(w) and w[s + i + d] == term]
                     offs += [min(at)] if at else []
-                if len(offs) >= window - missing:
+                if len(offs) >= len(q) - max(0, min(missing, len(q) - 2)):
                     out[n, q] = min(out.get((n, q), (0, 10**6)), (-len(offs), sum(offs)))
     return out
 
@@ -242,17 +241,22 @@ def near_windows(rows, items, missing, slack, window=10):
 @pytest.mark.parametrize(("missing", "slack"), [(1, 3), (2, 2), (0, 1)])
 def test_proximity_by_brute_force(spark, missing, slack):
     rng = random.Random(missing + 7)
-    items = [(n, " ".join(words_of(rng, rng.choice([9, 10, 14, 25]), 60))) for n in range(10)] + [(20, None), (21, "w1 w1 w1 w2 w2 w3 w1 w1 w2 w9"), (22, "zebra w1 w2 w3 w4 w5 w6 w7 w8 quokka")]
+    items = [(n, " ".join(words_of(rng, rng.choice([1, 2, 3, 9, 10, 14, 25]), 60))) for n in range(10)] + [(20, None), (21, "w1 w1 w1 w2 w2 w3 w1 w1 w2 w9"), (22, "zebra w1 w2 w3 w4 w5 w6 w7 w8 quokka")]
     rows = []
     for n in range(60):
         w = words_of(rng, rng.randrange(0, 40), 60)
         part = items[n % 10][1].split()[rng.randrange(2) :]
         for _ in range(rng.randrange(4)):
-            k = rng.randrange(len(part))
+            k = rng.randrange(len(part) or 1)
             part[k : k + rng.randrange(2)] = rng.choice([["new"], ["W5", "other"], []])
         rows.append((n, " ".join(w[:9] + part + w[9:])))
     rows += [(80, None), (81, ""), (82, "w1 " * 40), (83, "zebra x x x x x x x x quokka"), (84, "zebra w1 w2 w3 w4 none w6 w7 w8 quokka"), (85, "w1 w2 w3 w4 w5 w6 w7 w8 quokka"), (3, rows[4][1]), (3, rows[4][1])]
+    # a passage that starts at no multiple of ten, with a word replaced
+    q = [f"k{i}" for i in range(30)]
+    items.append((23, " ".join(q)))
+    rows.insert(0, (90, " ".join([*q[4:9], "other", *q[10:14]])))
     want = near_windows(rows, items, missing, slack)
+    assert (0, tuple(q[4:14])) in want or missing == 0
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contamination(frame(spark, rows), bench, near=(missing, slack)).collect()
     counts = Counter(n for n, _ in want)
