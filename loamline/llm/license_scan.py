@@ -7,7 +7,9 @@ none. It is trained on variants of the templates (cut, with words dropped) and o
 notices of invented licences against lines of a bounded corpus sample and near misses;
 its temperature is fitted on lines, near misses and more damaged variants that it was not
 trained on. A prediction counts as confirmed if a template of its family shares enough
-word bigrams with the lines.
+word bigrams with the lines, none of another family shares more, and the names, clauses
+and versions that the lines state are those of the family: neighbours such as GPL and
+AGPL, CC BY and CC BY-ND, or two versions of a licence differ by little else.
 """
 
 from __future__ import annotations
@@ -42,8 +44,53 @@ TEMPLATES: dict[str, list[str]] = {
     "isc": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "zlib": ["Released under the zlib License.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
     "unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain."],
+    "agpl": ["This work is licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL.", "You should have received a copy of the GNU Affero General Public License along with this program."],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "artistic": ["Released under the Artistic License 2.0.", "This program may be distributed under the terms of the Artistic License."],
+    "epl": ["Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License."],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License."],
     "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without permission of the publisher."],
 }
+#: Identifiers of families in SPDX tags.
+SPDX: dict[str, str] = {
+    "apache-2.0": "Apache-2.0", "mit": "MIT", "bsd": "BSD-3-Clause", "gpl": "GPL-3.0-or-later", "lgpl": "LGPL-2.1-or-later", "agpl": "AGPL-3.0-or-later", "mpl-2.0": "MPL-2.0",
+    "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-nd": "CC-BY-ND-4.0", "cc-by-nc-sa": "CC-BY-NC-SA-4.0", "cc-by-nc-nd": "CC-BY-NC-ND-4.0", "cc0": "CC0-1.0",
+    "isc": "ISC", "zlib": "Zlib", "unlicense": "Unlicense", "artistic": "Artistic-2.0", "epl": "EPL-2.0", "boost": "BSL-1.0",
+}
+#: How notices state the names and clauses that tell families apart.
+STATED: dict[str, str] = {
+    "apache": r"(?i:\bapache\b)",
+    "mit": r"\bMIT\b|(?i:\bmit[ /-](?:licen[sc]e|x11))",
+    "bsd": r"(?i:\bbsd\b)",
+    "gpl": r"(?i:\bgpl|(?<!affero )(?<!lesser )(?<!library )\bgeneral public licen[sc]e)",
+    "lgpl": r"(?i:\blgpl|\b(?:lesser|library) general public)",
+    "agpl": r"(?i:\bagpl|\baffero\b)",
+    "mpl": r"(?i:\bmpl\b|\bmozilla public)",
+    "by": r"(?i:\bcreative commons attribution|\bcc[ -]by\b)",
+    "sa": r"(?i:\bshare[ -]?alike|\bby(?:[ -]nc)?[ -]sa\b)",
+    "nc": r"(?i:\battribution[ -]non-?commercial|\bby[ -]nc\b)",
+    "nd": r"(?i:\bno[ -]?deriv|\bby(?:[ -]nc)?[ -]nd\b)",
+    "cc0": r"(?i:\bcc0\b)",
+    "isc": r"\bISC\b|(?i:\bisc licen[sc]e)",
+    "zlib": r"(?i:\bzlib)",
+    "unlicense": r"(?i:\bunlicense)",
+    "artistic": r"(?i:\bartistic[ -](?:licen[sc]e|[12]))",
+    "epl": r"(?i:\bepl\b|\beclipse public)",
+    "boost": r"(?i:\bboost software|\bbsl-1)",
+}
+#: What a notice of a family has to state, and what else it may; families that are not listed may state their own name only.
+REQUIRED: dict[str, set[str]] = {
+    "lgpl": {"lgpl"}, "agpl": {"agpl"}, "artistic": {"artistic"}, "epl": {"epl"}, "boost": {"boost"}, "cc-by": {"by"}, "cc-by-sa": {"by", "sa"}, "cc-by-nc": {"by", "nc"},
+    "cc-by-nd": {"by", "nd"}, "cc-by-nc-sa": {"by", "nc", "sa"}, "cc-by-nc-nd": {"by", "nc", "nd"},
+}
+ALLOWED: dict[str, set[str]] = {"apache-2.0": {"apache"}, "mpl-2.0": {"mpl"}, "lgpl": {"gpl"}, "agpl": {"gpl"}}
+#: Families of one version, and how notices state it.
+VERSIONS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "apache-2.0": (r"(?i)\bapache\b(?:[ ,(-]+(?:software|public|licen[sc]e|version|v))*[ ,-]*v?\.? ?([0-9]+(?:\.[0-9]+)?)", ("2", "2.0")),
+    "mpl-2.0": (r"(?i)\b(?:mozilla public|mpl)\b(?:[ ,(-]+(?:licen[sc]e|version|v))*[ ,-]*v?\.? ?([0-9]+(?:\.[0-9]+)?)", ("2", "2.0")),
+}
 #: The paragraphs of full notices of the common families.
 NOTICES: dict[str, list[str]] = {
     "mit": [
@@ -83,24 +130,35 @@ NEAR_MISSES = ["The driver lost his license after the accident.", "A fishing lic
 HELD_MISSES = ["The officer checked my licence and let me go.", "All rights of way are reserved for walkers.", "The source of the work was never released.", "Version 3 of the plan was published under the title of the old one.", "They were granted permission to sell copies of the map.", "The public was asked to comply with the new conditions."]
 
 
-def _words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, of each bigram starting there (its own word at a line's end), and the word's line; lines end with line feeds."""
-    data = _DOTS.sub(b" ", _MARKS.sub(b" ", data))
-    raw = np.frombuffer(data, dtype=np.uint8)
-    space = (raw == 32) | (raw == 10)
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.empty(0, dtype=np.int64)
-    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
-    words = word_hashes(data)
-    # a word that only repeats the one before says nothing more
-    new = np.r_[True, (words[1:] != words[:-1]) | (line[1:] != line[:-1])] if len(words) else np.empty(0, dtype=bool)
-    words, line = words[new], line[new]
-    following = np.where(np.r_[line[1:] == line[:-1], False], np.r_[words[1:], words[:1]], np.uint64(0)) if len(words) else words
-    pairs = _mix(words * np.uint64(3) + following)
-    shift = np.uint64(64 - BITS)
-    return (words >> shift).astype(np.int64), (pairs >> shift).astype(np.int64), line
+#: Bytes that are read at a time, but for single words that are longer.
+PART = 1 << 20
+
+
+def _word_parts(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket of each word, of each bigram starting there (its own word at a line's end), and the word's line, in parts of ``PART`` bytes; lines end with line feeds."""
+    at, line_no, shift = 0, 0, np.uint64(64 - BITS)
+    words, line = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    while at < len(data):
+        cut = _CUT.search(data, at + PART) if len(data) - at > PART else None
+        stop = cut.end() if cut else len(data)
+        part = _DOTS.sub(b" ", _MARKS.sub(b" ", data[at:stop]))
+        raw = np.frombuffer(part, dtype=np.uint8)
+        space = (raw == 32) | (raw == 10)
+        starts, ends = np.flatnonzero(~space & np.r_[True, space[:-1]]), np.flatnonzero(raw == 10)
+        # the last word of the part before waits for the one that follows it
+        words, line = np.r_[words, word_hashes(part)], np.r_[line, np.searchsorted(ends, starts) + line_no]
+        # a word that only repeats the one before says nothing more
+        new = np.r_[True, (words[1:] != words[:-1]) | (line[1:] != line[:-1])] if len(words) else np.empty(0, dtype=bool)
+        words, line, at, line_no = words[new], line[new], stop, line_no + len(ends)
+        following = np.where(np.r_[line[1:] == line[:-1], False], np.r_[words[1:], words[:1]], np.uint64(0)) if len(words) else words
+        pairs = _mix(words * np.uint64(3) + following)
+        n = len(words) if at == len(data) else max(0, len(words) - 1)
+        yield (words[:n] >> shift).astype(np.int64), (pairs[:n] >> shift).astype(np.int64), line[:n]
+        words, line = words[n:], line[n:]
 
 
 _MARKS, _DOTS = re.compile(rb"[^0-9A-Za-z\x80-\xff\n.]+"), re.compile(rb"\.+(?=[ \n]|$)")
+_CUT = re.compile(rb"[^0-9A-Za-z\x80-\xff.]")
 
 
 def _encoded(line: str) -> bytes:
@@ -108,7 +166,8 @@ def _encoded(line: str) -> bytes:
 
 
 def _bag(line: str) -> np.ndarray:
-    words, pairs, _ = _words_of(_encoded(line))
+    parts = list(_word_parts(_encoded(line)))
+    words, pairs = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     return np.r_[words, pairs[:-1] + (1 << BITS)]
 
 
@@ -120,15 +179,21 @@ class LicenceModel:
 
     def sums(self, data: bytes, lines: int) -> tuple[np.ndarray, np.ndarray]:
         """Summed weights (lines x families) and words of each line, in parts of bounded memory."""
-        words, pairs, line = _words_of(data)
-        total = np.zeros((lines, len(self.families)))
-        last = np.r_[line[1:] != line[:-1], True] if len(line) else np.empty(0, dtype=bool)
-        for at in range(0, len(words), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            w = self.weights[words[part]] + self.weights[pairs[part] + (1 << BITS)] * ~last[part, None]
-            first = np.flatnonzero(np.r_[True, np.diff(line[part]) > 0])
-            np.add.at(total, line[part][first], np.add.reduceat(w, first, axis=0))
-        return total, np.bincount(line, minlength=lines)
+        total, n, before = np.zeros((lines, len(self.families))), np.zeros(lines, dtype=np.int64), None
+        for words, pairs, line in _word_parts(data):
+            # a bigram counts unless its word is the last of its line, which the next part may tell
+            if before is not None and len(line) and line[0] == before[1]:
+                total[before[1]] += self.weights[before[0] + (1 << BITS)]
+            last = np.r_[line[1:] != line[:-1], True] if len(line) else np.empty(0, dtype=bool)
+            for at in range(0, len(words), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                w = self.weights[words[part]] + self.weights[pairs[part] + (1 << BITS)] * ~last[part, None]
+                first = np.flatnonzero(np.r_[True, np.diff(line[part]) > 0])
+                np.add.at(total, line[part][first], np.add.reduceat(w, first, axis=0))
+            if len(line):
+                n[line[0] : line[-1] + 1] += np.bincount(line - line[0])
+                before = pairs[-1], line[-1]
+        return total, n
 
     def softmax(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Probabilities of bags with the summed weights and n words."""
@@ -162,6 +227,7 @@ def _invented(rng: np.random.Generator, n: int) -> list[str]:
     return [GENERIC[k % len(GENERIC)].format(" ".join(name() for _ in range(int(rng.integers(1, 3))))) for k in range(n)]
 
 
+_TAG = "SPDX-License-Identifier: {}"
 _KNOWN = re.compile(r"licen[sc]e|copyright|all rights reserved|\bCC\b", re.I)
 
 
@@ -183,6 +249,9 @@ def fit(lines: list[str], *, variants: int = 60, epochs: int = 12, seed: int = 7
         for t in TEMPLATES[f]:
             used += [(v, k) for v in [t, *_variants(rng, t, variants)]]
             held += [(v, k) for v in _variants(rng, t, variants // 4, 0.2)]
+        if f in SPDX:
+            # tags are short: cut ones would be no more than a word
+            used += [(x, k) for x in 8 * [_TAG.format(SPDX[f])]]
         for t in NOTICES.get(f, ()):
             used += [(v, k) for v in [t, *_variants(rng, t, variants // 3)]]
             held += [(v, k) for v in _variants(rng, t, variants // 12, 0.2)]
@@ -214,7 +283,7 @@ def _bigrams(line: str) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False)) or {(w, "") for w in words}
 
 
-_TEMPLATE_BIGRAMS = {f: [_bigrams(t) for t in [*ts, *NOTICES.get(f, ())]] for f, ts in TEMPLATES.items()}
+_TEMPLATE_BIGRAMS = {f: [_bigrams(t) for t in [*ts, *NOTICES.get(f, ()), *([_TAG.format(SPDX[f])] if f in SPDX else [])]] for f, ts in TEMPLATES.items()}
 
 
 def template_match(family: str, line: str) -> float:
@@ -223,6 +292,49 @@ def template_match(family: str, line: str) -> float:
     return max((len(own & t) / max(1, min(len(own), len(t))) for t in _TEMPLATE_BIGRAMS.get(family, ())), default=0.0)
 
 
+_STATED = {name: re.compile(p) for name, p in STATED.items()}
+_VERSIONS = {f: (re.compile(p), own) for f, (p, own) in VERSIONS.items()}
+
+
+def stated(line: str) -> set[str]:
+    """The names and clauses of licences that the lines state."""
+    return {name for name, p in _STATED.items() if p.search(line)}
+
+
+def _own(family: str) -> set[str]:
+    return REQUIRED.get(family) or ALLOWED.get(family, {family})
+
+
+def _other_version(family: str, line: str) -> bool:
+    pattern, versions = _VERSIONS.get(family, (None, ()))
+    return bool(pattern) and any(v not in versions for v in pattern.findall(line))
+
+
+def fits(family: str, line: str, said: set[str]) -> bool:
+    """Whether what the lines state is what notices of the family state: no name or clause of others, none of its own missing, no other version."""
+    required = REQUIRED.get(family, set())
+    return required <= said <= required | ALLOWED.get(family, {family}) and not _other_version(family, line)
+
+
+def _compared(family: str, line: str, match: float) -> tuple[str, float, bool]:
+    """(family, template match, confirmed) of a predicted notice.
+
+    If it states other names than those of the predicted family, the one family that they
+    fit takes its place. Notices of several licences keep the predicted one, not confirmed,
+    if they name it; all else is 'other'.
+    """
+    said = stated(line)
+    if family == OTHER or not fits(family, line, said):
+        named = [f for f in TEMPLATES if _own(f) <= said and fits(f, line, said)]
+        if not named:
+            nearer = any(_own(family) < REQUIRED[f] <= said for f in REQUIRED)
+            several = family != OTHER and _own(family) <= said and not nearer and not _other_version(family, line)
+            return (family, template_match(family, line), False) if several else (OTHER, 0.0, False)
+        family = named[0]
+    share = template_match(family, line)
+    return family, share, share >= match and all(template_match(f, line) <= share for f in TEMPLATES if f != family and fits(f, line, said))
+
+
 def sample_lines(docs: DataFrame, n: int) -> list[str]:
     """At most ``n`` lines of the corpus, whole, from all lines of all texts: those with the least hashes of document, place and content.
 
@@ -244,9 +356,15 @@ def _notices(model: LicenceModel, lines: list[str], total: np.ndarray, n: np.nda
     In a paragraph that reads like a notice as a whole, the run of lines that speaks most
     for its family is one; elsewhere each run of lines that read like the same family is.
     """
-    p = model.softmax(total, n)
-    best, sure = p.argmax(axis=1), p.max(axis=1)
-    flagged = (best > 0) & (sure >= threshold) & (n > 0)
+    def judged(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest family, or 'other' if none reaches the threshold, and how likely a notice it is: 0 if less than the threshold."""
+        best = p[:, 1:].argmax(axis=1) + 1
+        best = np.where(p[np.arange(len(p)), best] >= threshold, best, 1)
+        notice = 1 - p[:, 0]
+        return best, np.where(notice >= threshold, notice, 0)
+
+    best, sure = judged(model.softmax(total, n))
+    flagged = (sure > 0) & (n > 0)
     blank = np.array([not x.strip() for x in lines], dtype=bool)
     starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
     stops = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
@@ -255,15 +373,14 @@ def _notices(model: LicenceModel, lines: list[str], total: np.ndarray, n: np.nda
     if len(many):
         sums = np.add.reduceat(np.vstack([total, np.zeros((1, total.shape[1]))]), np.c_[starts[many], stops[many]].ravel(), axis=0)[::2]
         counts = np.add.reduceat(np.r_[n, 0], np.c_[starts[many], stops[many]].ravel())[::2]
-        q = model.softmax(sums, counts)
-        whole = {int(b): (int(k), float(x)) for b, k, x in zip(many, q.argmax(axis=1), q.max(axis=1), strict=True) if k > 0 and x >= threshold}
+        whole = {int(b): int(k) for b, k, x in zip(many, *judged(model.softmax(sums, counts)), strict=True) if x > 0}
     marks = np.flatnonzero(flagged)
     blocks = set(whole) | {int(b) for b in np.searchsorted(starts, marks, side="right") - 1}
     for b in sorted(blocks):
         first, stop = int(starts[b]), int(stops[b])
         runs = []
         if b in whole:
-            k = whole[b][0]
+            k = whole[b]
             i, j = _best_run(total[first:stop, k] - total[first:stop, 0])
             runs.append((first + i, first + j, k))
         i = first
@@ -276,7 +393,7 @@ def _notices(model: LicenceModel, lines: list[str], total: np.ndarray, n: np.nda
             i = j
         for i, j, k in sorted(runs):
             q = model.softmax(total[i:j].sum(axis=0, keepdims=True), n[i:j].sum(keepdims=True))[0]
-            yield i, j - i, model.families[k], float(q[k])
+            yield i, j - i, model.families[k], float(q[k] if k > 1 else 1 - q[0])
 
 
 def _best_run(margins: np.ndarray) -> tuple[int, int]:
@@ -295,8 +412,8 @@ def _scan(model: LicenceModel, threshold: float, match: float):
         at = 0
         for doc_id, own in zip(ids, lines, strict=True):
             for first, count, family, probability in _notices(model, own, total[at : at + len(own)], n[at : at + len(own)], threshold):
-                share = template_match(family, " ".join(own[first : first + count]))
-                yield doc_id, first, count, family, probability, share, share >= match
+                family, share, confirmed = _compared(family, " ".join(own[first : first + count]), match)
+                yield doc_id, first, count, family, probability, share, confirmed
             at += len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +439,11 @@ def scan(docs: DataFrame, model: LicenceModel, *, threshold: float = 0.5, match:
     """The licence notices of all documents, a row for each paragraph, or run of its lines, whose family is not 'unknown'.
 
     Returns doc_id, paragraph (0-based line that it starts at), n_lines, family ('other' if
-    it reads like a notice of none that is known), probability (calibrated, at
-    least ``threshold``; of families equally likely the first of the model's),
-    template_match and confirmed (match of ``match`` or more).
-    Whole texts are scanned, in parts of bounded memory. ``docs`` needs doc_id and text; other columns are
+    it reads like a notice of none that is known, if no family reaches the threshold, or
+    if it names other licences; the family that it names if the model takes it for a neighbour), probability (calibrated; of families equally likely the
+    first of the model's; for 'other', that it is a notice at all), template_match and
+    confirmed (match of ``match`` or more, as in the module's docstring).
+    Whole texts are scanned, in parts of 1 MB or a word. ``docs`` needs doc_id and text; other columns are
     ignored. Null and empty texts have no notices; repeated rows give theirs each; an
     empty table gives no rows.
     """

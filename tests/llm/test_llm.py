@@ -580,6 +580,45 @@ def test_licences(spark):
     assert np.mean([model.families[model.probabilities(v)[1][0].argmax()] == f for v, f in zip(held, [f for f, _ in notices[:3] for _ in range(20)])]) > 0.9
 
 
+#: Notices that the model was not trained on: the family, whether it is confirmed.
+NEIGHBOURS = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ("agpl", False),
+    "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License. To view a copy of this license, visit the site.": ("cc-by-nd", True),
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.": ("cc-by-nc-sa", True),
+    "Licensed under the Apache License, Version 1.1": ("other", False),
+    "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.": ("artistic", True),
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2.": ("gpl", True),
+    "This library is free software; you can redistribute it under the GNU Lesser General Public License version 3.": ("lgpl", True),
+    "This database is made available under the Open Database License.": ("other", False),
+    "Licensed under either of the Apache License, Version 2.0 or the MIT license at your option.": ("apache-2.0", False),
+    "// SPDX-License-Identifier: GPL-2.0-only": ("gpl", True),
+}
+
+
+def test_neighbouring_licences(spark):
+    rng = random.Random(37)
+    plain = [" ".join(words_of(rng, 12, 3000)) for _ in range(400)]
+    model = license_scan.fit(plain)
+    rows = [(n, f"{plain[n]}\n\n{t}\n\n{plain[n + 1]}") for n, t in enumerate(NEIGHBOURS)]
+    got = {r.doc_id: (r.family, r.confirmed) for r in license_scan.scan(frame(spark, rows), model).filter("paragraph = 2").collect()}
+    assert got == dict(enumerate(NEIGHBOURS.values()))
+    # clashing columns go; repeated rows give theirs each
+    twice = frame(spark, [rows[1], rows[1]]).withColumn("family", F.lit("x")).withColumn("line", F.lit(1))
+    assert [r.family for r in license_scan.scan(twice, model).filter("confirmed").collect()] == ["cc-by-nd"] * 2
+
+
+def test_licence_sums_in_parts(monkeypatch):
+    rng = random.Random(39)
+    model = license_scan.fit([" ".join(words_of(rng, 12, 300)) for _ in range(50)], variants=2, epochs=1)
+    lines = [" ".join(rng.choice(["a", "a", "b.", "..c", "é-d", "x" * 90, "1.5"]) for _ in range(rng.choice([0, 1, 3, 80]))) for _ in range(200)]
+    data = b"".join(map(license_scan._encoded, lines))
+    whole, n = model.sums(data, len(lines))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(license_scan, "PART", size)
+        sums, m = model.sums(data, len(lines))
+        assert (n == m).all() and np.allclose(whole, sums, atol=1e-4)
+
+
 #: Sentences with words of licences that the model was not trained on.
 UNSEEN = ["Her driving licence expired in March and the office was closed.", "The museum keeps a copy of the charter granted to the town.", "Redistribution of land was permitted under the old law.", "The software company moved its office to the harbour.", "He was free to use the garden without any restriction.", "The Mozilla office gave a public talk about version control."]
 
