@@ -78,6 +78,8 @@ def _terms_of(wins: DataFrame, missing: int | None, phrases: bool) -> DataFrame:
     return whole.unionByName(near) if phrases else near.unionByName(whole.filter("term2 is null").withColumn("phrase", F.lit(False)))
 
 
+#: Words of a block of positions.
+BLOCK = 256
 #: Postings of a term that one task reads; terms with more are dealt by document over several.
 POSTINGS = 1 << 17
 
@@ -98,24 +100,23 @@ def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _starts(index: DataFrame, entries: DataFrame, members: DataFrame, slack: int) -> DataFrame:
-    """Where a pair's terms stand at their distance, exactly for phrases, ``2 * slack`` words off it at most for others: doc_id, text_key, w, start, phrase.
+    """Where a pair's terms stand at their distance, exactly for phrases, ``2 * slack`` words off it at most for others: doc_id, text_key, w, spots (array of start, phrase).
 
-    The start is that of the first term. Positions are compared by blocks of
-    ``4 * slack + 1``, phrases by one block, so the join stays an equality join.
+    The start is that of the first term. Positions are compared by blocks that few
+    distances cross, so the join stays an equality join and most rows meet one block.
     """
     salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     found = index.join(salted, ["tid", "salt"]).select(*KEY, "e", "pos", "tid2", "delta", "phrase")
     alone = found.filter("tid2 < 0").select(*KEY, "e", "pos", "phrase")
-    left = found.filter("tid2 >= 0").withColumn("due", F.col("pos") + F.col("delta"))
-    width = 4 * slack + 1
-    off = F.when(F.col("phrase"), 0).otherwise(2 * slack)
-    left = left.withColumn("off", off).withColumn("block", F.explode(F.array_distinct(F.array(F.floor((F.col("due") - off) / width), F.floor((F.col("due") + off) / width)))))
+    width = max(4 * slack + 1, BLOCK)
+    due, off = F.col("pos") + F.col("delta"), F.when(F.col("phrase"), 0).otherwise(2 * slack)
+    left = found.filter("tid2 >= 0").withColumn("block", F.explode(F.array_distinct(F.array(F.floor((due - off) / width), F.floor((due + off) / width)))))
     second = entries.filter("tid2 >= 0").select(F.col("tid2").alias("tid")).distinct()
     right = index.join(second, "tid", "left_semi").select(*KEY, "tid", F.col("pos").alias("p2"), F.floor(F.col("pos") / width).alias("block"))
     same = left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"]) & (left["tid2"] == right["tid"]) & (left["block"] == right["block"])
-    met = left.join(right, same & (F.abs(right["p2"] - left["due"]) <= left["off"]), "left_semi").select(*KEY, "e", "pos", "phrase")
+    met = left.join(right, same & (F.abs(right["p2"] - left["pos"] - left["delta"]) <= F.when(left["phrase"], 0).otherwise(2 * slack)), "left_semi").select(*KEY, "e", "pos", "phrase")
     starts = alone.union(met).join(members, "e").select(*KEY, "w", (F.col("pos") - F.col("at")).alias("start"), "phrase")
-    return starts.filter("not phrase or start >= 0").distinct()
+    return starts.filter("not phrase or start >= 0").groupBy(*KEY, "w").agg(F.collect_set(F.struct("start", "phrase")).alias("spots"))
 
 
 def _stands_near(words_: Column, f: Column, missing: int, slack: int) -> Column:
@@ -156,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ne
 
 
 def _candidates(docs: DataFrame, benchmark: DataFrame, window: int, near: tuple[int, int] | None, *, phrases: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words of all rows (doc_id, text_key, words, n_words), items of windows (w, item), and what to compare word by word (doc_id, text_key, words, found: array of start, terms, w, exact)."""
+    """Numbers of words of all rows (doc_id, text_key, n_words), items of windows (w, item), and what to compare word by word (doc_id, text_key, words, found: array of start, terms, w, exact)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
     tokens = staged(rows.withColumn("n_words", F.size("words").cast("long")), "tokens")
     wins, items = windows(benchmark, window)
@@ -167,21 +168,27 @@ def _candidates(docs: DataFrame, benchmark: DataFrame, window: int, near: tuple[
     salt = F.pmod(F.xxhash64(*KEY), F.col("parts")).cast("int").alias("salt")
     postings = tokens.select(*KEY, F.posexplode("words").alias("pos", "term")).join(terms, "term")
     index = staged(postings.select("tid", "pos", *KEY, salt), "index")
+    # of the words only their number is read from here on
+    counted = staged(tokens.drop("words"), "counts")
+    discard(tokens)
     starts = staged(_starts(index, entries, members, near[1] if near else 0), "starts")
     discard(index, pairs, terms, entries, members)
 
     # the few that are left; only their texts move
-    by_doc = starts.join(wins.select("w", "terms"), "w").groupBy(*KEY).agg(F.collect_list(F.struct("start", "terms", "w", F.col("phrase").alias("exact"))).alias("found"))
+    by_doc = starts.join(wins.select("w", "terms"), "w").groupBy(*KEY).agg(F.collect_list(F.struct("w", "terms", "spots")).alias("found"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "found")
     keys = staged(starts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct(), "hit-docs")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     texts = texts.join(keys, texts["doc_id"].eqNullSafe(keys["d"]) & (texts["text_key"] == keys["t"]), "left_semi")
     whole = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["d"]) & (texts["text_key"] == by_doc["t"]))
     # written, so that the words are not cut anew for every candidate inside the filter
-    whole = staged(whole.select(*KEY, words(F.col("text")).alias("words"), "found"), "candidates")
+    written = staged(whole.select(*KEY, words(F.col("text")).alias("words"), "found"), "candidates")
+    spots = lambda f: F.transform(f["spots"], lambda x: F.struct(x["start"].alias("start"), f["terms"].alias("terms"), f["w"].alias("w"), x["phrase"].alias("exact")))
+    whole = written.withColumn("found", F.flatten(F.transform("found", spots)))
+    whole._staged_path = written._staged_path
     items = _few(items.join(wins.select("w", "win"), "win").select("w", "item"), "items")
     discard(wins, starts, keys)
-    return tokens, items, whole
+    return counted, items, whole
 
 
 def judged_texts(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, near: tuple[int, int] | None = None) -> DataFrame:
