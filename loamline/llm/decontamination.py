@@ -119,27 +119,6 @@ def _starts(index: DataFrame, entries: DataFrame, members: DataFrame, slack: int
     return starts.filter("not phrase or start >= 0").groupBy(*KEY, "w").agg(F.collect_set(F.struct("start", "phrase")).alias("spots"))
 
 
-#: Rows of 2**15 bits (4 KB) in the filter of texts: 8 MB in all, however many documents there are.
-FILTER_ROWS = 1 << 11
-
-
-def _likely(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Texts (with text_key) whose bit is set by a key (t), and some others whose hash has the same bit: a filter that leaves most texts where they are before the join proper.
-
-    The bits are broadcast, which their fixed number allows. Among many times more keys than
-    bits it lets most texts pass, and only the join decides.
-    """
-    place = lambda key: F.pmod(key, F.lit(FILTER_ROWS << 15))
-    row, bit = lambda key: F.shiftright(place(key), 15), lambda key: place(key).bitwiseAND(F.lit((1 << 15) - 1))
-    # keys are hashes, so no row is hot; dealt by row, each row is filled in one place
-    bits = keys.select(row(F.col("t")).alias("_row"), bit(F.col("t")).alias("_bit")).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    held = texts.withColumn("_row", row(F.col("text_key"))).join(F.broadcast(bits), "_row")
-    here = bit(F.col("text_key"))
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(here, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    mask = F.get(F.array(*[F.lit(1 << k) for k in range(8)]), here.bitwiseAND(F.lit(7)).cast("int"))
-    return held.filter(byte.bitwiseAND(mask) != 0).select(*texts.columns)
-
-
 def _stands_near(words_: Column, f: Column, missing: int, slack: int) -> Column:
     """Whether all but ``missing`` of the terms stand within ``slack`` of their places, for a start within ``slack`` of the given one."""
     size, missing = F.size(f["terms"]), _may_miss(f["terms"], missing)
@@ -200,7 +179,6 @@ def _candidates(docs: DataFrame, benchmark: DataFrame, window: int, near: tuple[
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "found")
     keys = staged(starts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct(), "hit-docs")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = _likely(texts, keys)
     texts = texts.join(keys, texts["doc_id"].eqNullSafe(keys["d"]) & (texts["text_key"] == keys["t"]), "left_semi")
     whole = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["d"]) & (texts["text_key"] == by_doc["t"]))
     # written, so that the words are not cut anew for every candidate inside the filter
