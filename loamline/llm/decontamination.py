@@ -4,9 +4,11 @@ Benchmark texts are cut into windows of consecutive words. Every corpus term tha
 occurs in a window is counted over the whole corpus, and each window is anchored
 at its rarest terms. Neighbouring windows share most anchors, so what is looked up are
 the distinct pairs of terms at a distance, each once for all windows that have it.
-The index stores the postings (document, position) of all anchor terms. For phrases, the postings of the rarest term, shifted back by its offset
+The index stores the postings (document, position) of all anchor terms, with documents by
+numbers, as these are shorter than their keys. For phrases, the postings of the rarest term, shifted back by its offset
 in the window, give the possible starts; intersecting them with the shifted postings of
-the second leaves almost only true matches, which are then compared word by word. For
+the second leaves almost only true matches, which are then compared word by word; texts without
+any are kept out of that by a filter of fixed size. For
 proximity matches, in which words may be missing or stand a few places off, the
 shifted postings of any two of the ``missing + 2`` rarest terms are intersected with that
 slack (at least two of them must be there), and the words of each candidate are counted
@@ -99,26 +101,47 @@ def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return terms, entries, members
 
 
-def _starts(index: DataFrame, entries: DataFrame, members: DataFrame, slack: int) -> DataFrame:
+def _starts(index: DataFrame, entries: DataFrame, members: DataFrame, rows: DataFrame, slack: int) -> DataFrame:
     """Where a pair's terms stand at their distance, exactly for phrases, ``2 * slack`` words off it at most for others: doc_id, text_key, w, spots (array of start, phrase).
 
     The start is that of the first term. Positions are compared by blocks that few
     distances cross, so the join stays an equality join and most rows meet one block.
+    The index names documents by their numbers in ``rows`` (row, doc_id, text_key).
     """
     salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    found = index.join(salted, ["tid", "salt"]).select(*KEY, "e", "pos", "tid2", "delta", "phrase")
-    alone = found.filter("tid2 < 0").select(*KEY, "e", "pos", "phrase")
+    found = index.join(salted, ["tid", "salt"]).select("row", "e", "pos", "tid2", "delta", "phrase")
+    alone = found.filter("tid2 < 0").select("row", "e", "pos", "phrase")
     width = max(4 * slack + 1, BLOCK)
     due, off = F.col("pos") + F.col("delta"), F.when(F.col("phrase"), 0).otherwise(2 * slack)
     left = found.filter("tid2 >= 0").withColumn("block", F.explode(F.array_distinct(F.array(F.floor((due - off) / width), F.floor((due + off) / width)))))
     second = entries.filter("tid2 >= 0").select(F.col("tid2").alias("tid")).distinct()
-    right = index.join(second, "tid", "left_semi").select(*KEY, "tid", F.col("pos").alias("p2"), F.floor(F.col("pos") / width).alias("block"))
-    same = left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"]) & (left["tid2"] == right["tid"]) & (left["block"] == right["block"])
-    met = left.join(right, same & (F.abs(right["p2"] - left["pos"] - left["delta"]) <= F.when(left["phrase"], 0).otherwise(2 * slack)), "left_semi").select(*KEY, "e", "pos", "phrase")
-    starts = alone.union(met).join(members, "e").select(*KEY, "w", (F.col("pos") - F.col("at")).alias("start"), "phrase")
+    right = index.join(second, "tid", "left_semi").select("row", "tid", F.col("pos").alias("p2"), F.floor(F.col("pos") / width).alias("block"))
+    same = (left["row"] == right["row"]) & (left["tid2"] == right["tid"]) & (left["block"] == right["block"])
+    met = left.join(right, same & (F.abs(right["p2"] - left["pos"] - left["delta"]) <= F.when(left["phrase"], 0).otherwise(2 * slack)), "left_semi").select("row", "e", "pos", "phrase")
+    starts = alone.union(met).join(rows.select("row", *KEY), "row").join(members, "e").select(*KEY, "w", (F.col("pos") - F.col("at")).alias("start"), "phrase")
     return starts.filter("not phrase or start >= 0").groupBy(*KEY, "w").agg(F.collect_set(F.struct("start", "phrase")).alias("spots"))
 
 
+#: Rows of the filter of texts and bits of a row as a power of two (4 KB): 8 MB in all, however many documents there are.
+FILTER_ROWS, ROW_BITS = 2000, 15
+
+
+def _likely(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Texts (with text_key) that have the bit of one of the distinct keys (t): all that have a key, and few others, which the join proper drops.
+
+    The bits are broadcast, which their fixed number allows. With as many keys as bits most
+    texts pass, and the join moves them.
+    """
+    place = lambda key: F.pmod(key, F.lit(FILTER_ROWS << ROW_BITS))
+    filter_row, bit = lambda key: F.shiftright(place(key), ROW_BITS), lambda key: place(key).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    # keys are hashes, so no row of the filter is hot; dealt by row, each is filled in one place
+    bits = keys.select(filter_row(F.col("t")).alias("_row"), bit(F.col("t")).alias("_bit")).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    here = bit(F.col("text_key"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(here, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    mask = F.get(F.array(*[F.lit(1 << k) for k in range(8)]), here.bitwiseAND(F.lit(7)).cast("int"))
+    return texts.withColumn("_row", filter_row(F.col("text_key"))).join(F.broadcast(bits), "_row").filter(byte.bitwiseAND(mask) != 0).select(*texts.columns)
+
+
 def _stands_near(words_: Column, f: Column, missing: int, slack: int) -> Column:
     """Whether all but ``missing`` of the terms stand within ``slack`` of their places, for a start within ``slack`` of the given one."""
     size, missing = F.size(f["terms"]), _may_miss(f["terms"], missing)
@@ -159,27 +182,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ne
 def _candidates(docs: DataFrame, benchmark: DataFrame, window: int, near: tuple[int, int] | None, *, phrases: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Numbers of words of all rows (doc_id, text_key, n_words), items of windows (w, item), and what to compare word by word (doc_id, text_key, words, found: array of start, terms, w, exact)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
-    tokens = staged(rows.withColumn("n_words", F.size("words").cast("long")), "tokens")
+    # the number of a row is given as the table is written
+    tokens = staged(rows.withColumn("n_words", F.size("words").cast("long")).withColumn("row", F.monotonically_increasing_id()), "tokens")
     wins, items = windows(benchmark, window)
     # windows and terms go by numbers from here on, which are given as the tables are written
     wins = staged(anchored(tokens, wins).withColumn("w", F.monotonically_increasing_id()), "anchors")
     pairs = staged(_terms_of(wins, near[0] if near else None, phrases), "pairs")
     terms, entries, members = _numbered(pairs)
-    salt = F.pmod(F.xxhash64(*KEY), F.col("parts")).cast("int").alias("salt")
-    postings = tokens.select(*KEY, F.posexplode("words").alias("pos", "term")).join(terms, "term")
-    index = staged(postings.select("tid", "pos", *KEY, salt), "index")
+    salt = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("salt")
+    postings = tokens.select("row", F.posexplode("words").alias("pos", "term")).join(terms, "term")
+    index = staged(postings.select("tid", "pos", "row", salt), "index")
     # of the words only their number is read from here on
     counted = staged(tokens.drop("words"), "counts")
     discard(tokens)
-    starts = staged(_starts(index, entries, members, near[1] if near else 0), "starts")
+    starts = staged(_starts(index, entries, members, counted, near[1] if near else 0), "starts")
     discard(index, pairs, terms, entries, members)
 
-    # the few that are left; only their texts move
+    # the few that are left; of other texts only those move whose keys share a bit with one of theirs
     by_doc = starts.join(wins.select("w", "terms"), "w").groupBy(*KEY).agg(F.collect_list(F.struct("w", "terms", "spots")).alias("found"))
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "found")
-    keys = staged(starts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct(), "hit-docs")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = texts.join(keys, texts["doc_id"].eqNullSafe(keys["d"]) & (texts["text_key"] == keys["t"]), "left_semi")
+    keys = staged(starts.select(F.col("text_key").alias("t")).distinct(), "hit-texts")
+    # a semi-join by the keys would not do: Spark moves it below the filter, and with it all texts
+    texts = _likely(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), keys)
     whole = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["d"]) & (texts["text_key"] == by_doc["t"]))
     # written, so that the words are not cut anew for every candidate inside the filter
     written = staged(whole.select(*KEY, words(F.col("text")).alias("words"), "found"), "candidates")

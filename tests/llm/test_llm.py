@@ -265,6 +265,51 @@ def test_proximity_by_brute_force(spark, missing, slack):
     assert sorted((r.doc_id, r["shift"]) for r in listed) == sorted((rows[n][0], v[1]) for (n, _), v in want.items() if n < len(rows) - 2)
 
 
+def test_texts_without_candidates_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(41)
+    rows = [(n, " ".join(rng.randbytes(6).hex() for _ in range(200))) for n in range(400)]
+    # copies under other ids, and rows that repeat
+    rows += [(400, rows[7][1]), (7, rows[7][1]), (None, rows[7][1])]
+    bench = spark.createDataFrame([(1, " ".join(rows[7][1].split()[50:64]))], "item_id long, text string")
+
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    moved, write = {}, decontamination.staged
+
+    def staged(df, name):
+        before = shuffled()
+        out = write(df, name)
+        moved[name] = shuffled() - before
+        return out
+
+    monkeypatch.setattr(decontamination, "staged", staged)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # as among many documents: what has candidates is above the threshold
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, near=(1, 3)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r.doc_id for r in got if r.contaminated), key=str) == [400, 7, 7, None]
+    assert {(r.n_hit, r.n_near) for r in got if r.contaminated} == {(14, 5)} and len(got) == len(rows)
+    assert 0 < moved["candidates"] < sum(len(t) for _, t in rows) / 8
+
+
+def test_filter_of_texts_keeps_every_key(spark):
+    texts = frame(spark, [(n, f"text {n}") for n in range(3000)] + [(3000, None), (3001, "text 4"), (3002, "")]).withColumn("text_key", F.xxhash64("text"))
+    keys = texts.filter("doc_id % 10 = 4 or text is null").select(F.col("text_key").alias("t")).distinct()
+    got = decontamination._likely(texts, keys)
+    assert got.columns == texts.columns
+    ids = [r.doc_id for r in got.collect()]
+    want = {n for n in range(3000) if n % 10 == 4} | {3000, 3001}
+    assert want <= set(ids) and len(ids) < len(want) + 5
+    assert decontamination._likely(texts, keys.limit(0)).count() == 0
+
+
 # mixing
 
 
