@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from loamline.functions import clock
 from loamline.functions import json_values as js
 from loamline.operators import anonymise, chat, evaluate, inference
+from loamline.plans import queries
 from loamline.sources import files
 
 MESSAGES = "identifiant string, messages array<struct<role:string,contenu:string>>"
@@ -121,3 +122,14 @@ def test_masks_take_time_by_the_text_alone(spark):
     d = spark.createDataFrame([(text,)], "t string").select(anonymise.rules()(F.col("t"), F.lit("fr")).alias("x"))
     r = d.first().x
     assert r.masked.count("<INFO_MASQUEE>") == 600 and len(r.spans) == 600 and "@" not in r.masked
+
+
+def test_preferences_with_sharp_s_and_repeated_rows_equal_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    turns = [(k, j, ("user", "assistant")[j], f"{'Wie' if j == 0 else 'So'} heißt {k}?") for k in range(8) for j in range(2)]
+    turns += [turns[0], turns[1], turns[9], (8, 0, "user", "Maße"), (8, 1, "assistant", "ßﬁŉ"), (9, 0, "user", None), (9, 1, "assistant", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = [tuple(r) for r in queries.pref_pairs_override(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(queries.ORACLES["pref_pairs_override"]).fetchall()) and len(got) == 13

@@ -117,3 +117,13 @@ def test_small_helpers(spark):
     assert one(spark, "{'other': 1}", js.python_dict) is None
     assert one(spark, "3", lambda t: js.capped(t.cast("int"))) == 2
     assert one(spark, "a", lambda t: js.first_turn_prefix(F.lit(0), F.lit(0), "p:", t)) == "p:a"
+
+
+def test_capitals_of_one_code_point(spark):
+    assert one(spark, "straße ŉ ﬁ ᾳ ᾲ ǆ ǅ é ÿ ς 𐐨 ı 2", tx.upper) == "STRAẞE ŉ ﬁ ᾼ ᾲ Ǆ Ǆ É Ÿ Σ 𐐀 I 2"
+    assert one(spark, "", tx.upper) == "" and spark.sql("select cast(null as string) as t").select(tx.upper(F.col("t")).alias("x")).first().x is None
+    duckdb = pytest.importorskip("duckdb")
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    texts = ["".join(every[i : i + 4096]) for i in range(0, len(every), 4096)]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(tx.upper(F.col("t")).alias("x")).collect()]
+    assert got == [duckdb.execute("select upper(?)", [t]).fetchone()[0] for t in texts]
