@@ -134,6 +134,30 @@ def exact_median(df: DataFrame, c: str) -> DataFrame:
     return exact_quantiles(df, c, [0.5]).agg(F.max("value").alias("median"))
 
 
+def exact_sums(df: DataFrame, c: str, by: list[str], name: str) -> DataFrame:
+    """``by`` and the sum of a column for each group, the same to the last digit in whatever order and parts the rows come.
+
+    A double is a whole number of millions of a scale, a power of two near to it, and a rest of 60 binary digits:
+    these are added as whole numbers, and only the sums of the scales are rounded. Nulls are left out (a group of nulls has null), infinities
+    and NaN add up as ever.
+    """
+    v, inf, unit = F.col("_v"), float("inf"), 1 << 60
+    rows = df.select(*by, F.col(c).cast("double").alias("_v"))
+    scale = F.when((F.abs(v) != inf) & ~F.isnan(v) & (v != 0), F.floor(F.log2(F.abs(v)) / 20) * 20)
+    # to a scale and back in two steps, as the power of the least scale is no finite double
+    half = lambda sign: F.pow(F.lit(2.0), sign * F.col("_scale") / 2)
+    rows = rows.select(*by, "_v", scale.alias("_scale")).withColumn("_s", v * half(-1) * half(-1))
+    whole = F.col("_s").cast("long")
+    rest = ((F.col("_s") - whole) * float(unit)).cast("long")
+    sums = rows.groupBy(*by, "_scale").agg(F.sum(whole).alias("_n"), F.sum(rest.cast("decimal(20,0)")).alias("_r"), F.sum(F.when(F.col("_scale").isNull(), v)).alias("_odd"))
+    over, left = F.expr(f"_r div {unit}BD"), F.expr(f"_r % {unit}BD")
+    x = ((F.col("_n") + over).cast("double") + left.cast("double") / float(unit)) * half(1) * half(1)
+    parts = sums.select(*by, "_odd", F.when(F.col("_scale").isNotNull(), F.struct("_scale", x.alias("x"))).alias("p"))
+    out = parts.groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("p"), F.max("_odd").alias("_odd"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, p: a + p["x"]) + F.coalesce("_odd", F.lit(0.0))
+    return out.select(*by, F.when((F.size("p") > 0) | F.col("_odd").isNotNull(), total).alias(name))
+
+
 def latency_summary(df: DataFrame, name: str, contains: str, seconds: str, ok: str) -> DataFrame:
     """nombre, moyenne, mediane (exact), minimum and maximum of successes whose name contains a text; 0 and nulls if none."""
     rows = df.filter(F.col(name).contains(contains) & F.col(ok))

@@ -88,3 +88,22 @@ def test_exact_quantiles(spark, monkeypatch, in_order):
 @pytest.mark.parametrize(("values", "want"), [([1.0, 2.0, float("inf")], 2.0), ([1.0, 2.0], 1.5), ([], None), ([1e308, -1e308, 5.0], 5.0)])
 def test_exact_median(spark, values, want):
     assert evaluate.exact_median(spark.createDataFrame([(v,) for v in values], "x double"), "x").first().median == want
+
+
+def test_exact_sums(spark):
+    rng = random.Random(5)
+    draw = [lambda: round(rng.random() * 500, 2), lambda: rng.gauss(0, 1) * 10 ** rng.randrange(-12, 12), lambda: math.ldexp(rng.random() - 0.5, rng.randrange(-1074, 900)), lambda: rng.choice([1, -1]) * 2.0 ** rng.randrange(-1020, 1000)]
+    groups = {f"g{g}": [draw[g % 4]() for _ in range(rng.randrange(1, 400))] for g in range(80)}
+    groups |= {"none": [None], "zero": [None, 0.0], "inf": [math.inf, 1.0], "nan": [math.inf, -math.inf], "far": [1e100, 1.0, -1e100], "apart": [0.1, -0.1], "least": [5e-324, 5e-324], "most": [1.7e308, -1.7e308, 3.0], None: [1.5, None, 2.25]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs]
+    sums = []
+    for parts in (1, 9):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, x double").repartition(parts)
+        sums.append({r.g: r.s for r in evaluate.exact_sums(df, "x", ["g"], "s").collect()})
+    assert repr(sorted(sums[0].items(), key=str)) == repr(sorted(sums[1].items(), key=str))
+    got = sums[0]
+    assert [got[k] for k in ("none", "zero", "inf", "far", "apart", "least", "most", None)] == [None, 0.0, math.inf, 1.0, 0.0, 1e-323, 3.0, 3.75] and math.isnan(got["nan"])
+    for g in (g for g in groups if str(g).startswith("g")):
+        want = math.fsum(groups[g])
+        assert abs(got[g] - want) <= 2 * math.ulp(want), g

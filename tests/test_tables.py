@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from loamline.functions import clock
 from loamline.functions import json_values as js
 from loamline.operators import anonymise, chat, evaluate, inference
-from loamline.plans import queries
+from loamline.plans import queries, tables
 from loamline.sources import files
 
 MESSAGES = "identifiant string, messages array<struct<role:string,contenu:string>>"
@@ -133,3 +133,10 @@ def test_preferences_with_sharp_s_and_repeated_rows_equal_sql(spark, tmp_path):
     con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     got = [tuple(r) for r in queries.pref_pairs_override(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(con.execute(queries.ORACLES["pref_pairs_override"]).fetchall()) and len(got) == 13
+
+
+def test_metrics_of_runs_are_summed_exactly(spark, tmp_path):
+    rows = [(n, u, x) for n, (u, x) in enumerate([(1, 1e16), (1, 1.0), (1, 1.0), (1, -1e16), (2, 0.1), (2, 0.2), (2, None), (3, None)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.etape: (r.run, r.valeur, r.ms) for r in tables.run_files(spark, str(tmp_path)).collect()}
+    assert got == {1: ("b", 2.0, 1500), 2: ("b", math.fsum([0.1, 0.2]), 1500), 3: ("b", None, 1500)}
